@@ -62,7 +62,7 @@ vectors AS (
 asked AS (
   SELECT vec_id AS query_id, embedding::DOUBLE[] AS e, CASE WHEN vec_id % 4 = 1 THEN 'chua' END AS category
   FROM embeddings WHERE vec_id % 10 = 3),
-similar AS (
+alike AS (
   SELECT q.query_id, v.chunk_id, v.category, q.category AS wanted,
          round(list_cosine_similarity(q.e, v.e), 9) AS score
   FROM asked q, vectors v)
@@ -72,7 +72,7 @@ similar AS (
 @query("dense_topk", f"""
 WITH {_SQL_VECTORS}
 SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM similar)
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM alike)
 WHERE rank <= 5""")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = T.vector_queries(spark, sf_dir).drop("category")
@@ -82,7 +82,7 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("dense_topk_filtered", f"""
 WITH {_SQL_VECTORS}
 SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM similar
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM alike
   WHERE score >= 0.2 AND (wanted IS NULL OR wanted = category))
 WHERE rank <= 5""")
 def dense_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +102,7 @@ queries AS (
 {_SQL_VECTORS},
 dense AS (SELECT * FROM (
   SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
-  FROM similar WHERE wanted IS NULL OR wanted = category) WHERE rank <= 50),
+  FROM alike WHERE wanted IS NULL OR wanted = category) WHERE rank <= 50),
 fused AS (
   SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (
     SELECT query_id, chunk_id, rank FROM dense UNION ALL SELECT query_id, chunk_id, rank FROM bm25)
@@ -313,9 +313,10 @@ draws AS (
 means AS (SELECT other, metric, r, round(sum(diff) / first(u.n), 9) AS mean FROM units u JOIN draws d ON d.n = u.n AND d.idx = u.idx
           GROUP BY other, metric, r),
 ordered AS (SELECT *, row_number() OVER (PARTITION BY other, metric ORDER BY mean) - 1 AS pos FROM means)
-SELECT d.other, d.metric, round(avg(d.diff), 6) AS mean_diff, count(*)::BIGINT AS n,
+SELECT d.other, d.metric, round(avg(d.diff), 6) AS mean_diff,
        round((SELECT mean FROM ordered o WHERE o.other = d.other AND o.metric = d.metric AND pos = {int(0.025 * _RESAMPLES)}), 6) AS low,
-       round((SELECT mean FROM ordered o WHERE o.other = d.other AND o.metric = d.metric AND pos = {int(0.975 * _RESAMPLES) - 1}), 6) AS high
+       round((SELECT mean FROM ordered o WHERE o.other = d.other AND o.metric = d.metric AND pos = {int(0.975 * _RESAMPLES) - 1}), 6) AS high,
+       count(*)::BIGINT AS n
 FROM diffs d GROUP BY d.other, d.metric""")
 def retrieval_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, metrics = _evaluated(spark, sf_dir)
