@@ -40,7 +40,7 @@ LEAST_BITS = 20
 MOST_CELLS = 1 << 28
 BYTES_PER_WORD = 6
 CELLS_PER_ANCHOR = 4
-CHUNK_WINDOWS = 1 << 21
+CHUNK_WINDOWS = 1 << 20
 MERGED_AT_ONCE = 256
 _OTHER_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -137,9 +137,10 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = _bits_for(size)
     sketch = docs.sparkSession.sparkContext.broadcast(repeated_cells(docs, bits))
-    names = ["doc_id", "mark", "start", "h1", "h2", "n"]
+    # What differs from row to row stands together, what repeats (n, id, mark) surrounds it: such rows compress best.
+    names = ["doc_id", "mark", "h1", "h2", "start", "n"]
     schema = docs.select("doc_id").schema
-    for name, kind in zip(names[1:], ("long", "integer", "long", "long", "integer"), strict=True):
+    for name, kind in zip(names[1:], ("long", "long", "long", "integer", "integer"), strict=True):
         schema = schema.add(name, kind)
 
     def estimated(anchor: np.ndarray) -> np.ndarray:
@@ -164,14 +165,15 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
             known = np.ones(len(order), bool)
             known[order[heads]] = False
             # Further places in this chunk are settled: they travel under keys of their own, not under the shared one.
-            h1[known] = W.mix(h1[known] + np.arange(1, known.sum() + 1, dtype=np.uint64))
-            h2[known] = W.mix(mark[known].view(np.uint64) + start[known].astype(np.uint64))
+            # Rows that share such a key are all settled, so it need not be unique.
+            h1[known] = mark[known].view(np.uint64)
+            h2[known] = start[known].astype(np.uint64)
             step = 1 << 17
             for p in range(0, len(order), step):
                 s = slice(p, p + step)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(p, step), pa.array(mark[s]), pa.array(start[s]), pa.array(h1[s].view(np.int64)),
-                     pa.array(h2[s].view(np.int64)), pa.array(n[s])], names=names)
+                    [ids.slice(p, step), pa.array(mark[s]), pa.array(h1[s].view(np.int64)),
+                     pa.array(h2[s].view(np.int64)), pa.array(start[s]), pa.array(n[s])], names=names)
 
         for batch in batches:
             marks = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
