@@ -1,6 +1,6 @@
 """Substring deduplication: words covered by a 35-word window that starts somewhere else too are removed.
 
-1. Prefilter. Every window has an anchor, the leftmost of its 8-word runs with the smallest hash. Equal windows have equal
+1. Prefilter. Every window has an anchor, the leftmost of its 12-word runs with the smallest hash. Equal windows have equal
    anchors at different places, so the number of places of an anchor is never below the number of its windows. Each
    partition counts its anchors' places in a count-min sketch (two rows, counters that stop at two); the partition
    sketches are merged by block, and the cells that reached two are sent back. A window is estimated repeated when its
@@ -10,7 +10,7 @@
    of the corpus meets in few rows.
 3. Removal. Starts of repeated windows go back to their document, whose kept words are joined and hashed.
 
-The sketch's width follows the input's bytes up to ``MOST_CELLS``, a fixed bound of 64 MB for what is sent to tasks; beyond
+The sketch's width follows the input's bytes up to ``MOST_CELLS``, a fixed bound of 128 MB for what is sent to tasks; beyond
 it more windows pass the prefilter and the result stays the same.
 
 Defined results: null and blank texts have no words and the digest of nothing; texts below 35 words lose nothing; repeated
@@ -33,11 +33,11 @@ from placeweave.llm import words as W
 from placeweave.session import cut_lineage
 
 WINDOW = 35
-ANCHOR = 8
+ANCHOR = 12
 SKETCH_ROWS = 2
 BLOCK_BITS = 20
 LEAST_BITS = 20
-MOST_CELLS = 1 << 28
+MOST_CELLS = 1 << 29
 BYTES_PER_WORD = 6
 CELLS_PER_ANCHOR = 4
 CHUNK_WINDOWS = 1 << 20
