@@ -110,7 +110,7 @@ def judge_urls(pages: DataFrame) -> DataFrame:
     costs = word_costs(pages)
     words = spark.sparkContext.broadcast(costs)
     unseen = max(costs.values(), default=1.0) + math.log(10)
-    parted = with_parts(pages).select("page_id", "host", "path", "rule", "ruled")
+    parted = with_parts(pages.select("page_id", "url")).select("page_id", "host", "path", "rule", "ruled")
     schema = T.StructType(list(parted.schema.fields)).add("tokens", "string").add("seeded", "boolean")
     seeds = {f"h:{word}" for word in SEEDS}
 

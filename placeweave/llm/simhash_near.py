@@ -15,6 +15,7 @@ shingle; repeated rows stay rows; an empty table gives an empty result; null ids
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -225,6 +226,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One document of every group: the smallest id's. Of rows that share an id one stays; rows without an id stay."""
     named = near_duplicates(docs.filter("doc_id IS NOT NULL"))
     kept = docs.join(named.filter("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"])
-    first = kept.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    free = f"row_{uuid.uuid4().hex}"
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    first = kept.withColumn(free, F.row_number().over(order)).filter(F.col(free) == 1).drop(free)
     return first.select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
