@@ -2,12 +2,12 @@
 
 1. Host and path are cut from the url; the longest rule whose host fits (itself or a subdomain) and whose path opens the
    url's path decides.
-2. Word counts come from the visible text of all pages. The model keeps the ``WORDS`` most frequent words (a stated model
-   size, ties by word), because every task holds it.
+2. Word counts come from the visible text of all pages. The model keeps the most frequent words, at most ``WORDS``
+   (a stated model size), because every task holds it.
 3. Each letter run of host and path is split into the word sequence of highest probability; letters no word covers cost as
    much as an unseen word of their length.
 4. Naive Bayes learns from weak labels: a page is taken as bad when a word of its split host is a seed word. Token counts per
-   class come from all pages, the ``TOKENS`` most frequent tokens are kept (a stated model size), add-one smoothing. Pages
+   class come from all pages, the most frequent tokens are kept, at most ``TOKENS`` (a stated model size), add-one smoothing. Pages
    that no rule decides get the likelier verdict, ties allow; so words that keep company with seeds count against a host.
 
 Defined results: a null url, or one without ``://``, has empty host and path, fits no rule and is judged by the method (no
@@ -53,13 +53,26 @@ def with_parts(pages: DataFrame) -> DataFrame:
     return out.withColumns({"rule": rule, "ruled": ruled})
 
 
+def most_frequent(counts: DataFrame, n: F.Column, most: int) -> DataFrame:
+    """Rows of the highest ``n`` whose number stays within ``most``, cut between steps of a sixteenth of a doubling. Only the
+    steps' sizes, a few hundred numbers, reach the driver; equal counts stay or go together."""
+    step = F.floor(F.log2(n) * 16)
+    sizes = {r["step"]: r["size"] for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("size")).collect()}
+    kept, lowest = 0, max(sizes, default=0) + 1
+    for s in sorted(sizes, reverse=True):
+        if kept + sizes[s] > most:
+            break
+        kept, lowest = kept + sizes[s], s
+    return counts.filter(step >= lowest)
+
+
 def word_costs(pages: DataFrame) -> dict[str, float]:
     """Negative log probability of each word of the model."""
     visible = F.regexp_replace(F.lower(F.coalesce("html", F.lit(""))), "(?s)<[^>]*>", " ")
-    counts = pages.select(F.explode(F.split(visible, "[^a-z]+")).alias("word")).filter(
-        F.length("word").between(1, LONGEST_WORD)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut_lineage(pages.select(F.explode(F.split(visible, "[^a-z]+")).alias("word")).filter(
+        F.length("word").between(1, LONGEST_WORD)).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 1
-    kept = counts.orderBy(F.desc("n"), "word").limit(WORDS).collect()
+    kept = most_frequent(counts, F.col("n"), WORDS).collect()
     rare = {word: math.log(total + 1) for word in SEEDS}
     return rare | {r["word"]: math.log(total + 1) - math.log(r["n"]) for r in kept}
 
@@ -123,12 +136,12 @@ def judge_urls(pages: DataFrame) -> DataFrame:
 
     told = cut_lineage(parted.mapInPandas(split, schema))
     priors = {r["seeded"]: r["n"] for r in told.groupBy("seeded").agg(F.count(F.lit(1)).alias("n")).collect()}
-    counts = told.select(F.explode(F.split("tokens", " ")).alias("token"), F.col("seeded").cast("int").alias("b")).filter(
-        "token <> ''").groupBy("token").agg(F.sum("b").alias("block"), F.sum(1 - F.col("b")).alias("allow"))
+    counts = cut_lineage(told.select(F.explode(F.split("tokens", " ")).alias("token"), F.col("seeded").cast("int").alias("b")).filter(
+        "token <> ''").groupBy("token").agg(F.sum("b").alias("block"), F.sum(1 - F.col("b")).alias("allow")))
     sums = counts.agg(F.sum("block").alias("block"), F.sum("allow").alias("allow"), F.count(F.lit(1)).alias("size")).first()
     size = (sums["size"] or 0) + 1
     blank = {v: math.log((sums[v] or 0) + size) for v in ("block", "allow")}
-    kept = counts.orderBy(F.desc(F.col("block") + F.col("allow")), "token").limit(TOKENS).collect()
+    kept = most_frequent(counts, F.col("block") + F.col("allow"), TOKENS).collect()
     weights = {r["token"]: math.log(r["block"] + 1) - math.log(r["allow"] + 1) + blank["allow"] - blank["block"] for r in kept}
     model = spark.sparkContext.broadcast(weights)
     prior = math.log(priors.get(True, 0) + 1) - math.log(priors.get(False, 0) + 1)
