@@ -1,6 +1,6 @@
 """Quality of whole texts by histogram gradient-boosted trees over document statistics.
 
-Statistics come from one numpy pass over all texts. Training uses at most ``SAMPLE_ROWS`` labelled rows (a bounded,
+Statistics come from one numpy pass over all texts. Training uses about ``SAMPLE_ROWS`` labelled rows (a bounded,
 documented sample, chosen by hashed id); trees grow level by level on binned columns and are stored as flat arrays,
 so that scoring steps all rows of a batch through one tree level at a time.
 
@@ -162,11 +162,14 @@ def with_statistics(docs: DataFrame) -> DataFrame:
 
 
 def train(stats: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Trees:
-    """Trees from at most ``rows`` labelled texts that are not held out, the smallest by hashed id."""
+    """Trees from about ``rows`` labelled texts that are not held out: all of them, or the share with the smallest hashed ids.
+    The driver gets that many rows of statistics, whatever the input."""
     taught = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(
         F.avg("quality").alias("y")).filter(~held_out(F.col("doc_id")))
-    chosen = taught.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    sample = stats.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").limit(rows).collect()
+    share = rows / max(taught.count(), 1)
+    chosen = taught.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
+    sample = stats.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).collect()
+    sample.sort(key=lambda r: r["doc_id"])
     x = np.array([r["stats"] for r in sample], np.float32).reshape(-1, len(STATISTICS))
     return fit(x, np.array([r["y"] for r in sample], float))
 
