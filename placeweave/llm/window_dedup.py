@@ -5,7 +5,8 @@
    partition counts its anchors' places in a count-min sketch (two rows, counters that stop at two); the partition
    sketches are merged by block, and the cells that reached two are sent back. A window is estimated repeated when its
    anchor's cells reached two in both rows: overestimates occur, underestimates cannot.
-2. Exact pass. Only windows estimated repeated are grouped, by two independent 64-bit hashes of their word sequence. A
+2. Exact pass. Only windows estimated repeated are grouped, by 96 bits of two independent hashes of their word sequence (10^12 such
+   windows meet falsely with a chance of 10^-5). A
    partition first counts its own, chunk by chunk, and sends one row per chunk and window, so a passage that fills a third
    of the corpus meets in few rows.
 3. Removal. Starts of repeated windows go back to their document, whose kept words are joined and hashed.
@@ -140,7 +141,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     # What differs from row to row stands together, what repeats (n, id, mark) surrounds it: such rows compress best.
     names = ["doc_id", "mark", "h1", "h2", "start", "n"]
     schema = docs.select("doc_id").schema
-    for name, kind in zip(names[1:], ("long", "long", "long", "integer", "integer"), strict=True):
+    for name, kind in zip(names[1:], ("long", "long", "integer", "integer", "integer"), strict=True):
         schema = schema.add(name, kind)
 
     def estimated(anchor: np.ndarray) -> np.ndarray:
@@ -167,13 +168,13 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
             # Further places in this chunk are settled: they travel under keys of their own, not under the shared one.
             # Rows that share such a key are all settled, so it need not be unique.
             h1[known] = mark[known].view(np.uint64)
-            h2[known] = start[known].astype(np.uint64)
+            h2[known] = start[known].view(np.uint32)
             step = 1 << 17
             for p in range(0, len(order), step):
                 s = slice(p, p + step)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(p, step), pa.array(mark[s]), pa.array(h1[s].view(np.int64)),
-                     pa.array(h2[s].view(np.int64)), pa.array(start[s]), pa.array(n[s])], names=names)
+                     pa.array(h2[s].view(np.int32)), pa.array(start[s]), pa.array(n[s])], names=names)
 
         for batch in batches:
             marks = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -190,7 +191,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
                 doc = found.doc[starts]
                 held.append((batch.column(0).take(pa.array(row + doc)), marks[row + doc],
                              (starts - found.first[doc]).astype(np.int32), W.windows(h, WINDOW)[starts],
-                             W.windows(W.mix(h ^ _OTHER_BASE), WINDOW, _OTHER_BASE)[starts]))
+                             (W.windows(W.mix(h ^ _OTHER_BASE), WINDOW, _OTHER_BASE)[starts] >> np.uint64(32)).astype(np.uint32)))
                 if sum(len(x[1]) for x in held) >= CHUNK_WINDOWS:
                     yield from send()
         if held:
