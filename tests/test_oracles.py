@@ -1,7 +1,7 @@
 import pytest
 from oracle import assert_same
 
-from placeweave.plans import retrieval  # noqa: F401
+from placeweave.plans import catalogue, retrieval  # noqa: F401
 from placeweave.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
