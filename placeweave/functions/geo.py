@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,8 +49,12 @@ def block_xyz(lat: Column, lon: Column, size_m: float) -> list[Column]:
     return [F.floor(F.lit(EARTH_RADIUS_M) * a / F.lit(side)).cast("bigint") for a in axes]
 
 
+def metres_per_degree() -> float:
+    return EARTH_RADIUS_M * math.pi / 180.0
+
+
 def degrees_for(metres: float) -> float:
-    return metres / (EARTH_RADIUS_M * 3.141592653589793 / 180.0)
+    return metres / metres_per_degree()
 
 
 def known_mode(mode: Column) -> Column:
@@ -91,20 +97,14 @@ def congestion(minutes: Column, static_minutes: Column) -> Column:
 
 
 def segment_distance_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column, lat: Column, lon: Column) -> Column:
-    """Distance of (lat, lon) from a segment on a plane around its latitude."""
-    shrink = F.cos(F.radians(lat))
-
-    def x(v: Column) -> Column:
-        return F.radians(v) * EARTH_RADIUS_M * shrink
-
-    def y(v: Column) -> Column:
-        return F.radians(v) * EARTH_RADIUS_M
-
-    dx, dy = x(lon2) - x(lon1), y(lat2) - y(lat1)
-    length2 = dx * dx + dy * dy
-    along = ((x(lon) - x(lon1)) * dx + (y(lat) - y(lat1)) * dy) / F.nullif(length2, F.lit(0.0))
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(along, F.lit(0.0))))
-    return F.hypot(x(lon1) + t * dx - x(lon), y(lat1) + t * dy - y(lat))
+    """Distance of (lat, lon) from a segment, on the plane that touches the sphere at the point. The point is the origin: the
+    nearest place of the segment is an end where the angle at that end is not acute, else the foot of the perpendicular."""
+    metres = F.lit(metres_per_degree())
+    east = metres * F.cos(F.radians(lat))
+    ax, ay, bx, by = (lon1 - lon) * east, (lat1 - lat) * metres, (lon2 - lon) * east, (lat2 - lat) * metres
+    at_a, at_b = ax * (ax - bx) + ay * (ay - by), bx * (bx - ax) + by * (by - ay)
+    to_line = F.abs(ax * by - ay * bx) / F.nullif(F.hypot(bx - ax, by - ay), F.lit(0.0))
+    return F.when(at_a <= 0, F.hypot(ax, ay)).when(at_b <= 0, F.hypot(bx, by)).otherwise(to_line)
 
 
 def crosses_ray(lat: Column, lon: Column, lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +18,7 @@ WORD = r"[\p{L}\p{N}_]+"
 EDGE_SPACE = r"(?U)^\s+|\s+$"
 
 
-def _base_letter_map(last: int = 0x1FFF) -> tuple[str, str]:
+def _base_letter_map(last: int = sys.maxunicode) -> tuple[str, str]:
     """Lower-case letters whose canonical decomposition is one letter plus marks -> that letter."""
     source, target = ["đ"], ["d"]
     for code in range(0xC0, last + 1):
@@ -31,14 +32,20 @@ def _base_letter_map(last: int = 0x1FFF) -> tuple[str, str]:
     return "".join(source), "".join(target)
 
 
-def _single_casefolds(last: int = 0x1FFF) -> tuple[str, str]:
+def _single_casefolds(last: int = sys.maxunicode) -> tuple[str, str]:
     pairs = [(c, c.casefold()) for c in map(chr, range(0x80, last + 1))
              if c == c.lower() and c.casefold() != c and len(c.casefold()) == 1]
     return "".join(p[0] for p in pairs), "".join(p[1] for p in pairs)
 
 
+def _long_casefolds() -> dict[str, str]:
+    """Lower-case letters whose case folding is several letters, by that folding."""
+    return {c: c.casefold() for c in map(chr, range(0x80, sys.maxunicode + 1)) if c == c.lower() and len(c.casefold()) > 1}
+
+
 _MARKED, _BASE = _base_letter_map()
 _FOLDABLE, _FOLDED = _single_casefolds()
+_LONG_FOLDS = _long_casefolds()
 
 
 def strip(c: Column) -> Column:
@@ -46,7 +53,13 @@ def strip(c: Column) -> Column:
 
 
 def casefold(c: Column) -> Column:
-    return F.translate(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), _FOLDABLE, _FOLDED)
+    out = F.lower(c)
+    rare = F.lit("[" + "".join(_LONG_FOLDS) + "]")
+    long = out
+    for letter, folded in _LONG_FOLDS.items():
+        long = F.replace(long, F.lit(letter), F.lit(folded))
+    # Most texts hold none of these letters: one look decides whether the replacements run.
+    return F.translate(F.when(F.regexp_like(out, rare), long).otherwise(out), _FOLDABLE, _FOLDED)
 
 
 def _drop_marks(c: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placeweave.functions import text as X
-from placeweave.operators.scale import broadcast_if_small, dense_index, hash_bucket, is_small, top_k
+from placeweave.operators.scale import dense_index, top_k
 
 # Categories that are context rather than destinations, fusion constants.
 NON_DESTINATIONS = ("boi_canh", "ha_tang", "don_vi_hanh_chinh")
@@ -25,9 +25,9 @@ BM25_K1 = 1.5
 BM25_B = 0.75
 # Scores closer than this are equal: the order in which Spark adds doubles must not rank copies.
 SCORE_DECIMALS = 9
-# Queries scored per pass over the chunks; bounds what a pass ships to every executor.
-QUERY_SLICE = 4096
-QUERY_TERMS_BROADCAST = 500_000
+# Vectors packed into one row for exact search: a block of queries meets every block of chunks once.
+QUERY_BLOCK = 256
+CHUNK_BLOCK = 4096
 FILTERS = ("category", "place_id")
 
 
@@ -41,6 +41,15 @@ def _filters(queries: DataFrame) -> list[str]:
     return [f for f in FILTERS if f in queries.columns]
 
 
+def _asked(queries: DataFrame) -> DataFrame:
+    """Queries that say something; an empty category is no filter."""
+    if "query" in queries.columns:
+        queries = queries.filter(X.strip(F.col("query")) != "")
+    if "category" in queries.columns:
+        queries = queries.withColumn("category", F.nullif("category", F.lit("")))
+    return queries
+
+
 def _passes(filters: Sequence[str], query: str, chunk: str) -> Column:
     keep = F.lit(True)
     for f in filters:
@@ -69,21 +78,18 @@ def _analyzed(corpus_df: DataFrame, analyzer: str) -> DataFrame:
     )
 
 
-def bm25_index(corpus_df: DataFrame, analyzer: str = "plain", vocabulary: DataFrame | None = None,
-               vocabulary_is_small: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def bm25_index(corpus_df: DataFrame, analyzer: str = "plain",
+               vocabulary: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(postings, document frequencies, collection statistics).
 
     ``vocabulary(term)`` restricts the postings to terms that will be asked for, before anything
-    is shuffled. Postings are partitioned by chunk, so scoring needs no further exchange."""
+    is shuffled; repeats of a word in a chunk are counted before the shuffle."""
     docs = _analyzed(corpus_df, analyzer)
     stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avgdl"))
     words = docs.select("chunk_id", *FILTERS, "length", F.explode("terms").alias("term"))
     if vocabulary is not None:
-        words = words.join(F.broadcast(vocabulary) if vocabulary_is_small else vocabulary, "term", "left_semi")
-    postings = (
-        words.repartition("chunk_id")
-        .groupBy("chunk_id", *FILTERS, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    )
+        words = words.join(vocabulary, "term", "left_semi")
+    postings = words.groupBy("chunk_id", *FILTERS, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
     frequencies = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return postings, frequencies, stats
 
@@ -91,9 +97,9 @@ def bm25_index(corpus_df: DataFrame, analyzer: str = "plain", vocabulary: DataFr
 def bm25_search(queries: DataFrame, corpus_df: DataFrame, k: int = 5, analyzer: str = "plain",
                 k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
     """Chunks scoring above zero, best first. Query terms travel to the postings, never the reverse."""
+    queries = _asked(queries)
     asked = query_terms(queries, analyzer)
-    small = is_small(asked, QUERY_TERMS_BROADCAST)
-    postings, frequencies, stats = bm25_index(corpus_df, analyzer, asked.select("term").distinct(), small)
+    postings, frequencies, stats = bm25_index(corpus_df, analyzer, asked.select("term").distinct())
     n = stats.select(F.col("n").cast("double")).scalar()
     avgdl = stats.select("avgdl").scalar()
     weights = asked.join(frequencies, "term").withColumn(
@@ -101,7 +107,7 @@ def bm25_search(queries: DataFrame, corpus_df: DataFrame, k: int = 5, analyzer:
     tf = F.col("tf")
     gain = F.col("weight") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / avgdl))
     matched = postings.alias("c").join(
-        (F.broadcast(weights) if small else weights).alias("q"),
+        weights.alias("q"),
         (F.col("c.term") == F.col("q.term")) & _passes(_filters(queries), "q", "c"))
     scores = (
         matched.select("q.query_id", "c.chunk_id", gain.alias("gain"))
@@ -115,77 +121,62 @@ def _unit_rows(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.where(norms > 0, norms, 1.0)
 
 
-class _BlockScorer:
-    """Scores Arrow batches of chunks against one slice of queries and keeps each query's best rows."""
-
-    def __init__(self, ids: list, vectors: np.ndarray, filters: dict[str, list], k: int, min_similarity: float):
-        self.ids, self.vectors, self.filters, self.k, self.floor = ids, vectors, filters, k, min_similarity
-
-    def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-        for batch in batches:
-            if len(batch) == 0:
-                continue
-            matrix = _unit_rows(np.vstack(batch["vector"].to_numpy()).astype(np.float64))
-            similarity = np.round(self.vectors @ matrix.T, SCORE_DECIMALS)
-            allowed = similarity >= self.floor
-            for column, wanted in self.filters.items():
-                values = batch[column].to_numpy()
-                allowed &= np.array([np.ones(len(values), bool) if w is None else values == w for w in wanted])
-            similarity = np.where(allowed, similarity, -np.inf)
-            if similarity.shape[1] > self.k:
-                cut = np.partition(similarity, -self.k, axis=1)[:, -self.k][:, None]
-                allowed &= similarity >= cut
-            q, c = np.nonzero(allowed)
-            kept = self._prune(np.concatenate([kept[0], q]), np.concatenate([kept[1], batch["chunk_id"].to_numpy()[c]]),
-                               np.concatenate([kept[2], similarity[q, c]]))
-        if len(kept[0]):
-            yield pd.DataFrame({"query_id": [self.ids[i] for i in kept[0]], "chunk_id": kept[1], "score": kept[2]})
-
-    def _prune(self, q: np.ndarray, chunk: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, ...]:
-        order = np.lexsort((chunk, -score, q))
-        q, chunk, score = q[order], chunk[order], score[order]
-        starts = np.r_[0, np.flatnonzero(np.diff(q)) + 1] if len(q) else np.empty(0, int)
-        position = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)]))
-        keep = position < self.k
-        return q[keep], chunk[keep], score[keep]
+def _best_of_block(queries: Sequence, chunks: Sequence, filters: Sequence[str], k: int, floor: float) -> pd.DataFrame:
+    """Up to ``k`` best chunks of one block for each query of another, ties to the smaller chunk id."""
+    ids, chunk_ids = np.array([q["query_id"] for q in queries], object), np.array([c["chunk_id"] for c in chunks], object)
+    rank_of = np.empty(len(chunk_ids), np.int64)
+    rank_of[np.argsort(chunk_ids, kind="stable")] = np.arange(len(chunk_ids))
+    asked, held = (_unit_rows(np.array([r["vector"] for r in rows], np.float64)) for rows in (queries, chunks))
+    similarity = np.round(asked @ held.T, SCORE_DECIMALS)
+    allowed = similarity >= floor
+    for f in filters:
+        values = np.array([c[f] for c in chunks], object)
+        allowed &= np.array([np.ones(len(values), bool) if q[f] is None else values == q[f] for q in queries])
+    found = []
+    for n in range(len(queries)):
+        at = np.flatnonzero(allowed[n])
+        at = at[np.lexsort((rank_of[at], -similarity[n, at]))[:k]]
+        found.append(pd.DataFrame({"query_id": ids[[n] * len(at)], "chunk_id": chunk_ids[at], "score": similarity[n, at]}))
+    return pd.concat(found)
 
 
 def dense_search(queries: DataFrame, chunks: DataFrame, k: int = 5, model: str | None = None,
                  min_similarity: float = -1.0, dim: int | None = None) -> DataFrame:
-    """Exact cosine search. Chunks of another model or without a vector are ignored, blank queries
-    return nothing, and filters apply before the top-k.
+    """Exact cosine search. Chunks of another model or without a vector are ignored, blank queries and
+    queries without a vector return nothing, and filters apply before the top-k.
 
-    Queries go out in slices of bounded size; every slice is one pass over the chunks that emits
-    at most ``k`` rows per query and task."""
+    Both sides are packed into rows of a bounded number of vectors; each pair of rows is one matrix product
+    in a task and emits at most ``k`` rows per query. The driver sees two counts."""
+    queries = _asked(queries)
     filters = _filters(queries)
     usable = chunks.filter(F.col("embedding").isNotNull())
+    asked = queries.filter(F.col("embedding").isNotNull())
     if model is not None:
         usable = usable.filter(F.col("embedding_model") == model)
-    asked = queries.filter(X.strip(F.col("query")) != "") if "query" in queries.columns else queries
     if dim is not None:
         def checked(c: str) -> Column:
             return F.when(F.size(c) == dim, F.col(c)).otherwise(
                 F.raise_error(F.lit(f"expected vectors of {dim} dimensions")).cast("array<double>"))
         usable, asked = usable.withColumn("embedding", checked("embedding")), asked.withColumn(
             "embedding", checked("embedding").cast("array<double>"))
-    rows = usable.select("chunk_id", *filters, F.col("embedding").alias("vector"))
-    asked = asked.select("query_id", *filters, F.col("embedding").alias("vector"))
-    slices = max(1, -(-asked.count() // QUERY_SLICE))
-    id_type = queries.schema["query_id"].dataType.simpleString()
-    out = None
-    for s in range(slices):
-        block = asked.filter(hash_bucket("query_id", slices) == s).collect()  # at most about one slice
-        if not block:
-            continue
-        vectors = _unit_rows(np.array([r["vector"] for r in block], np.float64))
-        scorer = _BlockScorer([r["query_id"] for r in block], vectors,
-                              {f: [r[f] for r in block] for f in filters}, k, min_similarity)
-        part = rows.mapInPandas(scorer, f"query_id {id_type}, chunk_id bigint, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = queries.sparkSession.createDataFrame([], f"query_id {id_type}, chunk_id bigint, score double")
-    return _best(out, k)
+
+    def packed(df: DataFrame, key: str, size: int, name: str) -> tuple[DataFrame, int]:
+        blocks = max(1, -(-df.count() // size))
+        row = F.struct(key, *filters, F.col("embedding").alias("vector"))
+        return df.groupBy(F.pmod(F.xxhash64(key), F.lit(blocks)).alias(f"{name}_block")).agg(F.collect_list(row).alias(name)), blocks
+
+    asked_blocks, _ = packed(asked, "query_id", QUERY_BLOCK, "asked")
+    held_blocks, n_held = packed(usable, "chunk_id", CHUNK_BLOCK, "held")
+    pairs = asked_blocks.withColumn("held_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_held - 1).cast("bigint")))).join(
+        held_blocks, "held_block").select("asked", "held")
+
+    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for one, other in zip(frame["asked"], frame["held"], strict=True):
+                yield _best_of_block(one, other, filters, k, min_similarity)
+
+    shape = ", ".join(f"{name} {df.schema[name].dataType.simpleString()}" for df, name in ((queries, "query_id"), (chunks, "chunk_id")))
+    return _best(pairs.mapInPandas(score, f"{shape}, score double"), k)
 
 
 def rrf(rankings: Sequence[DataFrame], k: int, c: int = RRF_K) -> DataFrame:
@@ -297,7 +288,7 @@ def rerank_named(results: DataFrame, named: DataFrame, k: int = 5, max_chars: in
     body = (F.length("content") >= 80) & ~F.ltrim("content").startswith("==")
     flagged = results.withColumn("_body", body).withColumn(
         "_any", F.max("_body").over(Window.partitionBy("query_id")))
-    marks = broadcast_if_small(named.select("query_id", "place_id").distinct().withColumn("_named", F.lit(True)))
+    marks = named.select("query_id", "place_id").distinct().withColumn("_named", F.lit(True))
     kept = flagged.filter(F.col("_body") | ~F.col("_any")).join(marks, ["query_id", "place_id"], "left")
     best = top_k(kept, ["query_id"], [F.coalesce("_named", F.lit(False)).desc(), F.col("rank")], k, "ref")
     return best.select(

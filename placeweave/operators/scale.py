@@ -1,8 +1,4 @@
-"""Ranking, numbering and look-back over groups that may be arbitrarily large.
-
-A plain window sends one key's rows to one task. These helpers keep that plan for groups of
-ordinary size and split larger groups by range (order matters) or by hash (it does not).
-"""
+"""Numbering, newest rows and top-k over groups that may be arbitrarily large. One plan for every size."""
 
 from __future__ import annotations
 
@@ -11,18 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from placeweave.session import cut_lineage
-
-# Rows of one key that a single task may sort; above it the key is split.
-GROUP_ROWS_PER_TASK = 2_000_000
-
-
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Row count of the biggest key (map-side combined, one row reaches the driver)."""
-    row = df.groupBy(*keys).count().agg(F.max("count")).first()
-    return row[0] or 0
-
-
 def hash_bucket(key: Column | str, buckets: int) -> Column:
     """Stable bucket of a string key; same arithmetic in any SQL engine with md5."""
     col = F.col(key) if isinstance(key, str) else key
@@ -53,80 +37,10 @@ def dense_index(df: DataFrame, keys: Sequence[str], unique_key: str, name: str,
     )
 
 
-def _range_split(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    # The bucket id depends on sampled range bounds, so it is fixed by a checkpoint before use.
-    ranged = df.repartitionByRange(*[F.col(k) for k in keys], *order)
-    return cut_lineage(ranged.withColumn("_part", F.spark_partition_id()))
-
-
-def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str,
-           bound: int = GROUP_ROWS_PER_TASK) -> DataFrame:
-    """1-based rank per key; ``order`` must end in a unique column."""
-    order = [F.col(o) if isinstance(o, str) else o for o in order]
-    keys = list(keys)
-    if largest_group(df, keys) <= bound:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    split = _range_split(df, keys, order)
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        split.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
-        .select(*keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    )
-    local = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
-    return (
-        split.withColumn(name, local).join(offsets, [*keys, "_part"])
-        .withColumn(name, (F.col(name) + F.col("_offset")).cast("int"))
-        .drop("_part", "_offset")
-    )
-
-
-def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], columns: Sequence[str],
-                  bound: int = GROUP_ROWS_PER_TASK, prefix: str = "prev_") -> DataFrame:
-    """Adds ``prev_<c>`` of the preceding row and ``is_last`` per key; ``order`` must be total."""
-    order = [F.col(o) if isinstance(o, str) else o for o in order]
-    keys, columns = list(keys), list(columns)
-    if largest_group(df, keys) <= bound:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.select(
-            "*", *[F.lag(c).over(w).alias(prefix + c) for c in columns],
-            F.lead(F.lit(True), 1, False).over(w).alias("_next"),
-        ).withColumn("is_last", ~F.col("_next")).drop("_next")
-    split = _range_split(df, keys, order)
-    w = Window.partitionBy(*keys, "_part").orderBy(*order)
-    local = split.select(
-        "*", *[F.lag(c).over(w).alias(prefix + c) for c in columns],
-        (F.row_number().over(w) == 1).alias("_first"),
-        F.lead(F.lit(True), 1, False).over(w).alias("_next"),
-    )
-    # One row per (key, range): the values a following range needs from its predecessor.
-    across = Window.partitionBy(*keys).orderBy("_part")
-    tails = (
-        split.groupBy(*keys, "_part")
-        .agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_tail"))
-        .select(*keys, "_part", F.lag("_tail").over(across).alias("_carry"),
-                F.lead(F.lit(True), 1, False).over(across).alias("_more"))
-    )
-    joined = local.join(tails, [*keys, "_part"])
-    for c in columns:
-        joined = joined.withColumn(
-            prefix + c, F.when(F.col("_first"), F.col("_carry")[c]).otherwise(F.col(prefix + c)))
-    return (
-        joined.withColumn("is_last", ~F.col("_next") & ~F.col("_more"))
-        .drop("_part", "_first", "_next", "_carry", "_more")
-    )
-
-
-def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
-    """First row per key by ``order``: an aggregate with map-side combine, not a window."""
-    rest = [c for c in df.columns if c not in set(keys)]
-    pick = F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")
-    return df.groupBy(*keys).agg(pick).select(*keys, "_row.*")
-
-
-def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
-    rest = [c for c in df.columns if c not in set(keys)]
-    pick = F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")
-    return df.groupBy(*keys).agg(pick).select(*keys, "_row.*")
+def latest_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """One row per key, the one with the highest ``order``. Aggregated before the shuffle, so a hot key stays small."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("row")).select(*keys, "row.*")
 
 
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -134,14 +48,3 @@ def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, ran
     before the shuffle (window group limit), so one busy key cannot flood a task."""
     w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
-
-
-def is_small(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; stops counting one row past the bound."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """Broadcast hint behind a row check; a bigger table is left to the shuffled join, whose
-    hot partitions adaptive execution splits."""
-    return F.broadcast(df) if is_small(df, rows) else df

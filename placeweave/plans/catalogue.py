@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from placeweave.functions import geo, hours
 from placeweave.functions import weather_rules as R
 from placeweave.operators import matching, weather
+from placeweave.operators.scale import latest_per_key
 from placeweave.plans.registry import query, table
 
 CENTRE, CORE_KM = (16.4698, 107.5796), 15.0
@@ -191,7 +192,7 @@ def cells_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(
         F.rint(lat * 10).cast("int").alias("lat_cell"), F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600).alias("hour"),
         F.col("ts").alias("fetched_at"), "event_id", "value")
-    return weather.newest_per_cell(rows, ["lat_cell", "hour"], ["fetched_at", "event_id"]).select("lat_cell", "hour", "event_id", "value")
+    return latest_per_key(rows, ["lat_cell", "hour"], ["fetched_at", "event_id"]).select("lat_cell", "hour", "event_id", "value")
 
 
 @query("lead_tiers", """SELECT o_orderkey AS trip, CASE WHEN lead < 0 THEN 'none' WHEN lead <= 3 THEN 'hourly' WHEN lead <= 10 THEN 'daily' ELSE 'climate' END AS tier
@@ -240,7 +241,7 @@ def fill_travel(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1""")
 def latest_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = table(spark, sf_dir, "events").select(F.col("event_type").alias("source"), F.col("user_id").alias("key"), "ts", "event_id", "props")
-    newest = weather.newest_per_cell(raw, ["source", "key"], ["ts", "event_id"])
+    newest = latest_per_key(raw, ["source", "key"], ["ts", "event_id"])
     return newest.select("source", "key", "event_id", F.sha2("props", 256).alias("content_hash"))
 
 
