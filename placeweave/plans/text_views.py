@@ -28,7 +28,7 @@ def raw_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     exploded = docs.select("doc_id", "source", F.posexplode(X.chunk_array(F.col("text"), 1200, r"\n")).alias("pos", "content"))
     return exploded.select(
-        (F.col("doc_id") * 100000 + F.col("pos")).alias("chunk_id"), F.col("doc_id").alias("place_id"), "content",
+        F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("pos").cast("string")).alias("chunk_id"), F.col("doc_id").alias("place_id"), "content",
         F.concat(F.lit("https://example.org/"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("source_url"))
 
 
@@ -108,7 +108,7 @@ pieces AS (
   SELECT doc_id, para_no, part, regexp_replace(arg_max(open, i), '^\s+|\s+$', '', 'g')
   FROM packing GROUP BY doc_id, para_no, part),
 chunks AS (
-  SELECT d.doc_id * 100000 + row_number() OVER (PARTITION BY p.doc_id ORDER BY para_no, part) - 1 AS chunk_id,
+  SELECT d.doc_id || ':' || (row_number() OVER (PARTITION BY p.doc_id ORDER BY para_no, part) - 1) AS chunk_id,
          d.doc_id AS place_id, p.content,
          'https://example.org/' || d.source || '/' || d.doc_id AS source_url,
          d.source || ' ' || d.doc_id AS place_name,
