@@ -55,10 +55,9 @@ def strip(c: Column) -> Column:
 def casefold(c: Column) -> Column:
     out = F.lower(c)
     rare = F.lit("[" + "".join(_LONG_FOLDS) + "]")
-    long = out
-    for letter, folded in _LONG_FOLDS.items():
-        long = F.replace(long, F.lit(letter), F.lit(folded))
-    # Most texts hold none of these letters: one look decides whether the replacements run.
+    table = F.create_map(*[F.lit(x) for pair in _LONG_FOLDS.items() for x in pair])
+    long = F.array_join(F.transform(F.split(out, ""), lambda letter: F.coalesce(F.try_element_at(table, letter), letter)), "")
+    # Most texts hold none of these letters: one look decides whether theirs are read one by one.
     return F.translate(F.when(F.regexp_like(out, rare), long).otherwise(out), _FOLDABLE, _FOLDED)
 
 

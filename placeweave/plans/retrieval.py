@@ -10,6 +10,7 @@ from placeweave.operators import evaluation as V
 from placeweave.operators import retrieval as R
 from placeweave.plans import text_views as T
 from placeweave.plans.registry import query, table
+from placeweave.session import cut_lineage
 
 
 def _ranked(df: DataFrame) -> DataFrame:
@@ -149,7 +150,8 @@ RETRIEVERS = ("bm25", "bm25_fold", "bm25_multi", "random")
 
 def _evaluated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(results with place and content, per-query metrics) of every text retriever."""
-    corpus, asked = T.corpus(spark, sf_dir), T.queries(spark, sf_dir)
+    # Every retriever reads the chunks and every metric reads the results: both are computed once.
+    corpus, asked = cut_lineage(T.corpus(spark, sf_dir)), T.queries(spark, sf_dir)
     searches = {
         "bm25": R.bm25_search(asked, corpus, 10, "plain"), "bm25_fold": R.bm25_search(asked, corpus, 10, "fold"),
         "bm25_multi": R.bm25_search(asked, corpus, 10, "multi"), "random": R.random_search(asked, corpus, 10, seed=7),
@@ -158,7 +160,7 @@ def _evaluated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     for name, result in searches.items():
         tagged = result.withColumn("retriever", F.lit(name))
         found = tagged if found is None else found.unionByName(tagged)
-    results = found.join(corpus.select("chunk_id", "place_id", "place_name", "content"), "chunk_id")
+    results = cut_lineage(found.join(corpus.select("chunk_id", "place_id", "place_name", "content"), "chunk_id"))
     gold = asked.join(T.relevant(spark, sf_dir), "query_id")
     judged, _, _ = V.build_judgements(gold, T.links(spark, sf_dir), corpus)
     return results, V.score_queries(results, asked, judged, RETRIEVERS)
