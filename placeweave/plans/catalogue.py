@@ -161,12 +161,13 @@ def daily_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("climate_normals", f"""WITH {SQL_HOURLY},
 daily AS (SELECT cell, hour // 24 AS day, sum(precip_mm) AS p, avg(temp_c) AS t, max(wind_kmh) AS w FROM hourly GROUP BY ALL)
-SELECT cell, month(DATE '1970-01-01' + day::INT)::INT AS month, round(avg(t), 5) AS temp_c, round(avg(p), 5) AS precip_mm,
-  round(avg(w), 5) AS wind_kmh, round(avg(CASE WHEN p >= 1 THEN 1.0 ELSE 0.0 END), 5) AS rain_days FROM daily GROUP BY ALL""")
+SELECT cell, month(DATE '1970-01-01' + day::INT)::INT AS month, round(avg(t) + 1e-9, 5) AS temp_c, round(avg(p) + 1e-9, 5) AS precip_mm,
+  round(avg(w) + 1e-9, 5) AS wind_kmh, round(avg(CASE WHEN p >= 1 THEN 1.0 ELSE 0.0 END) + 1e-9, 5) AS rain_days FROM daily GROUP BY ALL""")
 def climate_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The added 1e-9 settles ties at the fifth decimal alike, whatever order the days are summed in."""
     daily = weather.daily_weather(hourly(spark, sf_dir))
     out = weather.climate_normals(daily, F.month(F.date_from_unix_date(F.col("day").cast("int"))))
-    return out.select("cell", "month", *[F.round(c, 5).alias(c) for c in ("temp_c", "precip_mm", "wind_kmh", "rain_days")])
+    return out.select("cell", "month", *[F.round(F.col(c) + 1e-9, 5).alias(c) for c in ("temp_c", "precip_mm", "wind_kmh", "rain_days")])
 
 
 @query("weather_rules", f"""WITH {SQL_HOURLY}, {SQL_FLAGS},
