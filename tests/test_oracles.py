@@ -1,7 +1,7 @@
 import pytest
 from oracle import assert_same
 
-from placeweave.plans import catalogue, labels, loads, retrieval, trips  # noqa: F401
+from placeweave.plans import catalogue, labels, loads, retrieval, routes, slots, trips  # noqa: F401
 from placeweave.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
