@@ -47,7 +47,8 @@ def slot_weather(slots: DataFrame, hourly: DataFrame, daily: DataFrame) -> DataF
     """Slots (with ``cell, tier, indoor_ratio, unsafe``) and their ``blocked, blocked_hour, weather_cost, factor, stormy``.
 
     Hourly tier: blocked when any hour of a possible stay is unsafe; the cost is the mean of the hours of a visit that starts mid-slot. Daily
-    tier: the day's record. Other tiers cost nothing. Costs are whole minutes, half to even."""
+    tier: the day's record. Other tiers cost nothing. Costs are whole minutes, half to even; nine decimals are
+    looked at, so the order in which the hours are summed settles no tie."""
     plain = F.create_map().cast("map<string,double>")
     unsafe = F.size(R.hazard_overlap(R.hazards(), F.col("unsafe"))) > 0
     cost = R.weather_cost(F.col("indoor_ratio"), plain)
@@ -71,7 +72,7 @@ def slot_weather(slots: DataFrame, hourly: DataFrame, daily: DataFrame) -> DataF
     out = slots.join(by_hour.unionByName(by_day), key, "left").withColumn("blocked", F.coalesce("blocked", F.lit(False)))
     open_slot = ~F.col("blocked")
     return out.withColumns({
-        "weather_cost": F.when(open_slot, F.rint(F.coalesce("_cost", F.lit(0.0)) * WEATHER_WEIGHT * F.col("visit_minutes") / 60)).otherwise(0.0).cast("int"),
+        "weather_cost": F.when(open_slot, F.rint(F.round(F.coalesce("_cost", F.lit(0.0)) * WEATHER_WEIGHT * F.col("visit_minutes") / 60, 9))).otherwise(0.0).cast("int"),
         "factor": F.when(open_slot, F.coalesce("factor", F.lit(1.0))).otherwise(1.0),
         "stormy": open_slot & F.coalesce("stormy", F.lit(False))}).drop("_cost")
 

@@ -56,7 +56,7 @@ seen AS (SELECT trip, place, day, lo, min(h) FILTER ({_SQL_HIT}) AS blocked_hour
     max({_SQL_FACTOR}) FILTER (h = mid // 60) AS factor, max((storm OR heavy)::INT) FILTER (h = mid // 60) = 1 AS stormy
   FROM (SELECT *, greatest(least(mid + visit_minutes, (h + 1) * 60) - greatest(mid, h * 60), 0) / 60.0::DOUBLE AS share FROM stay) s JOIN flags f ON f.cell = s.place % 16 AND f.hour = s.day * 24 + h GROUP BY ALL),
 judged AS (SELECT s.trip, s.place, s.day, s.tier, s.lo, s.hi, visit_minutes, blocked_hour, blocked_hour IS NOT NULL AS blocked, cost, factor, stormy FROM slot s LEFT JOIN seen USING (trip, place, day, lo) WHERE tier <> 'daily'
-  UNION ALL SELECT s.trip, s.place, s.day, tier, lo, hi, visit_minutes, NULL, coalesce({_SQL_HIT}, false), {_SQL_COST.format(rain="greatest(least(p / 30.0, 1.0), 0.7 * code / 100.0)")},
+  UNION ALL SELECT s.trip, s.place, s.day, tier, lo, hi, visit_minutes, NULL, coalesce({_SQL_HIT}, false), CASE WHEN p IS NOT NULL THEN {_SQL_COST.format(rain="greatest(least(p / 30.0, 1.0), 0.7 * code / 100.0)")} END,
     CASE WHEN p IS NULL THEN 1.0 ELSE {_SQL_FACTOR} END, storm OR heavy FROM slot s LEFT JOIN dflags f ON f.cell = s.place % 16 AND f.day = s.day WHERE tier = 'daily')"""
 
 
@@ -77,7 +77,7 @@ def visit_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("slot_weather", f"""WITH {_SQL_WEATHERED} SELECT trip, place, day::INT AS day, lo::INT AS lo, hi::INT AS hi, blocked, blocked_hour,
-  CASE WHEN blocked THEN 0 ELSE round_even(coalesce(cost, 0) * 120 * visit_minutes / 60, 0) END::INT AS weather_cost, CASE WHEN blocked THEN 1 ELSE coalesce(factor, 1) END::DOUBLE AS factor,
+  CASE WHEN blocked THEN 0 ELSE round_even(round(coalesce(cost, 0) * 120 * visit_minutes / 60, 9), 0) END::INT AS weather_cost, CASE WHEN blocked THEN 1 ELSE coalesce(factor, 1) END::DOUBLE AS factor,
   NOT blocked AND coalesce(stormy, false) AS stormy FROM judged""")
 def slot_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged, _ = _weathered(spark, sf_dir)
