@@ -134,6 +134,14 @@ def entity_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("place_key", F.array_join("ids", ",").alias("ids"), "name", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
+@query("entity_review", f"""WITH RECURSIVE {SQL_PLACES}, {_SQL_MATCHES}, side AS (SELECT *, CASE place % 2 WHEN 0 THEN 'a' ELSE 'b' END AS side FROM places)
+SELECT s.side, s.place AS id, s.name, count(*) AS candidates FROM side s JOIN side o ON o.name = s.name AND o.side <> s.side
+WHERE s.place NOT IN (SELECT id_a FROM matches UNION ALL SELECT id_b FROM matches) GROUP BY ALL""")
+def entity_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = _sources(spark, sf_dir)
+    return matching.review_names(a, b, matching.match_places(a, b, MATCH_RADIUS_M))
+
+
 _SQL_TEXT = """CASE WHEN size % 7 = 0 THEN 'by appointment' ELSE
   'Mo-Fr 0' || (6 + size % 4) || ':00-1' || (4 + size % 6) || ':30' || CASE WHEN size % 3 = 0 THEN '; Sa 08:00-12:00,13:00-15:15' ELSE '' END END"""
 
