@@ -3,11 +3,14 @@
 Base spans, leftmost non-overlapping per kind: ``assign`` (a value set after a password-like name), ``access`` (an access
 key id), ``hex`` (a long run of hex digits); matches that are too short are dropped. Novelty spans: a run of 20 or more
 token characters with a digit and a letter, shortly after a word that speaks of secrets. Its marginal size is what it adds
-to a compressed frame whose dictionary holds known identifiers and the text around it; runs the dictionary can build from
-what it has seen are shortened, random strings are not and are reported as ``novel``.
-
-Defined results: null text is empty and has no span; a novelty candidate that overlaps a base span is not reported again;
-equal spans of several kinds are listed in the order of ``KINDS``; offsets are code points, end exclusive.
+to a compressed frame whose dictionary holds known identifiers and the text around it, other copies of the run cut out; runs
+the dictionary can build from what it has seen are shortened, random strings are not and are reported as ``novel``. What
+counts as shortened is measured against a random string of the same length over the run's own symbols, in the same frame, so
+that what the entropy coder saves on a small alphabet does not count, whatever the length.
+
+Defined results: null text is empty and has no span; a novelty candidate is not reported again if base spans leave fewer than
+``CANDIDATE_MIN`` characters of it uncovered; equal spans of several kinds are listed in the order of ``KINDS``; offsets are
+code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -30,7 +34,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 CONTEXT_WORDS = ("key", "secret", "token", "passw", "pwd", "credential", "auth", "bearer", "private", "signature")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE_MIN = 20
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{CANDIDATE_MIN},}}")
 CONTEXT_CHARS = 48
 SURROUNDING_CHARS = 2048
 NOVEL_SHARE = 0.8
@@ -44,13 +49,40 @@ IDENTIFIERS = (
 ).encode()
 
 
-def _marginal_share(candidate: str, around: str) -> float:
-    """Compressed bytes the candidate adds, over its own bytes."""
+def _around(text: str, start: int, end: int) -> str:
+    """The text on both sides of a run, without other copies of the run or of a long value it sets (``name=value``)."""
+    run = text[start:end]
+    reach = SURROUNDING_CHARS + len(run)  # a copy across the edge is seen whole
+    before, after = text[max(0, start - reach):start], text[end:end + reach]
+    for copy in (run, *(v for v in run.split("=") if len(v) >= CANDIDATE_MIN)):
+        before, after = before.replace(copy, " "), after.replace(copy, " ")
+    return before[-SURROUNDING_CHARS:] + after[:SURROUNDING_CHARS]
+
+
+def _is_novel(candidate: str, around: str) -> bool:
+    """Whether the bytes the candidate adds to the frame reach ``NOVEL_SHARE`` of those a random string like it adds."""
     primed = zstandard.ZstdCompressionDict(IDENTIFIERS + around.encode("utf-8", "replace"),
                                            dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     packer = zstandard.ZstdCompressor(level=19, dict_data=primed, write_content_size=False, write_dict_id=False)
-    own = candidate.encode()
-    return (len(packer.compress(own)) - len(packer.compress(b""))) / len(own)
+    own, nothing = candidate.encode(), len(packer.compress(b""))
+    added = len(packer.compress(own)) - nothing
+    if added >= NOVEL_SHARE * len(own):
+        return True
+    symbols = np.unique(np.frombuffer(own, np.uint8))
+    drawn = symbols[np.random.default_rng(len(own)).integers(0, len(symbols), len(own))].tobytes()
+    return added >= NOVEL_SHARE * (len(packer.compress(drawn)) - nothing)
+
+
+def _uncovered(start: int, end: int, busy: list[tuple[int, int]], first: int) -> int:
+    """Characters of a run outside the sorted spans."""
+    done = free = 0
+    for n in range(first, len(busy)):
+        s, e = busy[n]
+        if s >= end:
+            break
+        free += max(0, s - max(start, done))
+        done = max(done, e)
+    return free + max(0, end - max(start, done))
 
 
 def _novel(text: str, taken: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, str]]:
@@ -61,13 +93,12 @@ def _novel(text: str, taken: list[tuple[int, int, str]]) -> Iterator[tuple[int,
             continue
         while b < len(busy) and busy[b][1] <= start:
             b += 1
-        if any(s < end and e > start for s, e in busy[b:b + 4]):
+        if _uncovered(start, end, busy, b) < CANDIDATE_MIN:
             continue
         before = text[max(0, start - CONTEXT_CHARS):start].lower()
         if not any(w in before for w in CONTEXT_WORDS):
             continue
-        around = text[max(0, start - SURROUNDING_CHARS):start] + text[end:end + SURROUNDING_CHARS]
-        if _marginal_share(run, around) >= NOVEL_SHARE:
+        if _is_novel(run, _around(text, start, end)):
             yield start, end, "novel"
 
 

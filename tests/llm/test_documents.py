@@ -1,4 +1,6 @@
 import hashlib
+import random
+import string
 import zlib
 from collections import Counter
 
@@ -143,6 +145,19 @@ def test_novelty_reports_what_the_dictionary_cannot_shorten():
     assert secret_scan.find_spans(f"the colour is {random_run} here") == []
 
 
+@pytest.mark.parametrize("alphabet", ["0123456789ABCDEF", "0123456789abcdefABCDEF", string.ascii_uppercase + "234567",
+                                      string.ascii_lowercase + string.digits, string.ascii_letters + string.digits + "+/"])
+def test_long_and_repeated_random_strings_are_novel(alphabet):
+    rng = random.Random(11)
+    for n in (40, 64, 200, 1600):
+        run = "Z9" + "".join(rng.choices(alphabet, k=n - 2))
+        once = f"the auth header is {run} here"
+        assert [once[s:e] for s, e, k in secret_scan.find_spans(once) if k == "novel"] == [run]
+        twice = f"the auth header is {run} here, and again the auth header is {run}; auth key name={run} too"
+        assert run not in secret_scan.redact(twice, secret_scan.find_spans(twice))
+    assert secret_scan.find_spans("the auth key is " + "0123456789abcdef-" * 9) == []
+
+
 def test_redacted_documents_keep_their_columns(spark):
     docs = docs_frame(spark)
     out = secret_scan.without_secrets(docs)
