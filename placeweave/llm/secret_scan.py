@@ -2,7 +2,9 @@
 
 Base spans, leftmost non-overlapping per kind: ``assign`` (a value set after a password-like name), ``access`` (an access
 key id), ``hex`` (a long run of hex digits); matches that are too short are dropped. Novelty spans: a run of 20 or more
-token characters with a digit and a letter, shortly after a word that speaks of secrets. Its marginal size is what it adds
+token characters with a digit and a letter, with a word that speaks of secrets in the ``SURROUNDING_CHARS`` characters on
+either side or in the name it sets (``name=value``), or with only white space between it and a run before that is a base span
+or has such a word, directly or in the same way (the lines of a wrapped key). Its marginal size is what it adds
 to a compressed frame whose dictionary holds known identifiers and the text around it, other copies of the run cut out; runs
 the dictionary can build from what it has seen are shortened, random strings are not and are reported as ``novel``. What
 counts as shortened is measured against a random string of the same length over the run's own symbols, in the same frame, so
@@ -36,7 +38,7 @@ ASSIGN_NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 CONTEXT_WORDS = ("key", "secret", "token", "passw", "pwd", "credential", "auth", "bearer", "private", "signature")
 CANDIDATE_MIN = 20
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{CANDIDATE_MIN},}}")
-CONTEXT_CHARS = 48
+_DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 SURROUNDING_CHARS = 2048
 NOVEL_SHARE = 0.8
 #: Identifiers that code and configuration repeat; the dictionary starts with them.
@@ -59,6 +61,12 @@ def _around(text: str, start: int, end: int) -> str:
     return before[-SURROUNDING_CHARS:] + after[:SURROUNDING_CHARS]
 
 
+def _has_context(text: str, start: int, end: int) -> bool:
+    name = text.find("=", start, end)
+    return any(w in part for part in (text[max(0, start - SURROUNDING_CHARS):max(start, name)].lower(),
+                                      text[end:end + SURROUNDING_CHARS].lower()) for w in CONTEXT_WORDS)
+
+
 def _is_novel(candidate: str, around: str) -> bool:
     """Whether the bytes the candidate adds to the frame reach ``NOVEL_SHARE`` of those a random string like it adds."""
     primed = zstandard.ZstdCompressionDict(IDENTIFIERS + around.encode("utf-8", "replace"),
@@ -87,16 +95,15 @@ def _uncovered(start: int, end: int, busy: list[tuple[int, int]], first: int) ->
 
 def _novel(text: str, taken: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, str]]:
     busy, b = sorted((s, e) for s, e, _ in taken), 0
+    told, told_to = False, 0  # whether the run before has a context, and its end
     for m in CANDIDATE.finditer(text):
         run, start, end = m.group(), m.start(), m.end()
-        if run.isalpha() or run.isdigit() or not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
-            continue
         while b < len(busy) and busy[b][1] <= start:
             b += 1
-        if _uncovered(start, end, busy, b) < CANDIDATE_MIN:
-            continue
-        before = text[max(0, start - CONTEXT_CHARS):start].lower()
-        if not any(w in before for w in CONTEXT_WORDS):
+        free = _uncovered(start, end, busy, b)
+        told = free < len(run) or (told and text[told_to:start].isspace()) or _has_context(text, start, end)
+        told_to = end
+        if not told or free < CANDIDATE_MIN or not (_DIGIT.search(run) and _LETTER.search(run)):
             continue
         if _is_novel(run, _around(text, start, end)):
             yield start, end, "novel"
@@ -113,7 +120,7 @@ def find_spans(text: str | None) -> list[tuple[int, int, str]]:
     if "AKIA" in text:
         spans += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_MIN]
     spans += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
-    if any(word in low for word in CONTEXT_WORDS):
+    if spans or any(word in low for word in CONTEXT_WORDS):
         spans += list(_novel(text, spans))
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 

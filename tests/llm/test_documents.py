@@ -158,6 +158,21 @@ def test_long_and_repeated_random_strings_are_novel(alphabet):
     assert secret_scan.find_spans("the auth key is " + "0123456789abcdef-" * 9) == []
 
 
+def test_context_reaches_every_line_and_both_sides():
+    rng = random.Random(12)
+    line = lambda n: "q7" + "".join(rng.choices(string.ascii_letters + string.digits + "+/", k=n - 2))
+    lines = [line(64) for _ in range(120)]  # the middle is far from both ends
+    block = "-----BEGIN PRIVATE KEY-----\n" + "\n".join(lines) + "\n-----END-----\n"
+    found = {block[s:e] for s, e, k in secret_scan.find_spans(block) if k == "novel"}
+    assert set(lines) <= found
+    for text in ("signature of the build, as told in the notes of the last release of the product: {}", "{} (that is the secret)", "my_key={}"):
+        run = line(40)
+        full = text.format(run)
+        assert run not in secret_scan.redact(full, secret_scan.find_spans(full))
+    far = "key" + " word" * 500 + f" {line(40)} " + " word" * 500 + " key"
+    assert secret_scan.find_spans(far) == []
+
+
 def test_redacted_documents_keep_their_columns(spark):
     docs = docs_frame(spark)
     out = secret_scan.without_secrets(docs)
