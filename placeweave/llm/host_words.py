@@ -2,14 +2,16 @@
 
 1. Host and path are cut from the url; the longest rule whose host fits (itself or a subdomain) and whose path opens the
    url's path decides.
-2. Word counts come from the visible text of all pages. The model keeps the most frequent words, at most ``WORDS``
-   (a stated model size), because every task holds it.
+2. Word counts come from the visible text of all pages, every word counts. The substrings of the distinct letter runs meet
+   them by a join, so no task holds the model.
 3. Each letter run of host and path is split into the word sequence of highest probability; letters no word covers cost as
    much as an unseen word of their length.
 4. Naive Bayes learns from weak labels: a page is taken as bad when a word of its split host is a seed word. Token counts per
-   class come from all pages, the most frequent tokens are kept, at most ``TOKENS`` (a stated model size), add-one smoothing. Pages
+   class come from all pages, every token counts, add-one smoothing. Pages
    that no rule decides get the likelier verdict, ties allow; so words that keep company with seeds count against a host.
 
+Joins send the ``HOT`` most used keys to every task and shuffle the rest, so no key crowds a task and nothing is left out.
+
 Defined results: a null url, or one without ``://``, has empty host and path, fits no rule and is judged by the method (no
 token: the prior); without any page of either class its counts are the smoothing alone; repeated rows are judged alike.
 """
@@ -27,8 +29,7 @@ from pyspark.sql import types as T
 
 from placeweave.session import cut_lineage
 
-WORDS = 50_000
-TOKENS = 100_000
+HOT = 50_000
 LONGEST_WORD = 24
 #: Fixed values: (host, path, verdict) of the rules.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -54,7 +55,7 @@ def with_parts(pages: DataFrame) -> DataFrame:
 
 
 def most_frequent(counts: DataFrame, n: F.Column, most: int) -> DataFrame:
-    """Rows of the highest ``n`` whose number stays within ``most``, cut between steps of a sixteenth of a doubling. Only the
+    """For broadcasts: rows of the highest ``n`` whose number stays within ``most``, cut between steps of a sixteenth of a doubling. Only the
     steps' sizes, a few hundred numbers, reach the driver; equal counts stay or go together."""
     step = F.floor(F.log2(n) * 16)
     sizes = {r["step"]: r["size"] for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("size")).collect()}
@@ -66,15 +67,23 @@ def most_frequent(counts: DataFrame, n: F.Column, most: int) -> DataFrame:
     return counts.filter(step >= lowest)
 
 
-def word_costs(pages: DataFrame) -> dict[str, float]:
-    """Negative log probability of each word of the model."""
+def meet(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined to ``table``, which has every key of theirs once and how many of them have it (``uses``)."""
+    hot = most_frequent(table, F.col("uses"), HOT)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table, key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
+def word_counts(pages: DataFrame) -> tuple[DataFrame, float, float]:
+    """(``word, n`` of every word, log of all occurrences, cost of an unseen letter); a seed word no page has counts as one."""
     visible = F.regexp_replace(F.lower(F.coalesce("html", F.lit(""))), "(?s)<[^>]*>", " ")
-    counts = cut_lineage(pages.select(F.explode(F.split(visible, "[^a-z]+")).alias("word")).filter(
+    seen = cut_lineage(pages.select(F.explode(F.split(visible, "[^a-z]+")).alias("word")).filter(
         F.length("word").between(1, LONGEST_WORD)).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
-    total = counts.agg(F.sum("n")).first()[0] or 1
-    kept = most_frequent(counts, F.col("n"), WORDS).collect()
-    rare = {word: math.log(total + 1) for word in SEEDS}
-    return rare | {r["word"]: math.log(total + 1) - math.log(r["n"]) for r in kept}
+    seeds = pages.sparkSession.createDataFrame([(word,) for word in sorted(SEEDS)], "word string")
+    unheard = seeds.join(seen.filter(F.col("word").isin(*SEEDS)), "word", "left_anti").select("word", F.lit(1).cast("long").alias("n"))
+    counts = cut_lineage(seen.unionByName(unheard))
+    whole = math.log((seen.agg(F.sum("n")).first()[0] or 1) + 1)
+    return counts, whole, whole - math.log(counts.agg(F.min("n")).first()[0]) + math.log(10)
 
 
 def segment(run: str, costs: dict[str, float], unseen: float) -> list[str]:
@@ -101,59 +110,69 @@ def segment(run: str, costs: dict[str, float], unseen: float) -> list[str]:
     return out
 
 
-def tokens_of(host: str, path: str, costs: dict[str, float], unseen: float, known: dict[str, list[str]]) -> list[str]:
-    """Host and path tokens, marked by where they stand; digit runs count by length."""
-    out = []
-    for mark, text in (("h:", host), ("p:", path.lower())):
-        for run in _RUN.findall(text):
-            if run[0].isdigit():
-                out.append(f"{mark}#{len(run)}")
-                continue
-            if run not in known:
-                if len(known) > 100_000:
-                    known.clear()
-                known[run] = segment(run, costs, unseen)
-            out += [mark + w for w in known[run]]
-    return out
+def pieces_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Runs of host and path, marked by where they stand: letters as ``run``, all else as ``token``; digit runs count by length."""
+    for frame in frames:
+        rows = []
+        for row, host, path in zip(frame["row"], frame["host"], frame["path"], strict=True):
+            for mark, text in (("h:", host), ("p:", path.lower())):
+                for run in _RUN.findall(text):
+                    if "a" <= run[0] <= "z":
+                        rows.append((row, mark, run, None))
+                    else:
+                        rows.append((row, mark, None, f"{mark}#{len(run)}" if run[0].isdigit() else mark + run))
+        yield pd.DataFrame(rows, columns=["row", "mark", "run", "token"])
 
 
-def judge_urls(pages: DataFrame) -> DataFrame:
-    """``page_id, host, path, rule, verdict`` of every row."""
-    spark = pages.sparkSession
-    costs = word_costs(pages)
-    words = spark.sparkContext.broadcast(costs)
-    unseen = max(costs.values(), default=1.0) + math.log(10)
-    parted = with_parts(pages.select("page_id", "url")).select("page_id", "host", "path", "rule", "ruled")
-    schema = T.StructType(list(parted.schema.fields)).add("tokens", "string").add("seeded", "boolean")
-    seeds = {f"h:{word}" for word in SEEDS}
+def _substrings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for run in frame["run"]:
+            parts = {run[i:j] for i in range(len(run)) for j in range(i + 1, min(len(run), i + LONGEST_WORD) + 1)}
+            yield pd.DataFrame({"run": run, "word": sorted(parts)})
+
+
+def split_runs(runs: DataFrame, counts: DataFrame, whole: float, unseen: float) -> DataFrame:
+    """``run, uses, words`` of every run."""
+    pairs = runs.select("run").mapInPandas(_substrings, "run string, word string")
+    parts = cut_lineage(pairs.groupBy("word").agg(F.count(F.lit(1)).alias("uses")).join(counts, "word", "left"))
+    known = meet(pairs, parts, "word").filter("n IS NOT NULL").groupBy("run").agg(
+        F.collect_list("word").alias("known"), F.collect_list("n").alias("n"))
 
     def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, list[str]] = {}
         for frame in frames:
-            tokens = [tokens_of(h, p, words.value, unseen, known) for h, p in zip(frame["host"], frame["path"], strict=True)]
-            # One string a row: tokens hold no blank.
-            yield frame.assign(tokens=[" ".join(t) for t in tokens], seeded=[not seeds.isdisjoint(t) for t in tokens])
-
-    told = cut_lineage(parted.mapInPandas(split, schema))
-    priors = {r["seeded"]: r["n"] for r in told.groupBy("seeded").agg(F.count(F.lit(1)).alias("n")).collect()}
-    counts = cut_lineage(told.select(F.explode(F.split("tokens", " ")).alias("token"), F.col("seeded").cast("int").alias("b")).filter(
-        "token <> ''").groupBy("token").agg(F.sum("b").alias("block"), F.sum(1 - F.col("b")).alias("allow")))
-    sums = counts.agg(F.sum("block").alias("block"), F.sum("allow").alias("allow"), F.count(F.lit(1)).alias("size")).first()
+            words = []
+            for run, known, n in zip(frame["run"], frame["known"], frame["n"], strict=True):
+                costs = {w: whole - math.log(c) for w, c in zip(known, n, strict=True)} if known is not None else {}
+                words.append(segment(run, costs, unseen))
+            yield pd.DataFrame({"run": frame["run"], "uses": frame["uses"], "words": words})
+
+    return cut_lineage(runs.join(known, "run", "left").mapInPandas(split, "run string, uses long, words array<string>"))
+
+
+def judge_urls(pages: DataFrame) -> DataFrame:
+    """``page_id, host, path, rule, verdict`` of every row."""
+    counts, whole, unseen = word_counts(pages)
+    parted = cut_lineage(with_parts(pages.select("page_id", "url")).select(
+        "page_id", "host", "path", "rule", "ruled", F.monotonically_increasing_id().alias("row")))
+    pieces = cut_lineage(parted.select("row", "host", "path").mapInPandas(pieces_of, "row long, mark string, run string, token string"))
+    letters = pieces.filter("run IS NOT NULL").select("row", "mark", "run")
+    runs = cut_lineage(letters.groupBy("run").agg(F.count(F.lit(1)).alias("uses")))
+    spelled = meet(letters, split_runs(runs, counts, whole, unseen), "run").select(
+        "row", F.explode(F.transform("words", lambda w: F.concat("mark", w))).alias("token"))
+    seeded = F.col("token").isin(*[f"h:{word}" for word in sorted(SEEDS)])
+    told = cut_lineage(pieces.filter("run IS NULL").select("row", "token").unionByName(spelled).groupBy("row").agg(
+        F.collect_list("token").alias("tokens"), F.bool_or(seeded).alias("seeded")))
+    bad = told.filter("seeded").count()
+    prior = math.log(bad + 1) - math.log(parted.count() - bad + 1)
+    each = told.select("row", F.explode("tokens").alias("token"), F.col("seeded").cast("int").alias("b"))
+    per_token = cut_lineage(each.groupBy("token").agg(F.count(F.lit(1)).alias("uses"), F.sum("b").alias("block")))
+    sums = per_token.agg(F.sum("block").alias("block"), F.sum(F.col("uses") - F.col("block")).alias("allow"), F.count(F.lit(1)).alias("size")).first()
     size = (sums["size"] or 0) + 1
     blank = {v: math.log((sums[v] or 0) + size) for v in ("block", "allow")}
-    kept = most_frequent(counts, F.col("block") + F.col("allow"), TOKENS).collect()
-    weights = {r["token"]: math.log(r["block"] + 1) - math.log(r["allow"] + 1) + blank["allow"] - blank["block"] for r in kept}
-    model = spark.sparkContext.broadcast(weights)
-    prior = math.log(priors.get(True, 0) + 1) - math.log(priors.get(False, 0) + 1)
-    nothing = blank["allow"] - blank["block"]
-
-    def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            weight = model.value
-            score = [prior + math.fsum(weight.get(t, nothing) for t in tokens.split()) for tokens in frame["tokens"]]
-            by_method = pd.Series(["block" if s > 1e-12 else "allow" for s in score], index=frame.index, dtype=object)
-            frame["verdict"] = frame["ruled"].where(frame["ruled"].notna(), by_method)
-            yield frame[["page_id", "host", "path", "rule", "verdict"]]
-
-    shape = told.select("page_id", "host", "path", "rule").schema.add("verdict", "string")
-    return told.mapInPandas(judge, shape)
+    weight = F.log(F.col("block") + 1) - F.log(F.col("uses") - F.col("block") + 1) + F.lit(blank["allow"] - blank["block"])
+    weights = per_token.select("token", "uses", weight.alias("w"))
+    # Added up in one order, whatever the partitions.
+    scores = meet(each.select("row", "token"), weights, "token").groupBy("row").agg(
+        F.reduce(F.array_sort(F.collect_list("w")), F.lit(0.0), lambda a, w: a + w).alias("score"))
+    by_method = F.when(F.lit(prior) + F.coalesce("score", F.lit(0.0)) > 1e-12, "block").otherwise("allow")
+    return parted.join(scores, "row", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", by_method).alias("verdict"))

@@ -88,6 +88,18 @@ def test_bayes_flags_hosts_with_words_of_bad_company(spark):
     assert {got[i] for i in range(30)} == {"block"} and {got[100 + i] for i in range(300)} == {"allow"} and got[900] == "block"
 
 
+def test_model_size_decides_nothing(spark, monkeypatch):
+    rows = [(i, f"http://rare{w}garden.org/{w}{i % 5}/é", f"<p>garden rare {w} shop</p>") for i, w in enumerate(["bet", "moss", "fern", "poker", "tulip"] * 3)]
+    rows += [(50, "http://mosspoker.org/", ""), (51, None, None), (None, "http://fernmoss.org/", ""), (50, "http://mosspoker.org/", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = by_row(host_words.judge_urls(pages).collect())
+    assert {r.verdict for r in want} == {"allow", "block"} and len(want) == len(rows)
+    for most in (0, 3):
+        for name in ("WORDS", "TOKENS", "HOT"):
+            monkeypatch.setattr(host_words, name, most, raising=False)
+        assert by_row(host_words.judge_urls(pages).collect()) == want
+
+
 # op6 ------------------------------------------------------------------------------------------------------------------
 
 
