@@ -12,7 +12,9 @@ one that no item has weighs as if one item had it. Per document, for whole texts
 3. The weighted Jaccard similarity of window and item decides, computed exactly; the best window of a (document, item)
    pair is reported.
 
-The items are broadcast in blocks of about ``BLOCK_BYTES`` of text; a larger benchmark takes more blocks, each one scan.
+The items are broadcast in blocks of about ``BLOCK_BYTES`` of text; a larger benchmark takes more blocks, each one scan. The
+weights are those of the whole benchmark in every block: each gets the number of all items and the counts of all shingles
+that several items have, wherever these are (12 to 16 bytes a shingle; one that a single item has weighs like one that none has).
 
 Defined results: null or wordless texts and items match nothing; repeated rows are each reported; several equal items are
 each reported; an empty table on either side gives no rows.
@@ -54,10 +56,15 @@ def _lower(column: pa.Array) -> pa.Array:
     return pc.utf8_lower(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)
 
 
+def _shingles(hashes: np.ndarray, first: np.ndarray, items: np.ndarray) -> list[np.ndarray]:
+    return [W.windows(hashes[first[i]:first[i + 1]], min(int(first[i + 1] - first[i]), SHINGLE)) for i in items]
+
+
 class ItemIndex:
-    """All items of one block: shingles with weights, item multisets, fingerprints and their block tables."""
+    """All items of one block: shingles with weights, item multisets, fingerprints and their block tables. ``among`` is for a
+    benchmark of several blocks: number of all items, shingles that several items have (sorted), how many have each."""
 
-    def __init__(self, ids: list, texts: list[str]) -> None:
+    def __init__(self, ids: list, texts: list[str], among: tuple[int, np.ndarray, np.ndarray] | None = None) -> None:
         data, at = W.utf8(_lower(pa.array(texts, pa.string())))
         hashes, first = _word_hashes(data, at)
         n_words = np.diff(first)
@@ -65,15 +72,19 @@ class ItemIndex:
         self.ids = [ids[i] for i in kept]
         self.words = n_words[kept]
         self.size = np.minimum(self.words, SHINGLE)
-        shingles = [W.windows(hashes[first[i]:first[i + 1]], min(int(n_words[i]), SHINGLE)) for i in kept]
+        shingles = _shingles(hashes, first, kept)
         values = np.concatenate([*shingles, np.zeros(0, np.uint64)])
         owner = np.repeat(np.arange(len(kept)), [len(s) for s in shingles]).astype(np.int64)
-        self.values, code = np.unique(values, return_inverse=True)
+        n_items, repeated, holders = among or (len(kept), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        self.values = np.union1d(values, repeated)
+        code = np.searchsorted(self.values, values)
         cell, self.count = np.unique(code * len(kept) + owner, return_counts=True)
         self.code, self.item = np.divmod(cell, max(len(kept), 1))
         spread = np.bincount(self.code, minlength=len(self.values))
-        self.rare = float(np.log1p(len(kept)))
-        self.weight = np.log1p(len(kept) / np.maximum(spread, 1))
+        everywhere = spread.copy()
+        everywhere[np.searchsorted(self.values, repeated)] = holders
+        self.rare = float(np.log1p(n_items))
+        self.weight = np.log1p(n_items / np.maximum(everywhere, 1))
         #: ``entry[c]:entry[c + 1]`` are the (item, count) cells of shingle c.
         self.entry = np.concatenate([[0], np.cumsum(spread)])
         self.total = np.bincount(self.item, self.count * self.weight[self.code], len(kept))
@@ -151,8 +162,10 @@ def _matches(index: ItemIndex, hashes: np.ndarray, first: np.ndarray) -> Iterato
         names, which = np.unique(pair, return_inverse=True)
         heavy = np.bincount(which, index.weight[code]) >= THRESHOLD * index.total[names % len(index.ids)] - _EPS
         keep = np.flatnonzero(heavy[which])
+        if not len(keep):
+            continue
         keep = keep[np.lexsort((place[keep], which[keep]))]
-        heads = np.flatnonzero(np.r_[True, np.diff(which[keep]) > 0]) if len(keep) else []
+        heads = np.flatnonzero(np.r_[True, np.diff(which[keep]) > 0])
         for head, tail in zip(heads, [*heads[1:], len(keep)], strict=True):
             at = place[keep[head:tail]]
             d, i = divmod(int(names[which[keep[head]]]), len(index.ids))
@@ -197,14 +210,35 @@ def _similarity(index: ItemIndex, item: int, values: np.ndarray, codes: np.ndarr
     return both / (float((count * weight).sum()) + float(index.total[item]) - both)
 
 
+def _item_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct shingles of each item that has words, and a null for the item."""
+    for batch in batches:
+        for _, data, at in W.slices(_lower(batch.column(0))):
+            hashes, first = _word_hashes(data, at)
+            kept = np.flatnonzero(np.diff(first))
+            found = np.concatenate([*map(np.unique, _shingles(hashes, first, kept)), np.zeros(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(found), pa.nulls(len(kept), pa.int64())])], names=["shingle"])
+
+
+def _among(items: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    counts = items.select("text").mapInArrow(_item_shingles, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    n_items = counts.filter("shingle IS NULL").first()
+    table = counts.filter("shingle IS NOT NULL AND n > 1").toArrow()
+    values, n = (table.column(c).to_numpy() for c in ("shingle", "n"))
+    values = values.astype(np.int64).view(np.uint64)
+    order = np.argsort(values)
+    return (n_items["n"] if n_items else 0), values[order], n[order]
+
+
 def _item_blocks(benchmark: DataFrame) -> Iterator[ItemIndex]:
     items = benchmark.filter("text IS NOT NULL").select("item_id", "text")
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = -(-size // BLOCK_BYTES)
+    among = _among(items) if blocks > 1 else None
     for b in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         rows = part.orderBy("item_id", "text").collect()
-        yield ItemIndex([r["item_id"] for r in rows], [r["text"] for r in rows])
+        yield ItemIndex([r["item_id"] for r in rows], [r["text"] for r in rows], among)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -229,6 +229,29 @@ def test_benchmark_passages_are_found(spark):
     assert decontaminate.contaminated(docs_frame(spark, []), bench).count() == 0
 
 
+def test_item_blocks_decide_nothing(spark, monkeypatch):
+    rows = texts()
+    base = split(rows[52][1])
+    items = [(n, " ".join([*base[:40 + n], f"other{n}", *base[41 + n:90]])) for n in range(0, 30, 3)]
+    items += [(100 + n, " ".join([*base[20 + n:50 + n], *(f"own{n}x{i}" for i in range(30))])) for n in range(12)] + [(200, ""), (201, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = docs_frame(spark, rows[:60])
+
+    def found():
+        return sorted((r.doc_id, r.item_id, round(r.similarity, 9), r.start_word) for r in decontaminate.contaminated(docs, bench).collect())
+
+    want = found()
+    assert any(0.8 <= s < 1 for _, _, s, _ in want)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 1500)
+    assert found() == want
+
+
+def test_few_shared_shingles_are_no_match():
+    index = decontaminate.ItemIndex([1], ["a b c d e f g h i j k l m n"])
+    data, at = words.utf8(pa.array(["x a b c d e y"]))
+    assert list(decontaminate._matches(index, *decontaminate._word_hashes(data, at))) == []
+
+
 def test_blocks_find_everything_within_the_radius():
     rng = np.random.default_rng(2)
     index = decontaminate.ItemIndex(list(range(300)), [" ".join(map(str, rng.integers(0, 99, 20))) for _ in range(300)])
