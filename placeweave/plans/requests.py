@@ -17,7 +17,16 @@ TODAY = "2024-01-11"
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     phrase = F.element_at(F.array(*[F.lit(p) for p in PHRASES]), ((F.col("conv_id") + F.col("turn")) % len(PHRASES) + 1).cast("int"))
     return table(spark, sf_dir, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("request"), F.concat_ws(" ", "text", F.lit("."), phrase).alias("text"))
+        F.struct("conv_id", "turn").alias("request"), F.concat_ws(" ", "text", F.lit("."), phrase).alias("text"))
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("request"), "text")
+
+
+#: The number the SQL gives a turn. A conversation of 1,000 turns or more shares numbers with the next, so it is no key: rows
+#: are told apart by ``conv_id`` and ``turn`` and only shown with it.
+NUMBER = "request.conv_id * 1000 + request.turn AS request"
 
 
 def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,22 +48,21 @@ hits AS (SELECT request, pos, 2 AS n, alias, place FROM one JOIN alias ON alias
 def request_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intent, date, length and mode of every turn; tested against the meaning of the phrases."""
     asked = requests(spark, sf_dir)
-    return Q.tag_requests(asked, Q.match_aliases(asked, aliases(spark, sf_dir)), F.to_date(F.lit(TODAY)))
+    tags = Q.tag_requests(asked, Q.match_aliases(asked, aliases(spark, sf_dir)), F.to_date(F.lit(TODAY)))
+    return tags.select(F.expr(NUMBER), "intent", "start", "days", "mode", "assumed", "request.conv_id", "request.turn")
 
 
 @query("alias_mentions", f"""WITH {_SQL_ALIASES} SELECT request, alias, count(*) AS n FROM hits GROUP BY ALL""")
 def alias_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each name occurs in each turn, overlapping ones included."""
     named = aliases(spark, sf_dir)
-    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("request"), "text")
-    return Q.alias_runs(turns, named).groupBy("request", "alias").agg(F.count(F.lit(1)).alias("n"))
+    return Q.alias_runs(turns(spark, sf_dir), named).groupBy("request", "alias").agg(F.count(F.lit(1)).alias("n")).select(F.expr(NUMBER), "alias", "n")
 
 
 @query("alias_hits")
 def alias_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items named in each turn, longest name first where names overlap; tested against a brute-force version."""
-    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("request"), "text")
-    return Q.match_aliases(turns, aliases(spark, sf_dir)).select("request", "place", "rank")
+    return Q.match_aliases(turns(spark, sf_dir), aliases(spark, sf_dir)).select(F.expr(NUMBER), "place", "rank", "request.conv_id", "request.turn")
 
 
 @query("resolve_ids", """SELECT o_orderkey AS owner, (i - 1)::INT AS pos, p_partkey AS place FROM (SELECT o_orderkey, unnest([o_custkey * 7, o_custkey, o_orderkey]) AS k, unnest([1, 2, 3]) AS i FROM orders) JOIN part ON p_partkey = k""")

@@ -110,6 +110,19 @@ def test_alias_hits_by_brute_force(spark):
     assert {tuple(r) for r in request_plans.alias_hits(spark, sf).select("request", "place", "rank").collect()} == want
 
 
+def test_long_conversations_stay_apart(spark, tmp_path):
+    rows = [(1, 1000, "user", "alpha beta"), (2, 0, "user", "beta alpha beta"), (2, 1, "user", "nothing"), (1, 1001, "user", "beta")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    spark.createDataFrame([(5, "alpha beta gamma")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    sf = str(tmp_path)
+    hits = {(r.conv_id, r.turn, r.place, r["rank"]) for r in request_plans.alias_hits(spark, sf).collect()}
+    assert hits == {(1, 1000, 5, 1), (1, 1001, 5, 1), (2, 0, 5, 1)}
+    counts = sorted((r.request, r.alias, r.n) for r in request_plans.alias_mentions(spark, sf).collect())
+    assert counts == [(2000, "alpha beta", 1), (2000, "alpha beta", 1), (2000, "beta", 1), (2000, "beta", 2), (2001, "beta", 1)]
+    tags = {(r.conv_id, r.turn): "places" in r.assumed for r in request_plans.request_tags(spark, sf).collect()}
+    assert tags == {(1, 1000): False, (2, 0): False, (2, 1): True, (1, 1001): False}
+
+
 def test_known_line(spark):
     line = spark.createDataFrame([(1, "_p~iF~ps|U_ulLnnqC_mqNvxq`@"), (2, ""), (3, None)], "route int, polyline string")
     points = routes.polyline_points(line)
