@@ -32,7 +32,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return byte_pairs.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return byte_pairs.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
 
 
 STAGES = [

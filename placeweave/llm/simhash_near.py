@@ -223,10 +223,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of every group: the smallest id's. Of rows that share an id one stays; rows without an id stay."""
-    named = near_duplicates(docs.filter("doc_id IS NOT NULL"))
-    kept = docs.join(named.filter("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi")
+    """One document of every group: the smallest id's. Rows are told apart by id and text, so rows that share an id but are not
+    linked both stay; equal rows are one; rows without an id stay."""
     free = f"row_{uuid.uuid4().hex}"
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    first = kept.withColumn(free, F.row_number().over(order)).filter(F.col(free) == 1).drop(free)
+    told = docs.filter("doc_id IS NOT NULL").withColumn(free, F.xxhash64("text"))
+    named = near_duplicates(told.select(F.struct("doc_id", free).alias("doc_id"), "text"))
+    kept = told.join(named.filter("doc_id = component_id").select("doc_id.*").distinct(), ["doc_id", free], "left_semi")
+    order = Window.partitionBy("doc_id", free).orderBy(F.lit(1))
+    first = kept.withColumn(f"{free}_n", F.row_number().over(order)).filter(F.col(f"{free}_n") == 1)
     return first.select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))

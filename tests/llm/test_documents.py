@@ -306,6 +306,13 @@ def test_one_of_each_group_stays(spark):
     assert ids.count(200) == 1 and not {201, 208} & set(ids) and {0, 39, 100, 405} <= set(ids)
 
 
+def test_rows_that_share_an_id_keep_their_groups(spark):
+    texts_of = {n: " ".join(f"w{n}x{i}" for i in range(60)) for n in range(3)}
+    rows = [(7, texts_of[0]), (7, texts_of[1]), (8, texts_of[1]), (9, texts_of[2]), (9, texts_of[2])]
+    out = simhash_near.keep_one(docs_frame(spark, rows))
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == sorted([(7, texts_of[0]), (7, texts_of[1]), (9, texts_of[2])])
+
+
 # words ----------------------------------------------------------------------------------------------------------------
 
 

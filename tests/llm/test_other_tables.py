@@ -157,3 +157,9 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark, tmp_path):
 def test_stages_take_empty_tables(spark, stage):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     assert stage[1](spark, docs, SF).count() == 0
+
+
+def test_pipeline_gives_the_token_ids(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(5)
+    for r in corpus_pipeline.tokens(spark, docs, SF).collect():
+        assert len(r.ids) == 4 * r.n_tokens and hashlib.sha256(r.ids).hexdigest() == r.ids_sha256
