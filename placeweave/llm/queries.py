@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -20,7 +21,9 @@ from placeweave.llm import (
     simhash_near,
     vector_shards,
     window_dedup,
+    zip_warc,
 )
+from placeweave.llm.storage import shared_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +73,10 @@ def op10_simhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zip_warc.archive_pages(_table(spark, sf_dir, "pages"), shared_folder(spark, f"packages-{uuid.uuid4().hex}"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_vector_shards": op1_vector_shards,
@@ -82,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_byte_pairs": op8_byte_pairs,
         "op9_decontaminate": op9_decontaminate,
         "op10_simhash_near": op10_simhash_near,
+        "op11_zip_warc": op11_zip_warc,
         "pipeline": corpus_pipeline.run,
     }
 
