@@ -16,6 +16,7 @@ from placeweave.llm import (
     decontaminate,
     host_words,
     kd_search,
+    prefix_trie,
     quality_trees,
     secret_scan,
     simhash_near,
@@ -77,6 +78,10 @@ def op11_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zip_warc.archive_pages(_table(spark, sf_dir, "pages"), shared_folder(spark, f"packages-{uuid.uuid4().hex}"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_vector_shards": op1_vector_shards,
@@ -90,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_decontaminate": op9_decontaminate,
         "op10_simhash_near": op10_simhash_near,
         "op11_zip_warc": op11_zip_warc,
+        "op12_prefix_trie": op12_prefix_trie,
         "pipeline": corpus_pipeline.run,
     }
 
