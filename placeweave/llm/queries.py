@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from placeweave.llm import (
+    bond_negatives,
     byte_pairs,
     chat_examples,
     decontaminate,
@@ -82,6 +83,11 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
 
 
+def op13_bond_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return bond_negatives.hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_vector_shards": op1_vector_shards,
@@ -96,9 +102,83 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_simhash_near": op10_simhash_near,
         "op11_zip_warc": op11_zip_warc,
         "op12_prefix_trie": op12_prefix_trie,
+        "op13_bond_negatives": op13_bond_negatives,
         "pipeline": corpus_pipeline.run,
     }
 
 
+_WHOLE = "list_transform(embedding, lambda x: floor(256 * x::DOUBLE))"
+_TAKES_PART = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0 AND len(embedding) > 0"
+
+#: Equal payloads by their bytes, the smallest page first.
+_SQL_PACKAGES = """
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM payloads)
+SELECT page_id, payload_bytes, sha256(html) AS payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
+FROM firsts"""
+
+#: Rebuilt conversations as lists of turns; nodes are equal lists. CRC-32 bit by bit, as DuckDB has none.
+_SQL_TRIE = """
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+checks AS (
+  SELECT conv_id, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+           lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)),
+             lambda x, bit: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)),
+parts AS (
+  SELECT c.conv_id, 0 AS part, t.pos, t.role, t.text FROM checks c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % 100 AND t.pos <= c.h
+  UNION ALL SELECT c.conv_id, 1, t.pos, t.role, t.text FROM checks c JOIN turns t ON t.conv_id = c.conv_id AND t.pos > c.h),
+rebuilt AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth, role, text FROM parts),
+paths AS (
+  SELECT conv_id, depth, list({'r': role, 't': text}) OVER (PARTITION BY conv_id ORDER BY depth) AS node, length(text) AS size FROM rebuilt
+  UNION ALL SELECT conv_id, 0, [], 0 FROM checks),
+ends AS (SELECT conv_id, max(depth) AS last FROM paths GROUP BY conv_id),
+nodes AS (
+  SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(size) AS size,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last = depth), '')) AS ends_sha256
+  FROM paths JOIN ends USING (conv_id) GROUP BY node, depth),
+up AS (
+  SELECT n.depth, n.node, p.node AS parent FROM nodes n JOIN paths p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1),
+children AS (SELECT parent AS node, count(*) AS n_children FROM up GROUP BY parent),
+below AS (
+  SELECT p.node, sum((n.n_convs - 1) * n.size) AS saved_tokens, count(*) FILTER (c.node IS NULL) AS n_leaves
+  FROM nodes n JOIN paths p ON p.conv_id = n.conv_id AND p.depth <= n.depth LEFT JOIN children c ON c.node = n.node GROUP BY p.node)
+SELECT n.conv_id, n.depth::BIGINT AS depth, q.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0)::BIGINT AS n_children,
+       n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN below b USING (node) LEFT JOIN children c ON c.node = n.node
+LEFT JOIN up ON up.node = n.node LEFT JOIN nodes q ON q.node = up.parent"""
+
+_SQL_SEARCH = f"""
+WITH whole AS (SELECT vec_id, {_WHOLE} AS v FROM embeddings WHERE vec_id IS NOT NULL AND {_TAKES_PART}),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM whole q JOIN whole c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v) WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5"""
+
+_SQL_NEGATIVES = f"""
+WITH whole AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_WHOLE} AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_TAKES_PART}),
+scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS alike, list_inner_product(a.v, c.v)::BIGINT AS score
+  FROM whole a JOIN whole c ON c.vec_id <> a.vec_id AND len(c.v) = len(a.v) WHERE a.vec_id % 50 = 0),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM (
+    SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS n FROM scored WHERE alike) WHERE n <= 5),
+fitting AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM positives p JOIN scored s USING (anchor_id)
+  WHERE NOT s.alike AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM fitting WHERE rank <= 3"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_kd_search": _SQL_SEARCH, "op11_zip_warc": _SQL_PACKAGES, "op12_prefix_trie": _SQL_TRIE, "op13_bond_negatives": _SQL_NEGATIVES}

@@ -54,7 +54,7 @@ def conversations():
         for t in range(rng.randrange(1, 12)):
             rows.append((c, t, ("user", "assistant")[t % 2], opening if t == 0 else rng.choice(["yes", "no", "a longer reply", "", None])))
     rows += [(300, t, "user", "same") for t in range(8)] + [(c, t, "user", "same") for c in range(301, 340) for t in range(8)]
-    rows += [(0, t, None if t % 3 else "user", f"turn {t % 5}") for t in range(20, 900)]
+    rows += [(0, t, None if t % 3 else "user", f"turn {t % 5}") for t in range(20, 200)]
     rows += [(405, None, None, None), (405, None, "b", "x"), (405, 1, "a", "z"), (405, 1, "a", "y"), (405, 1, "a", "y"), (406, 0, "u", "v" * 20_000)]
     rows += [(None, 0, "user", "nobody"), (None, None, None, None)]
     return rows
@@ -72,7 +72,7 @@ def test_trie_against_brute_force(spark):
 
 
 def test_a_conversation_over_many_partitions(spark):
-    rows = [(0, t, "user", f"{t % 7}") for t in range(3000)] + [(c, t, "user", f"{t % 7}") for c in (1, 2, 50) for t in range(1500)] + [(5, 0, "a", "b")]
+    rows = [(0, t, "user", f"{t % 7}") for t in range(400)] + [(c, t, "user", f"{t % 7}") for c in (1, 2, 50) for t in range(200)] + [(5, 0, "a", "b")]
     conf, old = spark.conf, spark.conf.get("spark.sql.shuffle.partitions")
     conf.set("spark.sql.shuffle.partitions", "13")
     conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
