@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,13 +69,30 @@ def alias_runs(texts: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def match_aliases(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     """``request, place, at, rank``: places named in ``texts`` (``request, text``) in order of first mention. ``aliases`` are ``alias`` (folded
-    words), ``place``. Where names overlap the longer wins, then the earlier."""
-    hits = alias_runs(texts, aliases)
-    spans = hits.groupBy("request").agg(F.array_sort(F.collect_list(F.struct(
-        (-F.length("alias")).alias("rank"), "at", (F.col("at") + F.col("n")).alias("end"), "place"))).alias("s"))
-    kept = F.aggregate("s", F.filter("s", lambda x: F.lit(False)), lambda acc, x: F.when(
-        F.exists(acc, lambda y: (x["at"] < y["end"]) & (y["at"] < x["end"])), acc).otherwise(F.concat(acc, F.array(x))))
-    first = spans.select("request", F.explode(kept).alias("k")).groupBy("request", F.col("k.place").alias("place")).agg(F.min("k.at").alias("at"))
+    words), ``place``. Where names overlap the longer wins, then the earlier.
+
+    The mentions of a text pass by in that order, and one stays when none of its words is taken; a task holds the taken words of the text
+    at hand, not its mentions, so the work grows with the mentions, not with their square."""
+    hits = alias_runs(texts, aliases).withColumn("letters", F.length("alias"))
+    order = ["request", F.desc("letters"), "at", "n", "place"]
+    schema = f"request {hits.schema['request'].dataType.simpleString()}, place {hits.schema['place'].dataType.simpleString()}, at int"
+
+    def settle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        request, taken = None, set()
+        for frame in frames:
+            stays = np.zeros(len(frame), bool)
+            for i, (key, at, n) in enumerate(zip(frame["_key"], frame["at"], frame["n"], strict=True)):
+                if key != request:
+                    request, taken = key, set()
+                words = range(at, at + n)
+                if taken.isdisjoint(words):
+                    taken.update(words)
+                    stays[i] = True
+            yield frame.loc[stays, ["request", "place", "at"]]
+
+    key = F.to_json(F.struct("request")).alias("_key")
+    sorted_hits = hits.select("request", key, "place", "at", "n", "letters").repartition("request").sortWithinPartitions(*order)
+    first = sorted_hits.mapInPandas(settle, schema).groupBy("request", "place").agg(F.min("at").alias("at"))
     return first.withColumn("rank", F.row_number().over(Window.partitionBy("request").orderBy("at", "place")))
 
 

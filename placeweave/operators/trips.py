@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from placeweave.functions import geo
 from placeweave.functions import weather_rules as R
+from placeweave.session import cut_lineage
 
 # Fixed values of the audit.
 TOLERANCE_MINUTES = 5
@@ -116,8 +117,10 @@ def travel_at(legs: DataFrame, buckets: DataFrame) -> DataFrame:
     """``legs`` (``leg, origin, dest, minute, km, mode``) with ``minutes, travel_source``: the measured time whose departure hour is nearest
     (the earlier hour on a tie, the first hour when no time is given), the estimate where nothing was measured.
 
-    ``buckets`` are ``origin, dest, hour, minutes``; they are folded to one map per pair first, at most 24 entries long."""
-    per_pair = buckets.groupBy("origin", "dest").agg(F.sort_array(F.collect_set(F.struct("hour", F.col("minutes").alias("took")))).alias("_all"))
+    ``buckets`` are ``origin, dest, hour, minutes``; an hour measured more than once counts with its fewest minutes, so the map a pair is
+    folded to has one entry an hour."""
+    per_hour = buckets.groupBy("origin", "dest", "hour").agg(F.min("minutes").alias("took"))
+    per_pair = per_hour.groupBy("origin", "dest").agg(F.sort_array(F.collect_list(F.struct("hour", "took"))).alias("_all"))
     away = F.transform("_all", lambda b: F.struct(
         F.coalesce(F.abs(b["hour"] * 60 - F.col("minute")), F.lit(0)).alias("off"), b["hour"].alias("hour"), b["took"].alias("took")))
     nearest = F.array_min(away)["took"]
@@ -126,22 +129,68 @@ def travel_at(legs: DataFrame, buckets: DataFrame) -> DataFrame:
         "minutes": F.coalesce(nearest, estimate), "travel_source": F.when(F.col("_all").isNull(), "estimate").otherwise("measured")}).drop("_all")
 
 
+def _coarser(blocks: DataFrame) -> DataFrame:
+    """Blocks of twice the side, with the box of the cells inside."""
+    return blocks.groupBy(F.shiftright("b_lat", 1).alias("b_lat"), F.shiftright("b_lon", 1).alias("b_lon")).agg(
+        *[F.min(c).alias(c) for c in ("lat_lo", "lon_lo")], *[F.max(c).alias(c) for c in ("lat_hi", "lon_hi")])
+
+
+def _around(asked: DataFrame, level: int) -> DataFrame:
+    """``asked`` with its block at a level and the eight about it."""
+    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    return asked.withColumn("_i", F.explode(near)).withColumn("_j", F.explode(near)).select(
+        "grid_lat", "grid_lon", (F.shiftright("grid_lat", level) + F.col("_i")).alias("b_lat"), (F.shiftright("grid_lon", level) + F.col("_j")).alias("b_lon"))
+
+
 def nearest_cell(points: DataFrame, cells: DataFrame) -> DataFrame:
     """``cell_lat, cell_lon`` of each distinct grid cell of ``points`` (``grid_lat, grid_lon`` in tenths of a degree) to the cell with data
     that is closest in squared degrees (smaller latitude, then longitude on ties).
 
-    Each side is at most the number of grid cells on earth that hold data, whatever the number of points; cells with their own data are
-    settled by equality and only the rest is compared with the cells."""
-    asked = points.select("grid_lat", "grid_lon").distinct()
-    have = cells.select(F.col("grid_lat").alias("cell_lat"), F.col("grid_lon").alias("cell_lon")).distinct()
-    own = asked.join(have, (F.col("grid_lat") == F.col("cell_lat")) & (F.col("grid_lon") == F.col("cell_lon")))
-    packed = have.agg(F.sort_array(F.collect_set(F.struct("cell_lat", "cell_lon"))).alias("_cells"))
-    rest = asked.join(own, ["grid_lat", "grid_lon"], "left_anti").withColumn("_k", F.lit(1)).join(packed.withColumn("_k", F.lit(1)), "_k")
-    best = F.array_min(F.transform("_cells", lambda c: F.struct(
-        ((c["cell_lat"] - F.col("grid_lat")) * (c["cell_lat"] - F.col("grid_lat")) + (c["cell_lon"] - F.col("grid_lon")) * (c["cell_lon"] - F.col("grid_lon"))).alias("d"),
-        c["cell_lat"].alias("cell_lat"), c["cell_lon"].alias("cell_lon"))))
-    found = rest.withColumn("_best", best).select("grid_lat", "grid_lon", F.col("_best.cell_lat").alias("cell_lat"), F.col("_best.cell_lon").alias("cell_lon"))
-    return own.select("grid_lat", "grid_lon", "cell_lat", "cell_lon").unionByName(found)
+    Cells are coarsened to blocks of 1, 2, 4, ... cells a side. A cell goes up until its block or one of the eight about it holds data: then
+    that data is within 2.9 sides, and the blocks of four sides about it hold all that may be nearer. From there it goes down again, a block
+    of candidates being replaced by its quarters that hold data; blocks whose box is farther than another one's far corner leave. Every step is
+    an equality join on blocks, a cell keeps a few blocks at a time, and steps end when no cell is left to move."""
+    asked = points.select(F.col("grid_lat").cast("int").alias("grid_lat"), F.col("grid_lon").cast("int").alias("grid_lon")).distinct()
+    b_lat, b_lon = F.col("grid_lat").cast("int"), F.col("grid_lon").cast("int")
+    blocks = [cut_lineage(cells.select(b_lat.alias("b_lat"), b_lon.alias("b_lon")).distinct().select(
+        "b_lat", "b_lon", F.col("b_lat").alias("lat_lo"), F.col("b_lon").alias("lon_lo"), F.col("b_lat").alias("lat_hi"), F.col("b_lon").alias("lon_hi")))]
+    rest, entering = cut_lineage(asked), {}
+    if blocks[0].isEmpty():
+        return asked.select("*", F.lit(None).cast("int").alias("cell_lat"), F.lit(None).cast("int").alias("cell_lon")).limit(0)
+
+    def block(level: int) -> DataFrame:
+        while len(blocks) <= level:
+            blocks.append(cut_lineage(_coarser(blocks[-1])))
+        return blocks[level]
+
+    level = 0
+    while not rest.isEmpty():
+        met = cut_lineage(_around(rest, level).join(block(level), ["b_lat", "b_lon"], "left_semi").select("grid_lat", "grid_lon").distinct())
+        entering[level + 2] = met
+        rest = cut_lineage(rest.join(met, ["grid_lat", "grid_lon"], "left_anti"))
+        level += 1
+
+    def squared(low: str, high: str, at: str, far: bool) -> Column:
+        lo, hi, x = F.col(low).cast("bigint"), F.col(high).cast("bigint"), F.col(at).cast("bigint")
+        off = F.greatest(F.abs(x - lo), F.abs(x - hi)) if far else F.greatest(lo - x, x - hi, F.lit(0).cast("bigint"))
+        return off * off
+
+    best_far = F.min("_far").over(Window.partitionBy("grid_lat", "grid_lon"))
+    held = None
+    for level in range(max(entering, default=-1), -1, -1):
+        if level in entering:
+            new = _around(entering[level], level)
+            held = new if held is None else held.unionByName(new)
+        boxed = held.join(block(level), ["b_lat", "b_lon"]).withColumns({
+            "_far": squared("lat_lo", "lat_hi", "grid_lat", True) + squared("lon_lo", "lon_hi", "grid_lon", True),
+            "_near": squared("lat_lo", "lat_hi", "grid_lat", False) + squared("lon_lo", "lon_hi", "grid_lon", False)})
+        kept = boxed.withColumn("_best", best_far).filter("_near <= _best")
+        if level == 0:
+            return kept.groupBy("grid_lat", "grid_lon").agg(F.min(F.struct(F.col("_near"), F.col("b_lat").alias("cell_lat"), F.col("b_lon").alias("cell_lon"))).alias("b")).select(
+                "grid_lat", "grid_lon", "b.cell_lat", "b.cell_lon")
+        quarters = F.explode(F.array(*[F.struct((F.col("b_lat") * 2 + i).alias("b_lat"), (F.col("b_lon") * 2 + j).alias("b_lon")) for i in (0, 1) for j in (0, 1)]))
+        held = cut_lineage(kept.select("grid_lat", "grid_lon", quarters.alias("q")).select("grid_lat", "grid_lon", "q.b_lat", "q.b_lon"))
+    return asked.select("*", F.lit(None).cast("int").alias("cell_lat"), F.lit(None).cast("int").alias("cell_lon"))
 
 
 def weather_at(points: DataFrame, hourly: DataFrame, daily: DataFrame, fields: Sequence[str]) -> DataFrame:

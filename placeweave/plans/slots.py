@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from placeweave.functions import hours
 from placeweave.functions import weather_rules as R
+from placeweave.operators import legs as G
 from placeweave.operators import slots as S
 from placeweave.operators import weather
-from placeweave.plans.catalogue import _SQL_TEXT, SQL_FLAGS, SQL_HOURLY, hourly, places
+from placeweave.plans.catalogue import _SQL_TEXT, SQL_FLAGS, SQL_HOURLY, _sql_haversine, hourly, places
 from placeweave.plans.registry import query, table
-from placeweave.plans.trips import SQL_TRIPS, TODAY, schedules, trip_frames
+from placeweave.plans.routes import _SQL_ZONES, _sql_hits, zones
+from placeweave.plans.trips import END, HOTEL, SQL_TRIPS, TODAY, schedules, trip_frames
 
 
 def wishes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,23 +37,23 @@ def _weathered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 _SQL_SLOTS = f"""{SQL_TRIPS},
-wish AS (SELECT DISTINCT trip, place FROM tv WHERE place >= 0),
-dated AS (SELECT w.trip, w.place, fr.day, lo AS dlo, hi AS dhi, size, visit_minutes, indoor_ratio, unsafe, (fr.day + 3) % 7 AS dow,
+wish AS MATERIALIZED (SELECT DISTINCT trip, place FROM tv WHERE place >= 0),
+dated AS MATERIALIZED (SELECT w.trip, w.place, fr.day, lo AS dlo, hi AS dhi, size, visit_minutes, indoor_ratio, unsafe, (fr.day + 3) % 7 AS dow,
   CASE WHEN fr.day - {TODAY} < 0 THEN 'none' WHEN fr.day - {TODAY} <= 3 THEN 'hourly' WHEN fr.day - {TODAY} <= 10 THEN 'daily' ELSE 'climate' END AS tier
   FROM wish w JOIN fr ON fr.trip = w.trip JOIN places p ON p.place = w.place),
 win AS (SELECT *, unnest(CASE WHEN size % 7 = 0 THEN [[0, 1440]] WHEN dow < 5 THEN [[(6 + size % 4) * 60, (14 + size % 6) * 60 + 30]]
   WHEN dow = 5 AND size % 3 = 0 THEN [[480, 720], [780, 915]] ELSE [] END) AS w FROM dated),
 span AS (SELECT * FROM (SELECT *, greatest(w[1], dlo) AS a, least(w[2], dhi) - visit_minutes AS b FROM win) WHERE b >= a),
-slot AS (SELECT trip, place, day, tier, visit_minutes, indoor_ratio, unsafe, a AS lo, b AS hi FROM span WHERE tier <> 'hourly'
+slot AS MATERIALIZED (SELECT trip, place, day, tier, visit_minutes, indoor_ratio, unsafe, a AS lo, b AS hi FROM span WHERE tier <> 'hourly'
   UNION ALL SELECT trip, place, day, tier, visit_minutes, indoor_ratio, unsafe, greatest(a, h * 60), least(b, h * 60 + 59) FROM (SELECT *, unnest(range(a // 60, b // 60 + 1)) AS h FROM span WHERE tier = 'hourly'))"""
 _SQL_COST = "least((1 - indoor_ratio) * (0.5 * {rain} + 0.5 * least(greatest((temp_c - 32.0) / 6.0, 0.0), 1.0) + 0.2 * least(greatest((wind_kmh - 20.0) / 30.0, 0.0), 1.0)), 1.0)"
 _SQL_HIT = "((storm AND list_contains(unsafe, 'bao')) OR (heavy AND list_contains(unsafe, 'mua_lon')) OR (rough AND list_contains(unsafe, 'song_lon')))"
 _SQL_FACTOR = "CASE WHEN storm THEN 1.8 WHEN heavy THEN 1.4 WHEN raining THEN 1.2 ELSE 1.0 END"
 _SQL_WEATHERED = f"""{_SQL_SLOTS}, {SQL_HOURLY}, {SQL_FLAGS},
-dflags AS (SELECT *, p >= 5 AS raining, wind_kmh >= 50 OR code IN (95, 96, 99) AS storm, p >= 50 OR code IN (65, 82) AS heavy, wind_kmh >= 40 AS rough FROM (
+dflags AS MATERIALIZED (SELECT *, p >= 5 AS raining, wind_kmh >= 50 OR code IN (95, 96, 99) AS storm, p >= 50 OR code IN (65, 82) AS heavy, wind_kmh >= 40 AS rough FROM (
   SELECT cell, hour // 24 AS day, sum(precip_mm) AS p, max(temp_c) AS temp_c, max(wind_kmh) AS wind_kmh, max(code) AS code FROM hourly GROUP BY ALL)),
-stay AS (SELECT *, (lo + hi) // 2 AS mid, unnest(range(lo // 60, (hi + visit_minutes - 1) // 60 + 1)) AS h FROM slot WHERE tier = 'hourly'),
-seen AS (SELECT trip, place, day, lo, min(h) FILTER ({_SQL_HIT}) AS blocked_hour,
+stay AS MATERIALIZED (SELECT *, (lo + hi) // 2 AS mid, unnest(range(lo // 60, (hi + visit_minutes - 1) // 60 + 1)) AS h FROM slot WHERE tier = 'hourly'),
+seen AS MATERIALIZED (SELECT trip, place, day, lo, min(h) FILTER ({_SQL_HIT}) AS blocked_hour,
     sum({_SQL_COST.format(rain="greatest(least(precip_mm / 5.0, 1.0), 0.7 * code / 100.0)")} * share) / nullif(sum(share), 0) AS cost,
     max({_SQL_FACTOR}) FILTER (h = mid // 60) AS factor, max((storm OR heavy)::INT) FILTER (h = mid // 60) = 1 AS stormy
   FROM (SELECT *, greatest(least(mid + visit_minutes, (h + 1) * 60) - greatest(mid, h * 60), 0) / 60.0::DOUBLE AS share FROM stay) s JOIN flags f ON f.cell = s.place % 16 AND f.hour = s.day * 24 + h GROUP BY ALL),
@@ -84,6 +86,47 @@ def slot_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("trip", "place", "day", "lo", "hi", "blocked", "blocked_hour", "weather_cost", "factor", "stormy")
 
 
+_SQL_GRAPH = f"""{_SQL_WEATHERED}, {_SQL_ZONES},
+taken AS MATERIALIZED (SELECT DISTINCT trip, place FROM tv WHERE l_returnflag = 'A'),
+open AS MATERIALIZED (
+  SELECT j.trip, j.day, j.place, lo, hi, j.visit_minutes, round_even(round(coalesce(cost, 0) * 120 * j.visit_minutes / 60, 9), 0)::INT AS weather_cost,
+         coalesce(factor, 1) AS factor, coalesce(stormy, false) AS stormy, lat, lon
+  FROM judged j JOIN taken USING (trip, place) JOIN places p ON p.place = j.place WHERE NOT blocked),
+node AS MATERIALIZED (
+  SELECT trip, day, 1 AS kind, place, lo, hi, visit_minutes, weather_cost, factor, stormy, lat, lon FROM open
+  UNION ALL SELECT trip, day, 0, NULL, lo, hi, 0, 0, 1, false, {HOTEL[0]}, {HOTEL[1]} FROM fr
+  UNION ALL SELECT trip, day, 2, NULL, lo, hi, 0, 0, 1, false, {END[0]}, {END[1]} FROM fr),
+met AS MATERIALIZED (
+  SELECT a.trip, a.day, a.kind AS from_kind, a.place AS from_place, a.lo + a.visit_minutes AS leaves, b.kind AS to_kind, b.place AS to_place, b.hi AS until,
+         b.weather_cost, CASE WHEN b.kind = 2 THEN a.factor ELSE b.factor END AS factor, CASE WHEN b.kind = 2 THEN a.stormy ELSE b.stormy END AS stormy,
+         a.lat AS lat1, a.lon AS lon1, b.lat AS lat2, b.lon AS lon2, coalesce(a.place::VARCHAR, 'start') || '>' || coalesce(b.place::VARCHAR, 'end') AS path
+  FROM node a JOIN node b ON a.trip = b.trip AND a.day = b.day WHERE a.kind < 2 AND b.kind > 0 AND NOT (a.kind = 1 AND b.kind = 1 AND a.place = b.place)),
+far AS MATERIALIZED (
+  SELECT path, {_sql_haversine('a.', 'b.')} / 1000 * 1.3::DOUBLE AS km
+  FROM (SELECT path, any_value(lat1) AS lat1, any_value(lon1) AS lon1, any_value(lat2) AS lat2, any_value(lon2) AS lon2 FROM met GROUP BY path) d,
+       LATERAL (SELECT d.lat1 AS lat, d.lon1 AS lon) a, LATERAL (SELECT d.lat2 AS lat, d.lon2 AS lon) b),
+timed AS MATERIALIZED (
+  SELECT * FROM (
+    SELECT met.*, ceil((ceil(km / speed * 60) + CASE WHEN ceil(km / speed * 60) > 0 THEN 3 ELSE 0 END) * factor)::INT AS minutes
+    FROM met JOIN (SELECT DISTINCT trip, speed FROM fr) USING (trip) JOIN far USING (path)) WHERE leaves + minutes <= until),
+seg AS MATERIALIZED (SELECT DISTINCT path, lat1, lon1, lat2, lon2 FROM timed WHERE stormy),
+{_sql_hits('seg')}, wet AS (SELECT DISTINCT path FROM hits),
+legs AS (
+  SELECT t.*, stormy AND w.path IS NOT NULL AS flooded, minutes + weather_cost + CASE WHEN stormy AND w.path IS NOT NULL THEN 30 ELSE 0 END AS cost
+  FROM timed t LEFT JOIN wet w USING (path))"""
+
+
+@query("leg_choices", f"""WITH {_SQL_GRAPH}
+SELECT trip, day::INT AS day, from_kind, from_place, to_kind, to_place, count(*) AS slots, min(minutes) AS minutes, min(cost)::INT AS cost, count(*) FILTER (flooded) AS flooded
+FROM legs GROUP BY trip, day, from_kind, from_place, to_kind, to_place""")
+def leg_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Legs between the slots of the places that were accepted (``from_kind`` 0 is the day's start, ``to_kind`` 2 its end)."""
+    judged, _ = _weathered(spark, sf_dir)
+    taken = schedules(spark, sf_dir).filter("l_returnflag = 'A'").select("trip", "place").distinct()
+    open_slots = judged.filter(~F.col("blocked")).join(taken, ["trip", "place"], "left_semi").join(places(spark, sf_dir).select("place", "lat", "lon"), "place")
+    return G.leg_choices(G.slot_legs(open_slots, trip_frames(spark, sf_dir), zones(spark, sf_dir)))
+
+
 @query("unvisited", f"""WITH {_SQL_WEATHERED}, went AS (SELECT DISTINCT trip, place FROM tv WHERE l_returnflag = 'A'),
 tried AS (SELECT trip, place, count(*) FILTER (NOT blocked) AS free, count(*) FILTER (blocked) AS avoided FROM judged GROUP BY ALL),
 shut AS (SELECT DISTINCT trip, place FROM dated WHERE size % 7 <> 0 AND (dow = 6 OR (dow = 5 AND size % 3 <> 0)))

@@ -14,7 +14,8 @@ from placeweave.operators import weather
 from placeweave.plans.catalogue import _SQL_TEXT, SQL_FLAGS, SQL_HOURLY, SQL_PLACES, _sql_haversine, hourly, places
 from placeweave.plans.registry import query, table
 
-HOTEL, END = (16.4637, 107.5909), (16.47, 107.58)
+#: Points of our own choosing where the derived trips begin and end.
+HOTEL, END = (16.45, 107.57), (16.47, 107.58)
 TODAY = 19733
 
 
@@ -187,21 +188,32 @@ def experiment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Travel -----------------------------------------------------------------------------------------------------------------
 
 
-@query("travel_table", f"""WITH {SQL_TRIPS}, stops AS (SELECT DISTINCT trip, p.place, lat, lon, 25.0::DOUBLE AS speed FROM tv JOIN places p USING (place)),
-pairs AS (SELECT a.trip, a.place AS origin, a.lat AS flat, a.lon AS flon, b.place AS dest, b.lat, b.lon, b.speed FROM stops a JOIN stops b ON a.trip = b.trip AND a.place <> b.place)
-SELECT trip, origin, dest, round({_sql_haversine('f', '')} / 1000 * 1.3::DOUBLE, 5) AS km, {_sql_minutes('f', '')}::INT AS minutes FROM pairs""")
+@query("travel_table", f"""WITH {SQL_TRIPS},
+wished AS MATERIALIZED (SELECT DISTINCT trip, place FROM tv),
+stops AS MATERIALIZED (SELECT trip, place, lat, lon FROM wished JOIN places USING (place)),
+pairs AS MATERIALIZED (
+  SELECT a.trip, a.place AS origin, a.lat AS flat, a.lon AS flon, b.place AS dest, b.lat, b.lon
+  FROM stops a JOIN stops b ON a.trip = b.trip WHERE a.place <> b.place),
+measured AS MATERIALIZED (SELECT trip, origin, dest, {_sql_haversine('f', '')} / 1000 * 1.3::DOUBLE AS km FROM pairs),
+timed AS (SELECT *, ceil(km / 25.0::DOUBLE * 60) AS whole FROM measured)
+SELECT trip, origin, dest, round(km, 5) AS km, (whole + CASE WHEN whole > 0 THEN 3 ELSE 0 END)::INT AS minutes FROM timed""")
 def travel_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     stops = schedules(spark, sf_dir).select("trip", "place").join(places(spark, sf_dir).select("place", "lat", "lon"), "place")
     return T.travel_table(stops).withColumn("km", F.round("km", 5))
 
 
-_SQL_LEGS = f"""{SQL_TRIPS}, legs AS (SELECT trip, visit, lag(tv.place) OVER w AS origin, tv.place AS dest, CASE WHEN l_linestatus = 'F' THEN arrive END AS minute, l_returnflag AS flag,
-  lag(lat) OVER w AS flat, lag(lon) OVER w AS flon, lat, lon, 25.0::DOUBLE AS speed FROM tv JOIN places p ON p.place = tv.place WINDOW w AS (PARTITION BY trip ORDER BY day, arrive, visit)),
-buckets AS (SELECT DISTINCT origin, dest, hour, origin % 40 + hour AS took FROM legs, unnest([8, 12, 17]) h(hour) WHERE origin IS NOT NULL AND flag <> 'N' AND (flag = 'R' OR hour <> 12))"""
+_SQL_LEGS = f"""{SQL_TRIPS},
+stops AS MATERIALIZED (SELECT trip, visit, day, arrive, l_linestatus, l_returnflag, p.place, lat, lon FROM tv JOIN places p ON p.place = tv.place),
+legs AS MATERIALIZED (
+  SELECT trip, visit, lag(place) OVER w AS origin, place AS dest, CASE WHEN l_linestatus = 'F' THEN arrive END AS minute, l_returnflag AS flag,
+         lag(lat) OVER w AS flat, lag(lon) OVER w AS flon, lat, lon, 25.0::DOUBLE AS speed
+  FROM stops WINDOW w AS (PARTITION BY trip ORDER BY day, arrive, visit)),
+buckets AS MATERIALIZED (SELECT DISTINCT origin, dest, hour, origin % 40 + hour AS took FROM legs, unnest([8, 12, 17]) h(hour) WHERE origin IS NOT NULL AND flag <> 'N' AND (flag = 'R' OR hour <> 12))"""
 
 
-@query("nearest_bucket", f"""WITH {_SQL_LEGS}, near AS (SELECT trip, visit, arg_min(took, CASE WHEN minute IS NULL THEN hour ELSE abs(hour * 60 - minute) * 100 + hour END) AS took
-  FROM legs JOIN buckets USING (origin, dest) GROUP BY ALL)
+@query("nearest_bucket", f"""WITH {_SQL_LEGS}, near AS MATERIALIZED (
+  SELECT trip, visit, arg_min(took, CASE WHEN minute IS NULL THEN hour ELSE abs(hour * 60 - minute) * 100 + hour END) AS took
+  FROM legs JOIN buckets USING (origin, dest) GROUP BY trip, visit)
 SELECT trip, visit, origin, dest, coalesce(took, {_sql_minutes('f', '')}) AS minutes, CASE WHEN took IS NULL THEN 'estimate' ELSE 'measured' END AS travel_source
 FROM legs LEFT JOIN near USING (trip, visit) WHERE origin IS NOT NULL""")
 def nearest_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,7 +93,7 @@ def test_alias_hits_by_brute_force(spark):
         names[r.alias] = min(r.place, names.get(r.alias, r.place))
     from placeweave.functions import text
     turns = spark.read.parquet(f"{sf}/conversations.parquet").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("request"), text.fold_ws(F.coalesce("text", F.lit(""))).alias("t")).collect()
+        F.struct("conv_id", "turn").alias("request"), text.fold_ws(F.coalesce("text", F.lit(""))).alias("t")).collect()
     want = set()
     for turn in turns:
         words = re.findall(r"\w+", turn.t)
@@ -106,8 +106,8 @@ def test_alias_hits_by_brute_force(spark):
         first = {}
         for _, i, _, place in kept:
             first[place] = min(i, first.get(place, i))
-        want |= {(turn.request, place, n) for n, (place, _) in enumerate(sorted(first.items(), key=lambda x: (x[1], x[0])), 1)}
-    assert {tuple(r) for r in request_plans.alias_hits(spark, sf).select("request", "place", "rank").collect()} == want
+        want |= {(*turn.request, place, n) for n, (place, _) in enumerate(sorted(first.items(), key=lambda x: (x[1], x[0])), 1)}
+    assert {tuple(r) for r in request_plans.alias_hits(spark, sf).select("conv_id", "turn", "place", "rank").collect()} == want
 
 
 def test_long_conversations_stay_apart(spark, tmp_path):
@@ -117,8 +117,8 @@ def test_long_conversations_stay_apart(spark, tmp_path):
     sf = str(tmp_path)
     hits = {(r.conv_id, r.turn, r.place, r["rank"]) for r in request_plans.alias_hits(spark, sf).collect()}
     assert hits == {(1, 1000, 5, 1), (1, 1001, 5, 1), (2, 0, 5, 1)}
-    counts = sorted((r.request, r.alias, r.n) for r in request_plans.alias_mentions(spark, sf).collect())
-    assert counts == [(2000, "alpha beta", 1), (2000, "alpha beta", 1), (2000, "beta", 1), (2000, "beta", 2), (2001, "beta", 1)]
+    counts = sorted((r.conv_id, r.turn, r.alias, r.n) for r in request_plans.alias_mentions(spark, sf).collect())
+    assert counts == [(1, 1000, "alpha beta", 1), (1, 1000, "beta", 1), (1, 1001, "beta", 1), (2, 0, "alpha beta", 1), (2, 0, "beta", 2)]
     tags = {(r.conv_id, r.turn): "places" in r.assumed for r in request_plans.request_tags(spark, sf).collect()}
     assert tags == {(1, 1000): False, (2, 0): False, (2, 1): True, (1, 1001): False}
 
@@ -144,7 +144,7 @@ def test_zone_and_route_choice(spark):
 
 def test_departure_bucket(spark):
     legs = spark.createDataFrame([(1, 1, 2, 540, 1.0), (2, 1, 2, 990, 1.0), (3, 1, 2, None, 1.0), (4, 2, 1, 540, 0.0)], "leg int, origin int, dest int, minute int, km double")
-    buckets = spark.createDataFrame([(1, 2, 8, 80), (1, 2, 12, 120), (1, 2, 17, 170)], "origin int, dest int, hour int, minutes int")
+    buckets = spark.createDataFrame([(1, 2, 8, 80), (1, 2, 8, 95), (1, 2, 12, 120), (1, 2, 17, 170)], "origin int, dest int, hour int, minutes int")
     got = {r.leg: (r.minutes, r.travel_source) for r in trips.travel_at(legs.withColumn("mode", F.lit("car")), buckets).collect()}
     assert got == {1: (80, "measured"), 2: (170, "measured"), 3: (80, "measured"), 4: (0, "estimate")}
 
