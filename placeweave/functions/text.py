@@ -91,20 +91,24 @@ def add_terms(df: DataFrame, text: Column, analyzer: str, out: str = "terms") ->
 
     plain: accented words; fold: folded words; multi: both, folded ones marked ``~``, plus
     folded neighbour pairs ``~a_b``."""
+    # The words are columns of their own so that they are computed once per row.
+    staged = df.withColumn("_folded", tokens(text, folded=True)).withColumn("_plain", tokens(text))
+    return staged.withColumn(out, terms_of(F.col("_plain"), F.col("_folded"), analyzer)).drop("_folded", "_plain")
+
+
+def terms_of(plain: Column, folded: Column, analyzer: str) -> Column:
+    """The analyzer's terms from a text's words and folded words."""
     if analyzer not in ANALYZERS:
         raise ValueError(f"analyzer must be one of {ANALYZERS}, got {analyzer!r}")
     if analyzer == "plain":
-        return df.withColumn(out, tokens(text))
+        return plain
     if analyzer == "fold":
-        return df.withColumn(out, tokens(text, folded=True))
-    # The folded words are a column of their own so that they are computed once per row.
-    staged = df.withColumn("_folded", tokens(text, folded=True)).withColumn("_plain", tokens(text))
-    folded = F.col("_folded")
+        return folded
     following = F.slice(folded, F.lit(2), F.greatest(F.size(folded) - 1, F.lit(0)))
     leading = F.slice(folded, F.lit(1), F.greatest(F.size(folded) - 1, F.lit(0)))
     pairs = F.zip_with(leading, following, lambda a, b: F.concat(F.lit("~"), a, F.lit("_"), b))
     marked = F.transform(folded, lambda t: F.concat(F.lit("~"), t))
-    return staged.withColumn(out, F.concat("_plain", marked, pairs)).drop("_folded", "_plain")
+    return F.concat(plain, marked, pairs)
 
 
 def chunk_array(c: Column, max_chars: int = 1200, separator: str = r"\n\n") -> Column:

@@ -15,20 +15,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placeweave.functions import text as X
+from placeweave.operators import postings as P
 from placeweave.operators.scale import dense_index, top_k
+from placeweave.session import cut_lineage
 
 # Categories that are context rather than destinations, fusion constants.
 NON_DESTINATIONS = ("boi_canh", "ha_tang", "don_vi_hanh_chinh")
 RRF_K = 60
 HYBRID_DEPTH = 50
-BM25_K1 = 1.5
-BM25_B = 0.75
-# Scores closer than this are equal: the order in which Spark adds doubles must not rank copies.
-SCORE_DECIMALS = 9
 # Vectors packed into one row for exact search: a block of queries meets every block of chunks once.
 QUERY_BLOCK = 256
 CHUNK_BLOCK = 4096
-FILTERS = ("category", "place_id")
 
 
 def corpus(chunks: DataFrame, places: DataFrame, exclude: Sequence[str] = NON_DESTINATIONS) -> DataFrame:
@@ -37,10 +34,6 @@ def corpus(chunks: DataFrame, places: DataFrame, exclude: Sequence[str] = NON_DE
     return chunks.join(kept.select("place_id", F.col("name").alias("place_name"), "category"), "place_id")
 
 
-def _filters(queries: DataFrame) -> list[str]:
-    return [f for f in FILTERS if f in queries.columns]
-
-
 def _asked(queries: DataFrame) -> DataFrame:
     """Queries that say something; an empty category is no filter."""
     if "query" in queries.columns:
@@ -50,70 +43,13 @@ def _asked(queries: DataFrame) -> DataFrame:
     return queries
 
 
-def _passes(filters: Sequence[str], query: str, chunk: str) -> Column:
-    keep = F.lit(True)
-    for f in filters:
-        asked = F.col(f"{query}.{f}")
-        keep = keep & (asked.isNull() | (asked == F.col(f"{chunk}.{f}")))
-    return keep
-
-
-def _best(scores: DataFrame, k: int) -> DataFrame:
-    ranked = top_k(scores, ["query_id"], [F.round("score", SCORE_DECIMALS).desc(), F.col("chunk_id").asc()], k)
-    return ranked.select("query_id", "rank", "chunk_id", "score")
-
-
-def query_terms(queries: DataFrame, analyzer: str) -> DataFrame:
-    """``query_id, filters, term, times``: a repeated query term keeps its multiplicity."""
-    keep = ["query_id", *_filters(queries)]
-    terms = X.add_terms(queries, F.col("query"), analyzer).select(*keep, F.explode("terms").alias("term"))
-    return terms.groupBy(*keep, "term").agg(F.count(F.lit(1)).alias("times"))
-
-
-def _analyzed(corpus_df: DataFrame, analyzer: str) -> DataFrame:
-    text = X.embedding_text(F.col("place_name"), F.col("content"))
-    return (
-        X.add_terms(corpus_df.select("chunk_id", *FILTERS, text.alias("_text")), F.col("_text"), analyzer)
-        .drop("_text").withColumn("length", F.size("terms"))
-    )
-
-
-def bm25_index(corpus_df: DataFrame, analyzer: str = "plain",
-               vocabulary: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(postings, document frequencies, collection statistics).
-
-    ``vocabulary(term)`` restricts the postings to terms that will be asked for, before anything
-    is shuffled; repeats of a word in a chunk are counted before the shuffle."""
-    docs = _analyzed(corpus_df, analyzer)
-    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avgdl"))
-    words = docs.select("chunk_id", *FILTERS, "length", F.explode("terms").alias("term"))
-    if vocabulary is not None:
-        words = words.join(vocabulary, "term", "left_semi")
-    postings = words.groupBy("chunk_id", *FILTERS, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    frequencies = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return postings, frequencies, stats
-
-
 def bm25_search(queries: DataFrame, corpus_df: DataFrame, k: int = 5, analyzer: str = "plain",
-                k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
-    """Chunks scoring above zero, best first. Query terms travel to the postings, never the reverse."""
+                k1: float = P.BM25_K1, b: float = P.BM25_B, words: DataFrame | None = None) -> DataFrame:
+    """Chunks scoring above zero, best first. ``words`` are those of the corpus, where they are known already (see ``postings.analysed``)."""
     queries = _asked(queries)
-    asked = query_terms(queries, analyzer)
-    postings, frequencies, stats = bm25_index(corpus_df, analyzer, asked.select("term").distinct())
-    n = stats.select(F.col("n").cast("double")).scalar()
-    avgdl = stats.select("avgdl").scalar()
-    weights = asked.join(frequencies, "term").withColumn(
-        "weight", F.col("times") * F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0))
-    tf = F.col("tf")
-    gain = F.col("weight") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / avgdl))
-    matched = postings.alias("c").join(
-        weights.alias("q"),
-        (F.col("c.term") == F.col("q.term")) & _passes(_filters(queries), "q", "c"))
-    scores = (
-        matched.select("q.query_id", "c.chunk_id", gain.alias("gain"))
-        .groupBy("chunk_id", "query_id").agg(F.sum("gain").alias("score"))
-    )
-    return _best(scores, k)
+    asked = cut_lineage(P.query_terms(queries, analyzer))
+    index = P.build_index(P.analysed(corpus_df) if words is None else words, analyzer, asked, k1, b)
+    return P.search(queries, index, asked, k)
 
 
 def _unit_rows(matrix: np.ndarray) -> np.ndarray:
@@ -127,7 +63,7 @@ def _best_of_block(queries: Sequence, chunks: Sequence, filters: Sequence[str],
     rank_of = np.empty(len(chunk_ids), np.int64)
     rank_of[np.argsort(chunk_ids, kind="stable")] = np.arange(len(chunk_ids))
     asked, held = (_unit_rows(np.array([r["vector"] for r in rows], np.float64)) for rows in (queries, chunks))
-    similarity = np.round(asked @ held.T, SCORE_DECIMALS)
+    similarity = np.round(asked @ held.T, P.SCORE_DECIMALS)
     allowed = similarity >= floor
     for f in filters:
         values = np.array([c[f] for c in chunks], object)
@@ -148,7 +84,7 @@ def dense_search(queries: DataFrame, chunks: DataFrame, k: int = 5, model: str |
     Both sides are packed into rows of a bounded number of vectors; each pair of rows is one matrix product
     in a task and emits at most ``k`` rows per query. The driver sees two counts."""
     queries = _asked(queries)
-    filters = _filters(queries)
+    filters = P.filters_of(queries)
     usable = chunks.filter(F.col("embedding").isNotNull())
     asked = queries.filter(F.col("embedding").isNotNull())
     if model is not None:
@@ -176,7 +112,7 @@ def dense_search(queries: DataFrame, chunks: DataFrame, k: int = 5, model: str |
                 yield _best_of_block(one, other, filters, k, min_similarity)
 
     shape = ", ".join(f"{name} {df.schema[name].dataType.simpleString()}" for df, name in ((queries, "query_id"), (chunks, "chunk_id")))
-    return _best(pairs.mapInPandas(score, f"{shape}, score double"), k)
+    return P.best(pairs.mapInPandas(score, f"{shape}, score double"), k)
 
 
 def rrf(rankings: Sequence[DataFrame], k: int, c: int = RRF_K) -> DataFrame:
@@ -185,14 +121,14 @@ def rrf(rankings: Sequence[DataFrame], k: int, c: int = RRF_K) -> DataFrame:
     for ranking in rankings:
         part = ranking.select("query_id", "chunk_id", (1.0 / (c + F.col("rank"))).alias("vote"))
         votes = part if votes is None else votes.unionByName(part)
-    return _best(votes.groupBy("query_id", "chunk_id").agg(F.sum("vote").alias("score")), k)
+    return P.best(votes.groupBy("query_id", "chunk_id").agg(F.sum("vote").alias("score")), k)
 
 
 def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int = 5, model: str | None = None,
-                  analyzer: str = "multi", depth: int = HYBRID_DEPTH, c: int = RRF_K) -> DataFrame:
+                  analyzer: str = "multi", depth: int = HYBRID_DEPTH, c: int = RRF_K, words: DataFrame | None = None) -> DataFrame:
     asked = queries.filter(X.strip(F.col("query")) != "")
     deep = max(depth, k)
-    return rrf([dense_search(asked, chunks, deep, model), bm25_search(asked, chunks, deep, analyzer)], k, c)
+    return rrf([dense_search(asked, chunks, deep, model), bm25_search(asked, chunks, deep, analyzer, words=words)], k, c)
 
 
 def random_search(queries: DataFrame, chunks: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
