@@ -1,25 +1,25 @@
-"""Retrieval evaluation: judgements, per-query metrics, summaries and paired bootstrap."""
+"""Retrieval evaluation: judgements, per-query metrics, summaries and paired differences."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placeweave.functions import text as X
-from placeweave.operators.scale import dense_index
+from placeweave.operators.resampling import nearest_rank
 
 KS = (1, 3, 5, 10)
 
 
-def build_judgements(queries: DataFrame, links: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(judged, missing, excluded) from ``queries(query_id, relevant)`` and ``links(external_id, place_id)``.
+def build_judgements(relevant: DataFrame, links: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(judged, missing, excluded) from ``relevant(query_id, external_id)`` and ``links(external_id, place_id)``.
 
     judged: ``query_id, place_id, n_chunks`` of queries with at least one relevant chunk;
     missing: relevant ids no place carries; excluded: queries no relevant chunk exists for."""
-    wanted = queries.select("query_id", F.explode(F.array_distinct("relevant")).alias("external_id"))
+    wanted = relevant.select("query_id", "external_id").distinct()
     resolved = wanted.join(links.select("external_id", "place_id"), "external_id", "left")
     missing = resolved.filter(F.col("place_id").isNull()).select("query_id", "external_id")
     places = resolved.filter(F.col("place_id").isNotNull()).select("query_id", "place_id").distinct()
@@ -30,7 +30,7 @@ def build_judgements(queries: DataFrame, links: DataFrame, corpus: DataFrame) ->
     counted = places.join(counts, "place_id", "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)))
     alive = counted.groupBy("query_id").agg(F.sum("n_chunks").alias("_n")).filter("_n > 0").select("query_id")
     judged = counted.join(alive, "query_id", "left_semi")
-    excluded = queries.select("query_id").join(alive, "query_id", "left_anti")
+    excluded = wanted.select("query_id").distinct().join(alive, "query_id", "left_anti")
     return judged, missing, excluded
 
 
@@ -101,17 +101,18 @@ def score_queries(results: DataFrame, queries: DataFrame, judged: DataFrame, ret
     return long.select("query_id", "type", "retriever", "_m.metric", "_m.value").filter(F.col("value").isNotNull())
 
 
-def summarise_retrieval(metrics: DataFrame) -> DataFrame:
-    """Mean and count per metric over all queries (``type`` NULL) and per query type."""
-    scopes = metrics.withColumn("scope", F.explode(F.array(F.lit("all"), F.col("type"))))
-    return scopes.groupBy("retriever", "scope", "metric").agg(
-        F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n"))
+def summarise_retrieval(metrics: DataFrame, latencies: DataFrame | None = None) -> DataFrame:
+    """``retriever, scope, metric, mean, n``: the mean of each metric over all queries (``all``) and per query type. ``latencies``
+    (``query_id, type, retriever, latency_ms``) add their median and 95th percentile, by nearest rank."""
+    def scopes(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("scope", F.explode(F.array(F.lit("all"), F.col("type"))))
 
-
-def latency_percentiles(latencies: DataFrame, by: Sequence[str], column: str = "latency_ms") -> DataFrame:
-    """Nearest-rank p50 and p95."""
-    return latencies.groupBy(*by).agg(*[
-        F.expr(f"percentile_disc({p / 100}) within group (order by {column})").alias(f"p{p}") for p in (50, 95)])
+    out = scopes(metrics).groupBy("retriever", "scope", "metric").agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n"))
+    if latencies is None:
+        return out
+    name = F.concat(F.lit("latency_p"), (F.col("share") * 100).cast("int").cast("string"), F.lit("_ms"))
+    ranked = nearest_rank(scopes(latencies), ["retriever", "scope"], "latency_ms", (0.5, 0.95))
+    return out.unionByName(ranked.select("retriever", "scope", name.alias("metric"), F.col("value").alias("mean"), "n"))
 
 
 def missed_queries(metrics: DataFrame, results: DataFrame, main_k: int = 5) -> DataFrame:
@@ -133,31 +134,3 @@ def paired_diffs(metrics: DataFrame, names: Sequence[str], reference: str, by: S
     others = wanted.filter(F.col("retriever") != reference)
     return others.join(ref, ["query_id", "metric"]).select(
         "query_id", F.col("retriever").alias("other"), "metric", (F.col("_ref") - F.col("value")).alias("diff"), *by)
-
-
-def paired_bootstrap(diffs: DataFrame, keys: Sequence[str], unit: str, resamples: int = 2000,
-                     seed: int = 0) -> DataFrame:
-    """Mean paired difference per group with its 95% percentile interval.
-
-    Units are resampled with replacement by a seeded hash stream that depends only on (resample,
-    draw), so groups with equally many units share draws. Draws are generated in parallel per
-    resample; each group ends in ``resamples`` means."""
-    keys = list(keys)
-    numbered = dense_index(diffs.select(*keys, unit, "diff"), keys, unit, "_idx")
-    sizes = diffs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("diff").alias("mean_diff"))
-    units = numbered.join(sizes.select(*keys, "n"), keys)
-    text = F.concat(F.lit(f"{seed}:"), F.col("_r").cast("string"), F.lit(":"), F.col("_i").cast("string"))
-    draws = (
-        sizes.select("n").distinct()
-        .withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-        .repartition("n", "_r")
-        .withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
-        .select("n", "_r", (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % F.col("n")).alias("_idx"))
-    )
-    means = units.join(draws, ["n", "_idx"]).groupBy(*keys, "_r").agg((F.sum("diff") / F.first("n")).alias("_mean"))
-    spread = means.withColumn("_pos", F.row_number().over(Window.partitionBy(*keys).orderBy("_mean", "_r")) - 1)
-    low, high = int(0.025 * resamples), int(0.975 * resamples) - 1
-    bounds = spread.groupBy(*keys).agg(
-        F.max(F.when(F.col("_pos") == low, F.col("_mean"))).alias("low"),
-        F.max(F.when(F.col("_pos") == high, F.col("_mean"))).alias("high"))
-    return sizes.join(bounds, keys)

@@ -160,7 +160,7 @@ link AS (SELECT 'a:' || p_partkey AS key, p_partkey AS place_id FROM part UNION
 batch AS (SELECT s_suppkey AS record, s_name AS name, CASE WHEN s_suppkey % 4 = 0 THEN ['n:' || s_suppkey] ELSE ['a:' || (s_suppkey * 3), 'b:' || (s_suppkey * 5)] END AS ids FROM supplier),
 hit AS (SELECT record, min(place_id) AS place_id, string_agg(DISTINCT place_id::VARCHAR, ',' ORDER BY place_id::VARCHAR) AS matched, count(DISTINCT place_id) AS n
   FROM (SELECT record, unnest(ids) AS key FROM batch) JOIN link USING (key) GROUP BY record),
-fresh AS (SELECT record, (SELECT max(p_partkey) FROM part) + row_number() OVER (ORDER BY ('0x' || substr(md5(record::VARCHAR), 1, 7))::BIGINT % 1024, record) AS place_id
+fresh AS (SELECT record, (SELECT max(p_partkey) FROM part) + row_number() OVER (ORDER BY ('0x' || substr(md5(record::VARCHAR), 1, 7))::BIGINT, record) AS place_id
   FROM batch WHERE record NOT IN (SELECT record FROM hit)),
 placed AS (SELECT b.*, coalesce(h.place_id, f.place_id) AS place_id FROM batch b LEFT JOIN hit h USING (record) LEFT JOIN fresh f USING (record))"""
 

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from placeweave.functions import text as X
 from placeweave.operators import evaluation as V
+from placeweave.operators import postings as P
+from placeweave.operators import resampling as N
 from placeweave.operators import retrieval as R
 from placeweave.plans import text_views as T
 from placeweave.plans.registry import query, table
-from placeweave.session import cut_lineage
+from placeweave.session import cut_lineage, stored
 
 
 def _ranked(df: DataFrame) -> DataFrame:
@@ -31,7 +33,9 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT term, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS docs FROM (
   SELECT doc_id, unnest({T.SQL_FOLD.format(c="text")}) AS term FROM documents) GROUP BY term""")
 def fold_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(X.tokens(F.col("text"), True)).alias("term"))
+    # The words are written before they are counted: an array that is exploded from its expression is computed more than once.
+    dealt = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+    docs = stored(dealt.select("doc_id", X.tokens(F.col("text"), True).alias("terms"))).select("doc_id", F.explode("terms").alias("term"))
     # Count inside a document first: a word that fills one text is one row before the second shuffle.
     per_doc = docs.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     return per_doc.groupBy("term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
@@ -39,10 +43,13 @@ def fold_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("term_bigrams", f"""
 SELECT term, count(*)::BIGINT AS n FROM (
-  SELECT unnest({T.sql_terms("text", "multi")}) AS term FROM benchmark) GROUP BY term""")
+  SELECT unnest({T.sql_terms("text", "multi")}) AS term FROM documents) GROUP BY term""")
 def term_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = X.add_terms(table(spark, sf_dir, "benchmark"), F.col("text"), "multi")
-    return items.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    """Words, folded words and folded pairs of neighbours of all documents."""
+    dealt = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+    words = stored(dealt.select(X.tokens(F.col("text")).alias("plain"), X.tokens(F.col("text"), folded=True).alias("folded")))
+    terms = words.select(F.explode(X.terms_of(F.col("plain"), F.col("folded"), "multi")).alias("term"))
+    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _bm25(analyzer: str, k: int):
@@ -121,7 +128,7 @@ _SQL_DRAW = "('0x' || substr(md5('7:' || query_id || ':' || {x}), 1, 8))::BIGINT
 @query("random_retriever", rf"""
 WITH RECURSIVE {T.SQL_CHUNKS},
 pool AS (
-  SELECT chunk_id, category, ('0x' || substr(md5(chunk_id::VARCHAR), 1, 7))::BIGINT % 1024 AS bucket FROM corpus),
+  SELECT chunk_id, category, ('0x' || substr(md5(chunk_id::VARCHAR), 1, 7))::BIGINT AS bucket FROM corpus),
 pools AS (
   SELECT '' AS pool, chunk_id, row_number() OVER (ORDER BY bucket, chunk_id) - 1 AS position FROM pool
   UNION ALL
@@ -145,31 +152,45 @@ def random_retriever(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(R.random_search(T.queries(spark, sf_dir), T.corpus(spark, sf_dir), 5, seed=7))
 
 
-RETRIEVERS = ("bm25", "bm25_fold", "bm25_multi", "random")
+RETRIEVERS = ("bm25", "bm25_fold", "bm25_multi", "dense", "hybrid", "hybrid_fold", "random")
+EVALUATED_DIM, EVALUATED_MODEL = 16, "hash"
 
 
-def _evaluated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(results with place and content, per-query metrics) of every text retriever."""
-    # Every retriever reads the chunks and every metric reads the results: both are computed once.
-    corpus, asked = cut_lineage(T.corpus(spark, sf_dir)), T.queries(spark, sf_dir)
+def _evaluated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(results with place and content, per-query metrics, latencies) of every retriever."""
+    # Every retriever reads the chunks, every analyzer their words and every metric the results: each is computed once.
+    corpus, asked = stored(T.corpus(spark, sf_dir)), cut_lineage(T.queries(spark, sf_dir))
+    words = P.analysed(corpus)
+    said = X.embedding_text(F.col("place_name"), F.col("content"))
+    chunks = corpus.withColumns({"embedding": X.hash_embed(said, EVALUATED_DIM), "embedding_model": F.lit(EVALUATED_MODEL)})
+    vectors = asked.withColumn("embedding", X.hash_embed(F.col("query"), EVALUATED_DIM))
+    dense = cut_lineage(R.dense_search(vectors, chunks, R.HYBRID_DEPTH, EVALUATED_MODEL))
+    deep = {a: cut_lineage(R.bm25_search(asked, corpus, R.HYBRID_DEPTH, a, words=words)) for a in ("fold", "multi")}
     searches = {
-        "bm25": R.bm25_search(asked, corpus, 10, "plain"), "bm25_fold": R.bm25_search(asked, corpus, 10, "fold"),
-        "bm25_multi": R.bm25_search(asked, corpus, 10, "multi"), "random": R.random_search(asked, corpus, 10, seed=7),
+        "bm25": R.bm25_search(asked, corpus, 10, "plain", words=words), "bm25_fold": deep["fold"], "bm25_multi": deep["multi"], "dense": dense,
+        "hybrid": R.rrf([dense, deep["multi"]], 10), "hybrid_fold": R.rrf([dense, deep["fold"]], 10), "random": R.random_search(asked, corpus, 10, seed=7),
     }
     found = None
     for name, result in searches.items():
-        tagged = result.withColumn("retriever", F.lit(name))
+        tagged = result.filter(F.col("rank") <= 10).withColumn("retriever", F.lit(name))
         found = tagged if found is None else found.unionByName(tagged)
     results = cut_lineage(found.join(corpus.select("chunk_id", "place_id", "place_name", "content"), "chunk_id"))
-    gold = asked.join(T.relevant(spark, sf_dir), "query_id")
-    judged, _, _ = V.build_judgements(gold, T.links(spark, sf_dir), corpus)
-    return results, V.score_queries(results, asked, judged, RETRIEVERS)
+    judged, _, _ = V.build_judgements(T.relevant(spark, sf_dir), T.links(spark, sf_dir), corpus)
+    metrics = cut_lineage(V.score_queries(results, asked, judged, RETRIEVERS))
+    return results, metrics, _latencies(asked, judged)
+
+
+def _latencies(asked: DataFrame, judged: DataFrame) -> DataFrame:
+    """Stands in for measured times: a query's letters times its retriever's number."""
+    names = F.posexplode(F.array(*[F.lit(r) for r in RETRIEVERS])).alias("no", "retriever")
+    return asked.join(judged.select("query_id").distinct(), "query_id", "left_semi").select("query_id", "type", F.length("query").alias("letters"), names).select(
+        "query_id", "type", "retriever", (F.col("letters") * (F.col("no") + 1) / 8.0).alias("latency_ms"))
 
 
 _SQL_RELEVANT = r"""
 item_sentences AS (SELECT DISTINCT item_id, regexp_replace(s, '^\s+|\s+$', '', 'g') AS s FROM (
   SELECT item_id, unnest(string_split(regexp_replace(text, '\.\s+', '.' || chr(1), 'g'), chr(1))) AS s FROM benchmark)
-  WHERE length(regexp_replace(s, '^\s+|\s+$', '', 'g')) >= 20),
+  WHERE regexp_replace(s, '^\s+|\s+$', '', 'g') <> ''),
 doc_sentences AS (SELECT DISTINCT doc_id, regexp_replace(s, '^\s+|\s+$', '', 'g') AS s FROM (
   SELECT doc_id, unnest(string_split(regexp_replace(text, '\.\s+', '.' || chr(1), 'g'), chr(1))) AS s FROM documents)),
 relevant AS (SELECT DISTINCT item_id AS query_id, doc_id FROM item_sentences JOIN doc_sentences USING (s)),
@@ -183,7 +204,7 @@ judged AS (
 
 _SQL_RANDOM10 = rf"""
 pool AS (
-  SELECT chunk_id, category, ('0x' || substr(md5(chunk_id::VARCHAR), 1, 7))::BIGINT % 1024 AS bucket FROM corpus),
+  SELECT chunk_id, category, ('0x' || substr(md5(chunk_id::VARCHAR), 1, 7))::BIGINT AS bucket FROM corpus),
 pools AS (
   SELECT '' AS pool, chunk_id, row_number() OVER (ORDER BY bucket, chunk_id) - 1 AS position FROM pool
   UNION ALL
@@ -225,14 +246,17 @@ def _sql_metrics() -> str:
     return f"""
 found AS (
   SELECT 'bm25' AS retriever, query_id, rank, chunk_id FROM b1 UNION ALL
-  SELECT 'bm25_fold', query_id, rank, chunk_id FROM b2 UNION ALL
-  SELECT 'bm25_multi', query_id, rank, chunk_id FROM b3 UNION ALL
+  SELECT 'bm25_fold', query_id, rank, chunk_id FROM b2 WHERE rank <= 10 UNION ALL
+  SELECT 'bm25_multi', query_id, rank, chunk_id FROM b3 WHERE rank <= 10 UNION ALL
+  SELECT 'dense', query_id, rank, chunk_id FROM dense WHERE rank <= 10 UNION ALL
+  SELECT 'hybrid', query_id, rank, chunk_id FROM hybrid UNION ALL
+  SELECT 'hybrid_fold', query_id, rank, chunk_id FROM hybrid_fold UNION ALL
   SELECT 'random', query_id, rank, chunk_id FROM random),
 results AS (SELECT f.*, c.place_id, c.place_name, c.content FROM found f JOIN corpus c USING (chunk_id)),
 base AS (
   SELECT q.query_id, q.type, q.answer_keywords, r.retriever, j.n_relevant, j.n_places
   FROM queries q JOIN (SELECT query_id, sum(n_chunks) AS n_relevant, count(*) AS n_places FROM judged GROUP BY 1) j
-       USING (query_id), (VALUES ('bm25'), ('bm25_fold'), ('bm25_multi'), ('random')) r(retriever)),
+       USING (query_id), (VALUES {", ".join(f"('{r}')" for r in RETRIEVERS)}) r(retriever)),
 flagged AS (
   SELECT b.*, r.rank, r.place_id, j.place_id IS NOT NULL AS rel,
          j.place_id IS NOT NULL AND len(list_filter(coalesce(b.answer_keywords, []),
@@ -251,9 +275,25 @@ metrics AS (
 """
 
 
+def _sql_hybrid(name: str, lexical: str) -> str:
+    return f"""
+{name} AS (SELECT * FROM (
+  SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(1.0::DOUBLE / (60 + rank)), 9) DESC, chunk_id) AS rank
+  FROM (SELECT query_id, chunk_id, rank FROM dense UNION ALL SELECT query_id, chunk_id, rank FROM {lexical}) GROUP BY query_id, chunk_id) WHERE rank <= 10)"""
+
+
+_SQL_EMBED = (f"list_transform(range({EVALUATED_DIM}), lambda i: ('0x' || substr(sha256({{t}} || ':' || i), 1, 8))::BIGINT::DOUBLE / 4294967295.0::DOUBLE * 2.0::DOUBLE - 1.0::DOUBLE)")
+_SQL_DENSE = f"""
+chunk_vectors AS MATERIALIZED (SELECT chunk_id, category, {_SQL_EMBED.format(t="(place_name || ': ' || content)")} AS e FROM corpus),
+query_vectors AS MATERIALIZED (SELECT query_id, category AS wanted, {_SQL_EMBED.format(t="query")} AS e FROM queries),
+dense AS (SELECT query_id, chunk_id, rank FROM (
+  SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(q.e, v.e), 9) DESC, chunk_id) AS rank
+  FROM query_vectors q, chunk_vectors v WHERE wanted IS NULL OR wanted = category) WHERE rank <= {R.HYBRID_DEPTH}),
+{_sql_hybrid("hybrid", "b3")}, {_sql_hybrid("hybrid_fold", "b2")}"""
+
 _SQL_EVALUATION = (
-    f"WITH RECURSIVE {T.SQL_CHUNKS}, {T.sql_bm25('plain', 10, 'b1')}, {T.sql_bm25('fold', 10, 'b2')},"
-    f" {T.sql_bm25('multi', 10, 'b3')}, {_SQL_RANDOM10}, {_SQL_RELEVANT}, {_sql_metrics()}")
+    f"WITH RECURSIVE {T.SQL_CHUNKS}, {T.sql_bm25('plain', 10, 'b1')}, {T.sql_bm25('fold', R.HYBRID_DEPTH, 'b2')},"
+    f" {T.sql_bm25('multi', R.HYBRID_DEPTH, 'b3')}, {_SQL_DENSE}, {_SQL_RANDOM10}, {_SQL_RELEVANT}, {_sql_metrics()}")
 
 
 @query("judgements", f"""
@@ -262,8 +302,7 @@ SELECT query_id, 'judged' AS kind, 'd:' || place_id AS external_id, n_chunks::BI
 UNION ALL SELECT query_id, 'missing', 'd:' || doc_id, 0 FROM relevant WHERE doc_id % 11 = 0
 UNION ALL SELECT DISTINCT query_id, 'excluded', '', 0 FROM relevant WHERE query_id NOT IN (SELECT query_id FROM judged)""")
 def judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gold = T.queries(spark, sf_dir).join(T.relevant(spark, sf_dir), "query_id")
-    judged, missing, excluded = V.build_judgements(gold, T.links(spark, sf_dir), T.corpus(spark, sf_dir))
+    judged, missing, excluded = V.build_judgements(T.relevant(spark, sf_dir), T.links(spark, sf_dir), T.corpus(spark, sf_dir))
     zero = F.lit(0).cast("bigint").alias("n_chunks")
     return (
         judged.select("query_id", F.lit("judged").alias("kind"),
@@ -275,16 +314,22 @@ def judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("retrieval_metrics", f"{_SQL_EVALUATION} SELECT query_id, type, retriever, metric, round(value, 6) AS value FROM metrics")
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, metrics = _evaluated(spark, sf_dir)
+    _, metrics, _ = _evaluated(spark, sf_dir)
     return metrics.withColumn("value", F.round("value", 6))
 
 
 @query("retrieval_summary", f"""{_SQL_EVALUATION}
 SELECT retriever, scope, metric, round(avg(value), 6) AS mean, count(*)::BIGINT AS n FROM (
-  SELECT *, 'all' AS scope FROM metrics UNION ALL SELECT *, type FROM metrics) GROUP BY retriever, scope, metric""")
+  SELECT *, 'all' AS scope FROM metrics UNION ALL SELECT *, type FROM metrics) GROUP BY retriever, scope, metric
+UNION ALL
+SELECT retriever, scope, 'latency_p' || (share * 100)::INT || '_ms', max(latency_ms) FILTER (place = greatest(ceil(share * n), 1)), max(n) FROM (
+  SELECT *, row_number() OVER (PARTITION BY retriever, scope, share ORDER BY latency_ms) AS place, count(*) OVER (PARTITION BY retriever, scope, share) AS n
+  FROM (SELECT retriever, unnest(['all', type]) AS scope, length(query) * no / 8.0::DOUBLE AS latency_ms
+        FROM queries, (VALUES {", ".join(f"('{r}', {n})" for n, r in enumerate(RETRIEVERS, 1))}) r(retriever, no) WHERE query_id IN (SELECT query_id FROM judged)),
+       (VALUES (0.5::DOUBLE), (0.95::DOUBLE)) s(share)) GROUP BY retriever, scope, share""")
 def retrieval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, metrics = _evaluated(spark, sf_dir)
-    return V.summarise_retrieval(metrics).withColumn("mean", F.round("mean", 6))
+    _, metrics, latencies = _evaluated(spark, sf_dir)
+    return V.summarise_retrieval(metrics, latencies).withColumn("mean", F.round("mean", 6))
 
 
 @query("retrieval_misses", f"""{_SQL_EVALUATION}
@@ -293,27 +338,48 @@ SELECT m.query_id, m.type, m.retriever, coalesce(list_reduce(list(place_name ORD
 FROM metrics m LEFT JOIN results r ON r.query_id = m.query_id AND r.retriever = m.retriever AND r.rank <= 3
 WHERE metric = 'hit@5' AND value = 0 GROUP BY m.query_id, m.type, m.retriever""")
 def retrieval_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results, metrics = _evaluated(spark, sf_dir)
+    results, metrics, _ = _evaluated(spark, sf_dir)
     return V.missed_queries(metrics, results, 5)
 
 
 _RESAMPLES = 1000
+#: Levels of the bootstrap's tree that the SQL follows: 2^levels units at most.
+_LEVELS = 12
+
+
+def _sql_tree() -> str:
+    """Draws of every unit in every resample, level by level: a node's draws are split by the inverse of the binomial distribution function."""
+    levels = ["tree0 AS MATERIALIZED (SELECT n, r, 0::BIGINT AS low, n::BIGINT AS high, n::BIGINT AS drawn FROM (SELECT DISTINCT n FROM units), range(0, " + str(_RESAMPLES) + ") a(r))"]
+    for i in range(_LEVELS):
+        levels.append(f"""
+tree{i + 1} AS MATERIALIZED (
+  WITH node AS (
+    SELECT *, (low + high) // 2 AS middle, ((low + high) // 2 - low) / (high - low)::DOUBLE AS p,
+           ('0x' || substr(md5('0:' || r || ':' || low || ':' || high), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+    FROM tree{i} WHERE high - low > 1),
+  reached AS (
+    SELECT n, r, low, k, u, sum(CASE WHEN drawn = 0 THEN 1.0::DOUBLE ELSE exp(lgamma(drawn + 1) - lgamma(k + 1) - lgamma(drawn - k + 1) + k * ln(p) + (drawn - k) * ln(1 - p)) END)
+             OVER (PARTITION BY n, r, low ORDER BY k) AS cdf
+    FROM (SELECT *, unnest(range(0, drawn + 1)) AS k FROM node)),
+  split AS (SELECT n, r, low, least(count(*) FILTER (cdf < u), max(k)) AS left_drawn FROM reached GROUP BY n, r, low),
+  halves AS (SELECT n, r, low, middle, high, drawn, left_drawn FROM node JOIN split USING (n, r, low))
+  SELECT n, r, low, high, drawn FROM tree{i} WHERE high - low = 1
+  UNION ALL SELECT n, r, low, middle, left_drawn FROM halves
+  UNION ALL SELECT n, r, middle, high, drawn - left_drawn FROM halves)""")
+    return ",\n".join(levels)
 
 
 @query("retrieval_bootstrap", f"""{_SQL_EVALUATION},
-diffs AS (
+diffs AS MATERIALIZED (
   SELECT o.retriever AS other, o.metric, o.query_id, r.value - o.value AS diff
   FROM metrics o JOIN metrics r ON r.query_id = o.query_id AND r.metric = o.metric AND r.retriever = 'bm25_multi'
   WHERE o.retriever <> 'bm25_multi' AND o.metric IN ('mrr', 'hit@5')),
-units AS (
-  SELECT *, row_number() OVER (PARTITION BY other, metric
-              ORDER BY ('0x' || substr(md5(query_id::VARCHAR), 1, 7))::BIGINT % 1024, query_id) - 1 AS idx,
+units AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY other, metric ORDER BY ('0x' || substr(md5(query_id::VARCHAR), 1, 7))::BIGINT, query_id) - 1 AS idx,
          count(*) OVER (PARTITION BY other, metric) AS n FROM diffs),
-draws AS (
-  SELECT n, r, ('0x' || substr(md5('0:' || r || ':' || i), 1, 8))::BIGINT % n AS idx
-  FROM (SELECT DISTINCT n FROM units), range(0, {_RESAMPLES}) a(r), range(0, (SELECT max(n) FROM units)) b(i) WHERE i < n),
-means AS (SELECT other, metric, r, round(sum(diff) / first(u.n), 9) AS mean FROM units u JOIN draws d ON d.n = u.n AND d.idx = u.idx
-          GROUP BY other, metric, r),
+{_sql_tree()},
+means AS (
+  SELECT other, metric, r, round(sum(diff * drawn) / any_value(u.n), 9) AS mean FROM units u JOIN tree{_LEVELS} d ON d.n = u.n AND d.low = u.idx GROUP BY other, metric, r),
 ordered AS (SELECT *, row_number() OVER (PARTITION BY other, metric ORDER BY mean) - 1 AS pos FROM means)
 SELECT d.other, d.metric, round(avg(d.diff), 6) AS mean_diff,
        round((SELECT mean FROM ordered o WHERE o.other = d.other AND o.metric = d.metric AND pos = {int(0.025 * _RESAMPLES)}), 6) AS low,
@@ -321,9 +387,9 @@ SELECT d.other, d.metric, round(avg(d.diff), 6) AS mean_diff,
        count(*)::BIGINT AS n
 FROM diffs d GROUP BY d.other, d.metric""")
 def retrieval_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, metrics = _evaluated(spark, sf_dir)
+    _, metrics, _ = _evaluated(spark, sf_dir)
     diffs = V.paired_diffs(metrics, ["mrr", "hit@5"], "bm25_multi")
-    out = V.paired_bootstrap(diffs, ["other", "metric"], "query_id", _RESAMPLES)
+    out = N.paired_bootstrap(diffs, ["other", "metric"], "query_id", _RESAMPLES)
     return out.select("other", "metric", *[F.round(c, 6).alias(c) for c in ("mean_diff", "low", "high")], "n")
 
 
@@ -341,18 +407,21 @@ def index_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status.unionByName(models)
 
 
-@query("embedding_refresh", r"""
+_SQL_DIGEST = "md5(array_to_string(list_transform({v}, lambda x: round(x * 10000)::BIGINT), ','))"
+
+
+@query("embedding_refresh", rf"""
 WITH todo AS (
   SELECT vec_id, 'label ' || label || ': vector ' || vec_id AS t FROM embeddings WHERE vec_id % 17 = 0 OR vec_id % 13 = 0),
 parts AS (
-  SELECT vec_id, i, ('0x' || substr(sha256(t || ':' || i), 1, 8))::BIGINT::DOUBLE / 4294967295.0::DOUBLE * 2.0::DOUBLE - 1.0::DOUBLE AS v
-  FROM todo, range(0, 8) r(i)),
-norms AS (SELECT vec_id, sqrt(sum(v * v)) AS norm FROM parts GROUP BY vec_id)
-SELECT vec_id AS chunk_id, 'current-model' AS embedding_model, 8::BIGINT AS dim, round(v / norm, 4) AS first_component
-FROM parts JOIN norms USING (vec_id) WHERE i = 0
-UNION ALL SELECT vec_id, 'current-model', len(embedding), round(embedding[1]::DOUBLE, 4) FROM embeddings
+  SELECT vec_id, list_transform(range(64), lambda i: ('0x' || substr(sha256(t || ':' || i), 1, 8))::BIGINT::DOUBLE / 4294967295.0::DOUBLE * 2.0::DOUBLE - 1.0::DOUBLE) AS v
+  FROM todo),
+norms AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM parts)
+SELECT vec_id AS chunk_id, 'current-model' AS embedding_model, len(v) AS dim, {_SQL_DIGEST.format(v="list_transform(v, lambda x: x / norm)")} AS digest FROM norms
+UNION ALL SELECT vec_id, 'current-model', len(embedding), {_SQL_DIGEST.format(v="embedding::DOUBLE[]")} FROM embeddings
 WHERE vec_id % 17 <> 0 AND vec_id % 13 <> 0""")
 def embedding_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = R.refresh_embeddings(T.vectors(spark, sf_dir), "current-model", lambda text: X.hash_embed(text, 8))
-    return done.select("chunk_id", "embedding_model", F.size("embedding").cast("bigint").alias("dim"),
-                       F.round(F.col("embedding")[0].cast("double"), 4).alias("first_component"))
+    """All vectors in the end, compared by a digest of all components to four decimals."""
+    done = R.refresh_embeddings(T.vectors(spark, sf_dir), "current-model", lambda text: X.hash_embed(text, 64))
+    rounded = F.transform("embedding", lambda x: F.round(x.cast("double") * 10000).cast("bigint").cast("string"))
+    return done.select("chunk_id", "embedding_model", F.size("embedding").cast("bigint").alias("dim"), F.md5(F.array_join(rounded, ",")).alias("digest"))

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from placeweave.functions import text as X
 from placeweave.operators import retrieval as R
 from placeweave.plans.registry import table
+from placeweave.session import cut_lineage
 
 LANG_CATEGORY = {"en": "di_tich", "fr": "chua", "de": "bao_tang", "es": "boi_canh"}
 QUERY_TYPES = ("fact", "descriptive", "paraphrase", "multi", "no_diacritics")
-SHARED_SENTENCE_CHARS = 20
 
 
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,16 +48,15 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``query_id, relevant`` = documents (as text ids) sharing a whole sentence with the query."""
+    """``query_id, external_id``: documents (as text ids) that share a whole sentence with the query, of any length."""
     def sentences(df: DataFrame, key: str) -> DataFrame:
         parts = F.transform(F.split("text", r"(?<=\.)\s+"), X.strip)
-        return df.select(key, F.explode(F.array_distinct(parts)).alias("s")).filter(
-            F.length("s") >= SHARED_SENTENCE_CHARS)
+        return df.select(key, F.explode(F.array_distinct(parts)).alias("s")).filter("s <> ''")
 
-    asked = sentences(table(spark, sf_dir, "benchmark"), "item_id")
-    held = sentences(table(spark, sf_dir, "documents"), "doc_id").join(asked.select("s").distinct(), "s", "left_semi")
-    return asked.join(held, "s").groupBy(F.col("item_id").alias("query_id")).agg(
-        F.collect_set(F.concat(F.lit("d:"), F.col("doc_id").cast("string"))).alias("relevant"))
+    asked = cut_lineage(sentences(table(spark, sf_dir, "benchmark"), "item_id"))
+    dealt = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+    held = cut_lineage(sentences(dealt, "doc_id").join(asked.select("s").distinct(), "s", "left_semi"))
+    return asked.join(held, "s").select(F.col("item_id").alias("query_id"), F.concat(F.lit("d:"), F.col("doc_id").cast("string")).alias("external_id")).distinct()
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
