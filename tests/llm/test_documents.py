@@ -1,5 +1,7 @@
 import hashlib
+import math
 import random
+import re
 import string
 import zlib
 from collections import Counter
@@ -254,11 +256,64 @@ def test_few_shared_shingles_are_no_match():
 
 def test_blocks_find_everything_within_the_radius():
     rng = np.random.default_rng(2)
-    index = decontaminate.ItemIndex(list(range(300)), [" ".join(map(str, rng.integers(0, 99, 20))) for _ in range(300)])
+    index = decontaminate.ItemIndex(list(range(300)), [" ".join(map(str, rng.integers(0, 99, 18 + i % 3))) for i in range(300)])
     fps = index.fps[:50] ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (24, 50)).astype(np.uint64), axis=0)
-    window, item = index.within_radius(fps, np.full(50, 20))
-    want = np.argwhere(np.bitwise_count(fps[:, None] ^ index.fps[None, :]) <= decontaminate.RADIUS)
-    assert sorted(zip(window.tolist(), item.tolist())) == sorted(map(tuple, want.tolist()))
+    near = np.bitwise_count(fps[:, None] ^ index.fps[None, :]) <= decontaminate.RADIUS
+    for words, longer, fits in ((19, False, index.words == 19), (18, True, index.words > 18)):
+        window, item = index.within_radius(fps, words, longer)
+        assert sorted(zip(window.tolist(), item.tolist())) == sorted(map(tuple, np.argwhere(near & fits).tolist()))
+
+
+def all_pairs(rows, items):
+    """Every window of every text against every item, by exact similarity."""
+    said = {i: re.findall(r"(?:[a-z0-9]|[^\x00-\x7f])+", (t or "").lower()) for i, t in items}
+    said = {i: w for i, w in said.items() if w}
+
+    def grams(w, size):
+        return [tuple(w[k:k + size]) for k in range(len(w) - size + 1)]
+
+    bags = {i: Counter(grams(w, min(5, len(w)))) for i, w in said.items()}
+    holders = Counter(g for bag in bags.values() for g in bag)
+    weight = {g: math.log1p(len(bags) / n) for g, n in holders.items()}
+    rare, best = math.log1p(len(bags)), {}
+    for row, (_, t) in enumerate(rows):
+        w = re.findall(r"(?:[a-z0-9]|[^\x00-\x7f])+", (t or "").lower())
+        for i, bag in bags.items():
+            size, n = min(5, len(said[i])), min(len(said[i]), len(w))
+            shared = grams(w, size)
+            if n < size or sum(weight[g] for g in bag if g in set(shared)) == 0:
+                continue
+            total = sum(c * weight[g] for g, c in bag.items())
+            for k in range(len(w) - n + 1):
+                own = Counter(shared[k:k + n - size + 1])
+                both = sum(min(c, bag[g]) * weight[g] for g, c in own.items() if g in bag)
+                similarity = both / (sum(c * weight.get(g, rare) for g, c in own.items()) + total - both)
+                if similarity >= 0.8 - 1e-9 and similarity > best.get((row, i), (0,))[0] + 1e-9:
+                    best[row, i] = (similarity, k, n)
+    return best
+
+
+def test_windows_against_all_pairs(spark):
+    rng = random.Random(21)
+    base = [f"w{rng.randrange(400)}" for _ in range(3000)]
+    items = [(i, " ".join(base[40 * i:40 * i + 8 + i % 25])) for i in range(60)] + [(60, "w1 w2"), (61, ""), (62, None), (63, "é ß w3 W4 w5 w6")]
+    rows = []
+    for n in range(120):
+        i = rng.randrange(60)
+        said = items[i][1].split()
+        for _ in range(rng.randrange(0, 3)):
+            said[rng.randrange(len(said))] = rng.choice(["changed", "w7"])
+        if rng.random() < 0.3:
+            said = said[:-rng.randrange(1, 3)]
+        around = [f"w{rng.randrange(400)}" for _ in range(rng.randrange(0, 40))]
+        rows.append((n, " ".join([*around, *said, *around[::-1]])))
+    rows += [(200, items[63][1].upper()), (201, "w1  w2."), (202, None), (203, "")]
+    got = {(r.doc_id, r.item_id): (r.similarity, r.start_word, r.n_words) for r in decontaminate.contaminated(
+        docs_frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {(rows[row][0], i): found for (row, i), found in all_pairs(rows, items).items()}
+    assert set(got) == set(want) and any(s < 0.9 for s, *_ in want.values())
+    for pair, (similarity, start, n) in want.items():
+        assert got[pair][0] == pytest.approx(similarity) and got[pair][1:] == (start, n)
 
 
 # op10 -----------------------------------------------------------------------------------------------------------------
