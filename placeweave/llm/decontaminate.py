@@ -171,50 +171,62 @@ def _matches(index: ItemIndex, hashes: np.ndarray, first: np.ndarray) -> Iterato
         of_size = np.flatnonzero(np.minimum(index.lengths, SHINGLE) == size)
         known = np.where(code >= 0, index.weight[code], 0.0)
         doc = np.searchsorted(first, begin, "right") - 1
-        held = np.bincount(doc, known, len(first) - 1)
-        for d in np.flatnonzero(held >= THRESHOLD * index.lightest[of_size].min() - _EPS).tolist():
-            low, high = np.searchsorted(doc, (d, d + 1))
-            text = _Text(shingle[begin[low:high]], code[low:high], known[low:high], size)
-            for item, found in sorted(_best_windows(index, text, of_size).items()):
+        # Texts that hold too little of any item are out before windows are thought of.
+        kept = np.flatnonzero((np.bincount(doc, known, len(first) - 1) >= THRESHOLD * index.lightest[of_size].min() - _EPS)[doc])
+        if len(kept):
+            texts = _Texts(shingle[begin[kept]], code[kept], known[kept], doc[kept], size)
+            for (d, item), found in sorted(_best_windows(index, texts, of_size).items()):
                 yield d, item, *found
 
 
-class _Text:
-    """The shingles of a text, their places in the index, and what they weigh."""
+class _Texts:
+    """The shingles of some texts one after the other, their places in the index, the text of each and where it ends, and the sum of what the
+    shingles before weigh."""
+
+    def __init__(self, shingles: np.ndarray, codes: np.ndarray, known: np.ndarray, doc: np.ndarray, size: int) -> None:
+        self.shingles, self.codes, self.doc, self.size = shingles, codes, doc, size
+        self.head, self.stop = np.searchsorted(doc, doc, "left"), np.searchsorted(doc, doc, "right")
+        self.before = np.concatenate([[0.0], np.cumsum(known)])
+
 
-    def __init__(self, shingles: np.ndarray, codes: np.ndarray, known: np.ndarray, size: int) -> None:
-        self.shingles, self.codes, self.size, self.words = shingles, codes, size, len(shingles) + size - 1
-        self.known = np.concatenate([[0.0], np.cumsum(known)])
+Best = dict[tuple[int, int], tuple[float, int, int]]
 
 
-def _best_windows(index: ItemIndex, text: _Text, of_size: np.ndarray) -> dict[int, tuple[float, int, int]]:
-    """(similarity, first word, words) of the best window for each item that has one."""
-    best: dict[int, tuple[float, int, int]] = {}
+def _best_windows(index: ItemIndex, texts: _Texts, of_size: np.ndarray) -> Best:
+    """(similarity, first word, words) of the best window for each (text, item) that has one."""
+    best: Best = {}
+    every = np.arange(len(texts.shingles))
+    heads = np.unique(texts.head)
+    words = texts.stop[heads] - heads + texts.size - 1
     for n in of_size.tolist():
-        longer = int(index.lengths[n]) > text.words
-        words = min(int(index.lengths[n]), text.words)
-        span = words - text.size + 1
-        least = THRESHOLD * (index.lightest_from if longer else index.lightest)[n] - _EPS
-        starts = np.flatnonzero(text.known[span:] - text.known[:len(text.known) - span] >= least)
-        for p in range(0, len(starts), WINDOWS_AT_ONCE):
-            _compare(index, text, starts[p:p + WINDOWS_AT_ONCE], span, words, longer, best)
-        if longer:  # the whole text stands for all lengths beyond its own
-            break
+        span = int(index.lengths[n]) - texts.size + 1
+        sums = texts.before[span:] - texts.before[:len(texts.before) - span]
+        near = sums >= THRESHOLD * index.lightest[n] - _EPS
+        starts = np.flatnonzero(near & (every[:len(sums)] + span <= texts.stop[:len(sums)]))
+        _compare(index, texts, starts, span, False, best)
+    for w in np.unique(words[words < index.lengths[of_size[-1]]]).tolist():  # whole texts shorter than items
+        starts = heads[words == w]
+        span = w - texts.size + 1
+        least = THRESHOLD * index.lightest_from[np.searchsorted(index.lengths, w, "right")] - _EPS
+        _compare(index, texts, starts[texts.before[starts + span] - texts.before[starts] >= least], span, True, best)
     return best
 
 
-def _compare(index: ItemIndex, text: _Text, starts: np.ndarray, span: int, words: int, longer: bool, best: dict[int, tuple[float, int, int]]) -> None:
-    """The candidates that the index names for some windows, measured exactly."""
-    inside = text.shingles[starts[:, None] + np.arange(span)]
-    codes = text.codes[starts[:, None] + np.arange(span)]
-    weights = np.where(codes >= 0, index.weight[codes], index.rare)
-    votes = np.zeros((len(starts), 64))
-    for column in range(span):
-        votes += _signs(inside[:, column]) * weights[:, column, None]
-    for w, item in zip(*index.within_radius(_pack(votes), words, longer), strict=True):
-        similarity = _similarity(index, int(item), inside[w], codes[w], weights[w])
-        if similarity >= THRESHOLD - _EPS and (int(item) not in best or similarity > best[int(item)][0] + _EPS):
-            best[int(item)] = (similarity, int(starts[w]), words)
+def _compare(index: ItemIndex, texts: _Texts, every: np.ndarray, span: int, longer: bool, best: Best) -> None:
+    """The candidates that the index names for some windows, measured exactly. Windows are in order, so the first stays on ties."""
+    words = span + texts.size - 1
+    for p in range(0, len(every), WINDOWS_AT_ONCE):
+        starts = every[p:p + WINDOWS_AT_ONCE]
+        inside = texts.shingles[starts[:, None] + np.arange(span)]
+        codes = texts.codes[starts[:, None] + np.arange(span)]
+        weights = np.where(codes >= 0, index.weight[codes], index.rare)
+        votes = np.zeros((len(starts), 64))
+        for column in range(span):
+            votes += _signs(inside[:, column]) * weights[:, column, None]
+        for w, item in zip(*index.within_radius(_pack(votes), words, longer), strict=True):
+            similarity, pair = _similarity(index, int(item), inside[w], codes[w], weights[w]), (int(texts.doc[starts[w]]), int(item))
+            if similarity >= THRESHOLD - _EPS and (pair not in best or similarity > best[pair][0] + _EPS):
+                best[pair] = (similarity, int(starts[w] - texts.head[starts[w]]), words)
 
 
 def _similarity(index: ItemIndex, item: int, values: np.ndarray, codes: np.ndarray, weights: np.ndarray) -> float:
