@@ -42,6 +42,11 @@ def drop_categories(places: DataFrame, names: Sequence[str]) -> DataFrame:
     return places.filter(~F.coalesce(F.col("category").isin(*names), F.lit(False)))
 
 
+def drop_counts(places: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``category, dropped``: how many places :func:`drop_categories` leaves out, and why."""
+    return places.filter(F.col("category").isin(*names)).groupBy("category").agg(F.count(F.lit(1)).alias("dropped"))
+
+
 def apply_defaults(places: DataFrame, defaults: DataFrame) -> DataFrame:
     """First layer: the fields that ``defaults`` hold for the category, or for the fallback category where it has no row."""
     known = defaults.select("category", F.col("category").alias("_row"))

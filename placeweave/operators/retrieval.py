@@ -211,12 +211,6 @@ def model_counts(chunks: DataFrame) -> DataFrame:
 
 # -- presenting results ------------------------------------------------------------------------
 
-def with_rank(results: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """1-based rank inside each query's list."""
-    from pyspark.sql import Window
-    return results.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
-
-
 def rerank_named(results: DataFrame, named: DataFrame, k: int = 5, max_chars: int = 900) -> DataFrame:
     """Drops header-like chunks (unless nothing else is left), moves chunks of the places a query
     names to the front, keeps ``k``. ``results`` carry ``content, place_id, rank``."""

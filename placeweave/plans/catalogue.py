@@ -101,10 +101,22 @@ def core_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    every = places(spark, sf_dir).select(F.col("place").alias("id"), "name", "lat", "lon")
-    return every.filter("id % 2 = 0"), every.filter("id % 2 = 1")
-
-
+    """Even and odd parts as two sources that spell names in their own way, know some of the hours and websites, and tag differently."""
+    even = F.col("id") % 2 == 0
+    name = F.when(F.col("id") % 6 == 0, F.concat(F.lit("Chùa "), "name")).when(even, F.upper("name")).when(
+        F.col("id") % 5 == 1, F.concat(F.lit("Nhà hàng  "), F.initcap("name"), F.lit("!"))).otherwise(F.col("name"))
+    every = places(spark, sf_dir).withColumnRenamed("place", "id")
+    tagged = every.select(
+        "id", name.alias("name"), "lat", "lon", F.when(F.col("size") % 3 == 0, "Mo-Fr 08:00-17:00").when(F.col("size") % 3 == 1, "").alias("opening_hours_raw"),
+        F.when(F.col("size") % 4 != 0, F.concat(F.lit("https://example.org/"), F.col("id").cast("string"))).alias("website"),
+        F.when(even, F.create_map(F.lit("size"), F.col("size").cast("string"), F.lit("a"), F.lit("1"))).otherwise(
+            F.create_map(F.lit("size"), F.col("size").cast("string"), F.lit("b"), F.lit("2"))).alias("tags"))
+    return tagged.filter("id % 2 = 0"), tagged.filter("id % 2 = 1")
+
+
+_SQL_NAMED = """CASE WHEN place % 6 = 0 THEN 'Chùa ' || name WHEN place % 2 = 0 THEN upper(name)
+  WHEN place % 5 = 1 THEN 'Nhà hàng  ' || upper(string_split(name, ' ')[1][1]) || string_split(name, ' ')[1][2:] || ' ' || upper(string_split(name, ' ')[2][1]) || string_split(name, ' ')[2][2:] || '!'
+  ELSE name END"""
 _SQL_MATCHES = f"""
 pairs AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY d, id_a, id_b) AS i FROM (
   SELECT a.name, a.place AS id_a, b.place AS id_b, {_sql_haversine('a.', 'b.')} AS d
@@ -125,17 +137,24 @@ def entity_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.match_places(*_sources(spark, sf_dir), MATCH_RADIUS_M).withColumn("distance_m", F.round("distance_m", 3))
 
 
-@query("entity_merged", f"""WITH RECURSIVE {SQL_PLACES}, {_SQL_MATCHES}
-SELECT place AS place_key, CASE WHEN id_b IS NULL THEN place::VARCHAR ELSE place || ',' || id_b END AS ids, name, round(lat, 6) AS lat, round(lon, 6) AS lon
-FROM places LEFT JOIN matches ON place = id_a WHERE place % 2 = 0 OR place NOT IN (SELECT id_b FROM matches)""")
+@query("entity_merged", f"""WITH RECURSIVE {SQL_PLACES}, {_SQL_MATCHES},
+fact AS (
+  SELECT place, {_SQL_NAMED} AS name, lat, lon, size, CASE size % 3 WHEN 0 THEN 'Mo-Fr 08:00-17:00' WHEN 1 THEN '' END AS hours,
+         CASE WHEN size % 4 <> 0 THEN 'https://example.org/' || place END AS website FROM places)
+SELECT a.place AS place_key, CASE WHEN id_b IS NULL THEN a.place::VARCHAR ELSE a.place || ',' || id_b END AS ids, a.name, round(a.lat, 6) AS lat, round(a.lon, 6) AS lon,
+  coalesce(nullif(b.hours, ''), a.hours) AS opening_hours_raw, coalesce(b.website, a.website) AS website,
+  CASE WHEN id_b IS NOT NULL THEN 'a=1,b=2,size=' || b.size WHEN a.place % 2 = 0 THEN 'a=1,size=' || a.size ELSE 'b=2,size=' || a.size END AS tags
+FROM fact a LEFT JOIN matches ON a.place = id_a LEFT JOIN fact b ON b.place = id_b WHERE a.place % 2 = 0 OR a.place NOT IN (SELECT id_b FROM matches)""")
 def entity_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = _sources(spark, sf_dir)
     merged = matching.merge_places(a, b, matching.match_places(a, b, MATCH_RADIUS_M))
-    return merged.select("place_key", F.array_join("ids", ",").alias("ids"), "name", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+    tags = F.array_join(F.array_sort(F.transform(F.map_entries("tags"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
+    return merged.select("place_key", F.array_join("ids", ",").alias("ids"), "name", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"),
+                         "opening_hours_raw", "website", tags.alias("tags"))
 
 
-@query("entity_review", f"""WITH RECURSIVE {SQL_PLACES}, {_SQL_MATCHES}, side AS (SELECT *, CASE place % 2 WHEN 0 THEN 'a' ELSE 'b' END AS side FROM places)
-SELECT s.side, s.place AS id, s.name, count(*) AS candidates FROM side s JOIN side o ON o.name = s.name AND o.side <> s.side
+@query("entity_review", f"""WITH RECURSIVE {SQL_PLACES}, {_SQL_MATCHES}, side AS (SELECT *, {_SQL_NAMED} AS told, CASE place % 2 WHEN 0 THEN 'a' ELSE 'b' END AS side FROM places)
+SELECT s.side, s.place AS id, s.told AS name, count(*) AS candidates FROM side s JOIN side o ON o.name = s.name AND o.side <> s.side
 WHERE s.place NOT IN (SELECT id_a FROM matches UNION ALL SELECT id_b FROM matches) GROUP BY ALL""")
 def entity_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = _sources(spark, sf_dir)

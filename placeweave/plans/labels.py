@@ -96,6 +96,11 @@ def visitable_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.drop_categories(categorised(spark, sf_dir), ["song", "khac"]).select("place", "category")
 
 
+@query("category_drops", f"WITH {_SQL_LABELS} SELECT category, count(*) AS dropped FROM category WHERE category IN ('song', 'khac') GROUP BY category")
+def category_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.drop_counts(categorised(spark, sf_dir), ["song", "khac"])
+
+
 @query("label_layers", f"WITH {_SQL_LABELS} SELECT place, category, round(indoor_ratio, 5) AS indoor_ratio, visit_minutes, label_source FROM labelled")
 def label_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed, _ = labelled(spark, sf_dir)

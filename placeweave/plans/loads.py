@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from placeweave.operators import loads
 from placeweave.plans.catalogue import SQL_HOURLY, SQL_PLACES, hourly, places
 from placeweave.plans.registry import query, table
+from placeweave.session import new_folder
+from placeweave.streaming import weather as stream
 from placeweave.sources import payloads
 
 
@@ -138,6 +140,28 @@ def forecast_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loads.upsert_forecast(stored, batch)
 
 
+_BATCHES = 4
+
+
+@query("forecast_replay", rf"""
+WITH e AS (
+  SELECT user_id AS cell, epoch_us(ts) // 3600000000 AS hour, event_id, round(value, 3) AS precip_mm, event_id // 7 % {_BATCHES} AS batch,
+         CASE WHEN regexp_extract(props, '"k": *(\d+)', 1)::INT >= 30 THEN regexp_extract(props, '"k": *(\d+)', 1)::INT END AS uv_index FROM events),
+newest AS (SELECT *, row_number() OVER (PARTITION BY cell, hour, batch ORDER BY event_id DESC) AS n FROM e)
+SELECT cell, hour, arg_max(precip_mm, batch) AS precip_mm, arg_max(uv_index, batch) FILTER (uv_index IS NOT NULL) AS uv_index, arg_max(event_id, batch) AS fetched_s
+FROM newest WHERE n = 1 GROUP BY cell, hour""")
+def forecast_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as forecast rows in four batches, one of them repeated as after a failure: the table they leave behind."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    rows = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("cell"), F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600).alias("hour"), F.round("value", 3).alias("precip_mm"),
+        F.when(k >= 30, k).alias("uv_index"), F.col("event_id").alias("fetched_s"))
+    folder = new_folder(spark, "forecast")
+    for n in (0, 1, 2, 2, 3):
+        stream.apply_batch(rows.filter(F.floor(F.col("fetched_s") / 7) % _BATCHES == n), folder, n, 16)
+    return stream.read_forecast(spark, folder, rows.schema)
+
+
 @query("climate_upsert", """WITH e AS (SELECT user_id AS cell, month(ts)::INT AS month, value, event_type < 'm' AS batch FROM events)
 SELECT cell, month, round(CASE WHEN bool_or(batch) THEN max(value) FILTER (batch) ELSE max(value) END, 5) AS wind_kmh FROM e GROUP BY ALL""")
 def climate_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:

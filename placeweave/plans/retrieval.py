@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -410,7 +415,7 @@ def index_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SQL_DIGEST = "md5(array_to_string(list_transform({v}, lambda x: round(x * 10000)::BIGINT), ','))"
 
 
-@query("embedding_refresh", rf"""
+_SQL_REFRESHED = rf"""
 WITH todo AS (
   SELECT vec_id, 'label ' || label || ': vector ' || vec_id AS t FROM embeddings WHERE vec_id % 17 = 0 OR vec_id % 13 = 0),
 parts AS (
@@ -419,9 +424,27 @@ parts AS (
 norms AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM parts)
 SELECT vec_id AS chunk_id, 'current-model' AS embedding_model, len(v) AS dim, {_SQL_DIGEST.format(v="list_transform(v, lambda x: x / norm)")} AS digest FROM norms
 UNION ALL SELECT vec_id, 'current-model', len(embedding), {_SQL_DIGEST.format(v="embedding::DOUBLE[]")} FROM embeddings
-WHERE vec_id % 17 <> 0 AND vec_id % 13 <> 0""")
-def embedding_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All vectors in the end, compared by a digest of all components to four decimals."""
-    done = R.refresh_embeddings(T.vectors(spark, sf_dir), "current-model", lambda text: X.hash_embed(text, 64))
+WHERE vec_id % 17 <> 0 AND vec_id % 13 <> 0"""
+
+
+def _digested(done: DataFrame) -> DataFrame:
     rounded = F.transform("embedding", lambda x: F.round(x.cast("double") * 10000).cast("bigint").cast("string"))
     return done.select("chunk_id", "embedding_model", F.size("embedding").cast("bigint").alias("dim"), F.md5(F.array_join(rounded, ",")).alias("digest"))
+
+
+@query("embedding_refresh", _SQL_REFRESHED)
+def embedding_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors in the end, compared by a digest of all components to four decimals."""
+    return _digested(R.refresh_embeddings(T.vectors(spark, sf_dir), "current-model", lambda text: X.hash_embed(text, 64)))
+
+
+@query("embedding_batches", _SQL_REFRESHED)
+def embedding_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a model that takes batches of texts of about one length, as a network would; the stand-in hashes."""
+    def embed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            heads = [[int(hashlib.sha256(f"{text}:{i}".encode()).hexdigest()[:8], 16) for i in range(64)] for text in frame["text"]]
+            raw = np.array(heads, float).reshape(-1, 64) / 4294967295.0 * 2.0 - 1.0
+            yield pd.DataFrame({"chunk_id": frame["chunk_id"], "embedding": list(raw / np.sqrt((raw * raw).sum(1, keepdims=True)))})
+
+    return _digested(R.refresh_embeddings(T.vectors(spark, sf_dir), "current-model", embed_batches=embed))

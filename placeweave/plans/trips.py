@@ -252,6 +252,32 @@ def weather_at(spark: SparkSession, sf_dir: str) -> DataFrame:
         "trip", "visit", "tier", "cell_lat", "cell_lon", F.round("precip_mm", 5).alias("precip_mm"), "code")
 
 
+@query("weather_resolved", f"""WITH {SQL_TRIPS}, {SQL_HOURLY},
+told AS (SELECT cell, hour + 24 AS hour, precip_mm, temp_c FROM hourly),
+daily AS (SELECT cell, hour // 24 AS day, sum(precip_mm) AS precip_mm, max(temp_c) AS temp_c FROM told GROUP BY ALL),
+normal AS (SELECT cell, month(DATE '1970-01-01' + day::INT) AS month, avg(precip_mm) AS precip_mm, avg(temp_mean) AS temp_c
+  FROM (SELECT cell, hour // 24 AS day, sum(precip_mm) AS precip_mm, avg(temp_c) AS temp_mean FROM hourly GROUP BY ALL) GROUP BY ALL),
+points AS (SELECT trip, visit, place % 20 AS cell, day, day * 24 + arrive // 60 AS hour, month(DATE '1970-01-01' + day::INT) AS month, day - {TODAY} AS lead FROM tv JOIN places USING (place))
+SELECT trip, visit, round(CASE WHEN o.cell IS NOT NULL THEN o.precip_mm WHEN h.cell IS NOT NULL THEN h.precip_mm WHEN d.cell IS NOT NULL THEN d.precip_mm ELSE n.precip_mm END, 5) AS precip_mm,
+  round(CASE WHEN o.cell IS NOT NULL THEN o.temp_c WHEN h.cell IS NOT NULL THEN h.temp_c WHEN d.cell IS NOT NULL THEN d.temp_c ELSE n.temp_c END, 5) AS temp_c,
+  CASE WHEN o.cell IS NOT NULL THEN 'observed' WHEN h.cell IS NOT NULL THEN 'hourly' WHEN d.cell IS NOT NULL THEN 'daily' WHEN n.cell IS NOT NULL THEN 'climate' END AS source
+FROM points p LEFT JOIN hourly o ON lead < 0 AND o.cell = p.cell AND o.hour = p.hour LEFT JOIN told h ON lead BETWEEN 0 AND 3 AND h.cell = p.cell AND h.hour = p.hour
+LEFT JOIN daily d ON lead BETWEEN 0 AND 10 AND d.cell = p.cell AND d.day = p.day LEFT JOIN normal n ON n.cell = p.cell AND n.month = p.month""")
+def weather_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days past as observed, days ahead as forecast by the hour or the day, and the climate of the month where nothing else is known."""
+    observed = hourly(spark, sf_dir)
+    told = observed.withColumn("hour", F.col("hour") + 24)
+    month = F.month(F.date_from_unix_date(F.col("day").cast("int")))
+    normals = weather.climate_normals(weather.daily_weather(observed), month)
+    points = schedules(spark, sf_dir).join(places(spark, sf_dir).select("place"), "place").select(
+        F.struct("trip", "visit").alias("point"), (F.col("place") % 20).alias("cell"), "day", (F.col("day") * 24 + F.floor(F.col("arrive") / 60)).alias("hour"), month.alias("month"))
+    lead = F.col("day") - TODAY
+    sources = [("observed", "hour", observed, lead < 0), ("hourly", "hour", told, (lead >= 0) & (R.tier(lead) == R.TIER_HOURLY)),
+               ("daily", "day", weather.daily_weather(told), (lead >= 0) & (lead <= 10)), ("climate", "month", normals, None)]
+    return weather.resolve_weather(points, sources, ["precip_mm", "temp_c"]).select(
+        "point.trip", "point.visit", F.round("precip_mm", 5).alias("precip_mm"), F.round("temp_c", 5).alias("temp_c"), "source")
+
+
 @query("trip_tiers", f"""WITH {SQL_TRIPS}, {SQL_HOURLY}, noon AS (SELECT DISTINCT hour // 24 AS day FROM hourly WHERE hour % 24 = 12), led AS (SELECT trip, day, day - {TODAY} AS lead FROM fr)
 SELECT trip, day::INT AS day, lead::INT AS lead, CASE WHEN lead < 0 THEN 'none' WHEN lead > 10 THEN 'climate' WHEN day NOT IN (SELECT day FROM noon) THEN 'none' WHEN lead <= 3 THEN 'hourly' ELSE 'daily' END AS tier,
   CASE WHEN lead < 0 THEN 'past' WHEN lead <= 10 AND day NOT IN (SELECT day FROM noon) THEN 'no_forecast' END AS reason FROM led""")

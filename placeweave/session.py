@@ -44,10 +44,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own below the checkpoint folder."""
+    _ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet below the checkpoint folder and read back: as safe as :func:`cut_lineage`, and a later reader takes only the
     columns it needs."""
-    _ensure_checkpoint_dir(df.sparkSession)
-    folder = f"{df.sparkSession.sparkContext.getCheckpointDir().rstrip('/')}/table-{uuid.uuid4().hex}"
+    folder = new_folder(df.sparkSession, "table")
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -75,16 +75,21 @@ def test_distances(spark):
 
 
 def places(spark, rows):
-    return spark.createDataFrame([(i, n, 16.47 + dy / 111_195, 107.58) for i, n, dy in rows], "id string, name string, lat double, lon double")
+    shape = "id string, name string, lat double, lon double, opening_hours_raw string, website string, tags map<string,string>"
+    facts = {"a1": ("Mo 08:00-09:00", "w1", {"k": "a", "x": "1"}), "b2": ("", "w2", {"k": "b"}), "a2": (None, None, None), "b1": ("24/7", None, {"z": "1"})}
+    return spark.createDataFrame([(i, n, 16.47 + dy / 111_195, 107.58, *facts.get(i, (None, None, {}))) for i, n, dy in rows], shape)
 
 
 def test_matching_takes_the_closest_pairs_once(spark):
-    a = places(spark, [("a1", "x", 0.0), ("a2", "x", 60.0), ("a3", "y", 0.0), ("a4", "z", 0.0)])
-    b = places(spark, [("b1", "x", 50.0), ("b2", "x", 140.0), ("b3", "y", 500.0), ("b4", "other", 0.0)])
+    a = places(spark, [("a1", "Chùa Xá", 0.0), ("a2", "chùa  xá!", 60.0), ("a3", "y", 0.0), ("a4", "z", 0.0)])
+    b = places(spark, [("b1", "Xa", 50.0), ("b2", "XÁ", 140.0), ("b3", "y", 500.0), ("b4", "other", 0.0)])
     got = matching.match_places(a, b, 150.0)
     assert {(r.id_a, r.id_b) for r in got.collect()} == {("a1", "b2"), ("a2", "b1")}
     assert {r.place_key: r.ids for r in matching.merge_places(a, b, got).collect()} == {
         "a1": ["a1", "b2"], "a2": ["a2", "b1"], "a3": ["a3"], "a4": ["a4"], "b3": ["b3"], "b4": ["b4"]}
+    merged = {r.place_key: (r.name, r.opening_hours_raw, r.website, r.tags) for r in matching.merge_places(a, b, got).collect()}
+    assert merged["a1"] == ("Chùa Xá", "Mo 08:00-09:00", "w2", {"k": "b", "x": "1"}) and merged["a2"] == ("chùa  xá!", "24/7", None, {"z": "1"})
+    assert {(r.id, r.candidates) for r in matching.review_names(a, b, got).collect()} == {("a3", 1), ("b3", 1)}
     assert matching.match_places(a.limit(0), b).count() == 0
 
 

@@ -1,7 +1,7 @@
 import pytest
 from oracle import assert_same
 
-from placeweave.plans import boundaries, catalogue, labels, loads, lookups, requests, retrieval, routes, slots, trips  # noqa: F401
+from placeweave.plans import boundaries, catalogue, labels, loads, lookups, notes, requests, retrieval, routes, slots, trips  # noqa: F401
 from placeweave.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"

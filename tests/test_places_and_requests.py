@@ -184,4 +184,20 @@ def test_streams_equal_batches(spark, tmp_path):
     for batch in ([(1, 1, 1.0, 5.0, 10), (1, 1, 2.0, 6.0, 20), (1, 2, 3.0, None, 10)], [(1, 1, 9.0, None, 30)]):
         spark.createDataFrame(batch, forecast).coalesce(1).write.mode("append").parquet(inbox)
         streaming.load_forecast(spark.readStream.schema(forecast).parquet(inbox), store, str(tmp_path / "cp2")).awaitTermination()
-    assert {tuple(r) for r in spark.read.parquet(store + "/version=1").select("hour", "precip_mm", "uv_index").collect()} == {(1, 9.0, 6.0), (2, 3.0, None)}
+    rows = spark.createDataFrame([], forecast).schema
+    assert {tuple(r) for r in streaming.read_forecast(spark, store, rows).select("hour", "precip_mm", "uv_index").collect()} == {(1, 9.0, 6.0), (2, 3.0, None)}
+
+
+def test_a_batch_writes_only_the_buckets_it_touches(spark, tmp_path):
+    shape = "cell int, hour int, precip_mm double, uv_index double, fetched_s int"
+    store = str(tmp_path)
+    first = [(c, h, float(c + h), 1.0, 1) for c in range(40) for h in range(3)]
+    second = [(3, 1, 50.0, None, 2), (3, 9, 51.0, 4.0, 2)]
+    want = {(c, h): (p, uv) for c, h, p, uv, _ in first} | {(3, 1): (50.0, 1.0), (3, 9): (51.0, 4.0)}
+    empty = spark.createDataFrame([], shape)
+    for n, batch in ((0, first), (1, second), (1, second), (2, []), (3, [(200, 0, 7.0, None, 1)])):
+        streaming.apply_batch(spark.createDataFrame(batch, shape) if batch else empty, store, n, 8)
+    written = {n: {p.name for p in (tmp_path / "data" / f"version={n}").iterdir() if p.name.startswith("bucket")} for n in (0, 1, 2, 3)}
+    assert len(written[0]) == 8 and len(written[1]) == 1 and not written[2] and len(written[3]) == 1
+    got = {(r.cell, r.hour): (r.precip_mm, r.uv_index) for r in streaming.read_forecast(spark, store, empty.schema).collect()}
+    assert got == want | {(200, 0): (7.0, None)}
