@@ -200,6 +200,8 @@ def _best_windows(index: ItemIndex, texts: _Texts, of_size: np.ndarray) -> Best:
     words = texts.stop[heads] - heads + texts.size - 1
     for n in of_size.tolist():
         span = int(index.lengths[n]) - texts.size + 1
+        if span > len(texts.shingles):
+            break
         sums = texts.before[span:] - texts.before[:len(texts.before) - span]
         near = sums >= THRESHOLD * index.lightest[n] - _EPS
         starts = np.flatnonzero(near & (every[:len(sums)] + span <= texts.stop[:len(sums)]))
