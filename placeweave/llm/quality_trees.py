@@ -161,13 +161,16 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(scan, schema)
 
 
-def train(stats: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Trees:
-    """Trees from about ``rows`` labelled texts that are not held out: all of them, or the share with the smallest hashed ids.
-    The driver gets that many rows of statistics, whatever the input."""
+def taught_rows(labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``doc_id, y`` of about ``rows`` labelled documents that are not held out: all of them, or the share with the smallest hashed ids."""
     taught = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(
         F.avg("quality").alias("y")).filter(~held_out(F.col("doc_id")))
     share = rows / max(taught.count(), 1)
-    chosen = taught.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
+    return cut_lineage(taught.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)))
+
+
+def train(stats: DataFrame, chosen: DataFrame) -> Trees:
+    """Trees from the chosen documents' statistics, which the driver gets: as many rows as were chosen, whatever the input."""
     sample = stats.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).collect()
     sample.sort(key=lambda r: r["doc_id"])
     x = np.array([r["stats"] for r in sample], np.float32).reshape(-1, len(STATISTICS))
@@ -181,7 +184,7 @@ def held_out(doc_id: F.Column) -> F.Column:
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row."""
     stats = cut_lineage(with_statistics(docs))
-    model = docs.sparkSession.sparkContext.broadcast(train(stats, labels))
+    model = docs.sparkSession.sparkContext.broadcast(train(stats, taught_rows(labels)))
     schema = docs.select("doc_id").schema.add("score", "double")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,9 +197,11 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents predicted good, columns unchanged: statistics and text travel together, so no join moves texts."""
-    stats = cut_lineage(with_statistics(docs))
-    model = docs.sparkSession.sparkContext.broadcast(train(stats, labels))
+    """Documents predicted good, columns unchanged: statistics and text travel together, so no join moves texts. Only the texts that teach are
+    measured before the model is known."""
+    chosen = taught_rows(labels)
+    teaching = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
+    model = docs.sparkSession.sparkContext.broadcast(train(with_statistics(teaching), chosen))
     at = docs.columns.index("text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
