@@ -6,14 +6,17 @@
    them by a join, so no task holds the model.
 3. Each letter run of host and path is split into the word sequence of highest probability; letters no word covers cost as
    much as an unseen word of their length.
-4. Naive Bayes learns from weak labels: a page is taken as bad when a word of its split host is a seed word. Token counts per
-   class come from all pages, every token counts, add-one smoothing. Pages
-   that no rule decides get the likelier verdict, ties allow; so words that keep company with seeds count against a host.
+4. Naive Bayes learns from weak labels of one view and scores another: a page counts as bad when its visible text has
+   ``TEXT_SEEDS`` different seed words or more; what is counted and scored are the tokens of its host and path. A seed word in a
+   host weighs what the texts of the pages with it make it weigh, like any other word. Token counts per class come from all
+   pages with visible words; a token that none of these has says nothing, all others count, add-one smoothing. Pages that no
+   rule decides get the likelier verdict, ties allow.
 
 Joins send the ``HOT`` most used keys to every task and shuffle the rest, so no key crowds a task and nothing is left out.
 
 Defined results: a null url, or one without ``://``, has empty host and path, fits no rule and is judged by the method (no
-token: the prior); without any page of either class its counts are the smoothing alone; repeated rows are judged alike.
+token: the prior); without any page of either class its counts are the smoothing alone; repeated rows are judged alike; a run of
+more than ``RUN_LETTERS`` letters is split in pieces of that many, so no task holds all substrings of a very long path.
 """
 
 from __future__ import annotations
@@ -31,10 +34,13 @@ from placeweave.session import cut_lineage
 
 HOT = 50_000
 LONGEST_WORD = 24
+RUN_LETTERS = 4096
+#: Different seed words that make a visible text bad.
+TEXT_SEEDS = 1
 #: Fixed values: (host, path, verdict) of the rules.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
          ("net", "/es/", "block"), ("net", "/fr/", "block"))
-#: Words that mark a host as unwanted where they stand as a word of their own.
+#: Words that hint at an unwanted page where they stand as words of their own; they make the weak labels.
 SEEDS = frozenset("ads adult bet bets betting casino escort gambling jackpot lottery malware payday phishing pills poker porn "
                   "replica sex slots spam spyware torrent viagra warez xxx".split())
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -74,10 +80,21 @@ def meet(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(hot), key).unionByName(rest)
 
 
+def _visible() -> F.Column:
+    return F.regexp_replace(F.lower(F.coalesce("html", F.lit(""))), "(?s)<[^>]*>", " ")
+
+
+def _speaks_of_seeds() -> F.Column:
+    """Whether the visible text has enough different seed words, null without any word; most pages have no seed and are not split."""
+    seeds = "|".join(sorted(SEEDS))
+    found = F.array_distinct(F.regexp_extract_all(_visible(), F.lit(rf"(?<![a-z])(?:{seeds})(?![a-z])"), F.lit(0)))
+    html = F.coalesce("html", F.lit(""))
+    return F.when(html.rlike(f"(?i)(?:{seeds})"), F.size(found) >= TEXT_SEEDS).when(_visible().rlike("[a-z]"), False)
+
+
 def word_counts(pages: DataFrame) -> tuple[DataFrame, float, float]:
     """(``word, n`` of every word, log of all occurrences, cost of an unseen letter); a seed word no page has counts as one."""
-    visible = F.regexp_replace(F.lower(F.coalesce("html", F.lit(""))), "(?s)<[^>]*>", " ")
-    seen = cut_lineage(pages.select(F.explode(F.split(visible, "[^a-z]+")).alias("word")).filter(
+    seen = cut_lineage(pages.select(F.explode(F.split(_visible(), "[^a-z]+")).alias("word")).filter(
         F.length("word").between(1, LONGEST_WORD)).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     seeds = pages.sparkSession.createDataFrame([(word,) for word in sorted(SEEDS)], "word string")
     unheard = seeds.join(seen.filter(F.col("word").isin(*SEEDS)), "word", "left_anti").select("word", F.lit(1).cast("long").alias("n"))
@@ -118,7 +135,7 @@ def pieces_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for mark, text in (("h:", host), ("p:", path.lower())):
                 for run in _RUN.findall(text):
                     if "a" <= run[0] <= "z":
-                        rows.append((row, mark, run, None))
+                        rows += [(row, mark, run[k:k + RUN_LETTERS], None) for k in range(0, len(run), RUN_LETTERS)]
                     else:
                         rows.append((row, mark, None, f"{mark}#{len(run)}" if run[0].isdigit() else mark + run))
         yield pd.DataFrame(rows, columns=["row", "mark", "run", "token"])
@@ -152,25 +169,22 @@ def split_runs(runs: DataFrame, counts: DataFrame, whole: float, unseen: float)
 def judge_urls(pages: DataFrame) -> DataFrame:
     """``page_id, host, path, rule, verdict`` of every row."""
     counts, whole, unseen = word_counts(pages)
-    parted = cut_lineage(with_parts(pages.select("page_id", "url")).select(
-        "page_id", "host", "path", "rule", "ruled", F.monotonically_increasing_id().alias("row")))
+    parted = cut_lineage(with_parts(pages.select("page_id", "url", _speaks_of_seeds().alias("speaks"))).select(
+        "page_id", "host", "path", "rule", "ruled", "speaks", F.monotonically_increasing_id().alias("row")))
     pieces = cut_lineage(parted.select("row", "host", "path").mapInPandas(pieces_of, "row long, mark string, run string, token string"))
     letters = pieces.filter("run IS NOT NULL").select("row", "mark", "run")
     runs = cut_lineage(letters.groupBy("run").agg(F.count(F.lit(1)).alias("uses")))
     spelled = meet(letters, split_runs(runs, counts, whole, unseen), "run").select(
         "row", F.explode(F.transform("words", lambda w: F.concat("mark", w))).alias("token"))
-    seeded = F.col("token").isin(*[f"h:{word}" for word in sorted(SEEDS)])
-    told = cut_lineage(pieces.filter("run IS NULL").select("row", "token").unionByName(spelled).groupBy("row").agg(
-        F.collect_list("token").alias("tokens"), F.bool_or(seeded).alias("seeded")))
-    bad = told.filter("seeded").count()
-    prior = math.log(bad + 1) - math.log(parted.count() - bad + 1)
-    each = told.select("row", F.explode("tokens").alias("token"), F.col("seeded").cast("int").alias("b"))
-    per_token = cut_lineage(each.groupBy("token").agg(F.count(F.lit(1)).alias("uses"), F.sum("b").alias("block")))
-    sums = per_token.agg(F.sum("block").alias("block"), F.sum(F.col("uses") - F.col("block")).alias("allow"), F.count(F.lit(1)).alias("size")).first()
+    each = cut_lineage(pieces.filter("run IS NULL").select("row", "token").unionByName(spelled).join(parted.select("row", F.col("speaks").cast("int").alias("b")), "row"))
+    bad, good = (parted.filter(F.col("speaks") == said).count() for said in (True, False))
+    prior = math.log(bad + 1) - math.log(good + 1)
+    per_token = cut_lineage(each.groupBy("token").agg(F.count(F.lit(1)).alias("uses"), F.count_if(F.col("b") == 1).alias("block"), F.count_if(F.col("b") == 0).alias("allow")))
+    sums = per_token.agg(F.sum("block").alias("block"), F.sum("allow").alias("allow"), F.count(F.lit(1)).alias("size")).first()
     size = (sums["size"] or 0) + 1
     blank = {v: math.log((sums[v] or 0) + size) for v in ("block", "allow")}
-    weight = F.log(F.col("block") + 1) - F.log(F.col("uses") - F.col("block") + 1) + F.lit(blank["allow"] - blank["block"])
-    weights = per_token.select("token", "uses", weight.alias("w"))
+    weight = F.log(F.col("block") + 1) - F.log(F.col("allow") + 1) + F.lit(blank["allow"] - blank["block"])
+    weights = per_token.select("token", "uses", F.when(F.col("block") + F.col("allow") > 0, weight).otherwise(0.0).alias("w"))
     # Added up in one order, whatever the partitions.
     scores = meet(each.select("row", "token"), weights, "token").groupBy("row").agg(
         F.reduce(F.array_sort(F.collect_list("w")), F.lit(0.0), lambda a, w: a + w).alias("score"))

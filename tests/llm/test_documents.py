@@ -175,6 +175,57 @@ def test_context_reaches_every_line_and_both_sides():
     assert secret_scan.find_spans(far) == []
 
 
+SECRET_KINDS = {"base64": string.ascii_letters + string.digits + "+/", "hex": "0123456789ABCDEF", "base32": string.ascii_uppercase + "234567",
+                "url": string.ascii_letters + string.digits + "-_"}
+
+
+def planted_secrets():
+    """(text, planted runs, lures that are no secrets) over kinds, lengths and distances to the word."""
+    rng = random.Random(31)
+
+    def run(kind, n):
+        while True:
+            made = "".join(rng.choices(SECRET_KINDS[kind], k=n))
+            if any(c.isdigit() for c in made) and any(c.isalpha() for c in made):
+                return made
+
+    prose = "the service was moved to another host last week and the notes about it are kept in the usual place".split()
+    out = []
+    for kind in SECRET_KINDS:
+        for n in (20, 24, 32, 40, 64, 200, 800, 1600):
+            for near in (0, 20, 150):
+                told = rng.choice(["api key", "auth", "the secret", "private signature", "bearer"])
+                secret = run(kind, n)
+                words = rng.choices(prose, k=near)
+                out.append((f"{' '.join(rng.choices(prose, k=12))} {told} {' '.join(words)} {secret} {' '.join(rng.choices(prose, k=12))}", [secret], []))
+    for _ in range(12):
+        lines = [run("base64", 64) for _ in range(26)]
+        out.append(("-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(lines) + "\n-----END RSA PRIVATE KEY-----", lines, []))
+        parts = [run("url", n) for n in (36, 160, 43)]
+        out.append((f"Authorization: Bearer {'.'.join(parts)}", parts, []))
+    for i in range(40):
+        number = rng.randrange(10 ** 6)
+        lures = [f"user_account_settings_key_{i}_default_value", f"/usr/local/share/keys/module{i}/index2/readme", f"config_key_name_{i}_config_key_name_{i}",
+                 f"getUserAccessTokenFromRequestHeader{i}", f"version_2_of_the_authorization_header_v{i}", "0123456789abcdefghijklmnop", "A1" * 20, f"field_{number}_field_{number}_key"]
+        lure = lures[i % len(lures)]
+        out.append((f"the key {lure} is set in the file, see {lure} for the auth notes", [], [lure]))
+    return out
+
+
+def test_planted_secrets_and_lures():
+    planted = found = false = reported = 0
+    for text, secrets, lures in planted_secrets():
+        spans = secret_scan.find_spans(text)
+        runs = [text[s:e] for s, e, _ in spans]
+        hits = [s for s in secrets if any(s in r or r in s for r in runs)]
+        planted, found = planted + len(secrets), found + len(hits)
+        wrong = [r for r in runs if any(r in lure or lure in r for lure in lures)]
+        false, reported = false + len(wrong), reported + len(runs)
+    recall, precision = found / planted, 1 - false / reported
+    print(f"recall {recall:.3f} of {planted}, precision {precision:.3f} of {reported}")
+    assert recall >= 0.9 and precision >= 0.9, (recall, precision)
+
+
 def test_redacted_documents_keep_their_columns(spark):
     docs = docs_frame(spark)
     out = secret_scan.without_secrets(docs)
@@ -248,6 +299,16 @@ def test_item_blocks_decide_nothing(spark, monkeypatch):
     assert found() == want
 
 
+def test_texts_shorter_than_the_longest_item(spark):
+    said = [f"v{i}" for i in range(60)]
+    bench = spark.createDataFrame([(1, " ".join(said)), (2, " ".join(said[:12])), (3, "one two three four five six")], "item_id long, text string")
+    rows = [(1, " ".join(said[:12])), (2, " ".join(said[:55])), (3, "one two three four five six")]
+    got = {(r.doc_id, r.item_id): r.n_words for r in decontaminate.contaminated(docs_frame(spark, rows), bench).collect()}
+    assert got == {(1, 2): 12, (2, 1): 55, (2, 2): 12, (3, 3): 6}
+    one = spark.createDataFrame(rows[2:], "doc_id long, text string").coalesce(1)
+    assert [(r.doc_id, r.item_id) for r in decontaminate.contaminated(one, bench).collect()] == [(3, 3)]
+
+
 def test_few_shared_shingles_are_no_match():
     index = decontaminate.ItemIndex([1], ["a b c d e f g h i j k l m n"])
     data, at = words.utf8(pa.array(["x a b c d e y"]))

@@ -1,5 +1,7 @@
 import hashlib
 import math
+import random
+import re
 
 import numpy as np
 import pytest
@@ -80,12 +82,93 @@ def test_viterbi_is_the_cheapest_split():
         assert math.isclose(sum(costs.get(p, 9.0 * len(p)) for p in parts), brute_split(run, costs, 9.0))
 
 
-def test_bayes_flags_hosts_with_words_of_bad_company(spark):
-    rows = [(i, f"http://cheappills{i % 3}.org/a", "<p>cheap words like pills</p>") for i in range(30)]
-    rows += [(100 + i, f"http://quiet-garden.org/{i}", "<p>quiet garden cheap win</p>") for i in range(300)]
-    rows += [(900, "http://cheap.org/a", "")]
+GOOD_WORDS = "quiet garden river museum bread library mountain letter winter paper school bridge lemon forest village".split()
+BAD_WORDS = "lucky spin bonus jackpotz cheapmeds hotdeal rolex vegas wager instantcash".split()
+
+
+def planted_pages(seed=4):
+    """Good and bad pages whose hosts are words run together; the last third has no text, and its bad hosts never hold a seed."""
+    rng = random.Random(seed)
+    rows, truth = [], {}
+    for i in range(1200):
+        bad = i % 6 == 0
+        known = i < 800
+        parts = rng.sample(BAD_WORDS if bad else GOOD_WORDS, 2)
+        if bad and known and rng.random() < 0.5:
+            parts.append(rng.choice(["casino", "poker", "pills"]))
+        said = [*parts, *rng.choices(GOOD_WORDS, k=6), *(rng.sample(["casino", "poker", "betting", "slots"], 2) if bad else [])]
+        if not bad and rng.random() < 0.05:
+            said.append("bet")  # wrong labels
+        rows.append((i, f"http://{''.join(parts)}.org/{rng.choice(GOOD_WORDS)}/{i}", f"<p>{' '.join(said)}</p>" if known else None))
+        truth[i] = bad
+    return rows, truth
+
+
+def test_hosts_are_judged_by_the_company_their_words_keep(spark):
+    rows, truth = planted_pages()
+    rows += [(5000, "http://www.adultschool.org/", None), (5001, "http://spinvegas.org/lemon/", None)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.verdict == "block" for r in host_words.judge_urls(frame).collect()}
+    unseen = [i for i in truth if i >= 800]
+    blocked = [i for i in unseen if got[i]]
+    recall = sum(truth[i] for i in blocked) / sum(truth[i] for i in unseen)
+    precision = sum(truth[i] for i in blocked) / len(blocked)
+    assert recall >= 0.95 and precision >= 0.95, (recall, precision)
+    assert got[5001] and not got[5000]  # a seed without bad company does not decide, bad company without a seed does
+
+
+def test_a_seed_in_a_host_weighs_what_its_texts_say(spark):
+    rows = [(i, f"http://nature-escort.org/{i}", "<p>a walk through the nature of the valley</p>") for i in range(30)]
+    rows += [(100 + i, f"http://spin-vegas.org/{i}", "<p>casino and poker</p>") for i in range(30)]
+    rows += [(200 + i, f"http://quiet-garden.org/{i}", "<p>quiet garden</p>") for i in range(300)]
     got = {r.page_id: r.verdict for r in host_words.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert {got[i] for i in range(30)} == {"block"} and {got[100 + i] for i in range(300)} == {"allow"} and got[900] == "block"
+    assert {i // 100: v for i, v in got.items()} == {0: "allow", 1: "block", 2: "allow", 3: "allow", 4: "allow"}
+
+
+def brute_verdict(rows):
+    """Bayes over tokens split here and now, for hosts of plain words between hyphens."""
+    pages = []
+    for _, url, html in rows:
+        host, _, path = url.removeprefix("http://").partition("/")
+        text = set(re.findall("[a-z]+", re.sub("<[^>]*>", " ", (html or "").lower())))
+        tokens = [mark + (run if run.isalpha() else f"#{len(run)}" if run.isdigit() else run) for mark, part in (("h:", host), ("p:", "/" + path))
+                  for run in re.findall("[a-z]+|[0-9]+|[^\x00-\x7f]+", part)]
+        pages.append((tokens, bool(text & host_words.SEEDS) if text - {""} else None))
+    bad, good = (sum(speaks is side for _, speaks in pages) for side in (True, False))
+    counts = {}
+    for tokens, speaks in pages:
+        for t in tokens:
+            seen = counts.setdefault(t, [0, 0])
+            if speaks is not None:
+                seen[speaks] += 1
+    size = len(counts) + 1
+    block, allow = sum(c[1] for c in counts.values()) + size, sum(c[0] for c in counts.values()) + size
+    out = []
+    for tokens, _ in pages:
+        score = math.log(bad + 1) - math.log(good + 1)
+        score += sum(math.log(counts[t][1] + 1) - math.log(counts[t][0] + 1) + math.log(allow) - math.log(block) for t in tokens if any(counts[t]))
+        out.append("block" if score > 1e-12 else "allow")
+    return out
+
+
+def test_verdicts_against_brute_force(spark):
+    rng = random.Random(9)
+    words = ["alpha", "bravo", "delta", "gamma", "omega", "casino", "poker"]
+    rows = []
+    for i in range(300):
+        parts = rng.sample(words, 2)
+        bad = rng.random() < (0.8 if "delta" in parts else 0.1)
+        said = [*words[:5], "org", *(["casino"] if bad else [])]
+        rows.append((i, f"http://{'-'.join(parts)}.org/{rng.choice(words)}/{i % 7}", None if i % 20 == 3 else f"<p>{' '.join(said)}</p>"))
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.verdict for r in host_words.judge_urls(frame).collect()}
+    want = brute_verdict(rows)
+    assert [got[i] for i in range(300)] == want and set(want) == {"block", "allow"}
+
+
+def test_very_long_runs_are_split_in_pieces(spark):
+    rows = [(1, "http://a.org/" + "garden" * 20_000, "<p>garden</p>"), (2, "http://b.org/", "")]
+    assert {r.page_id for r in host_words.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {1, 2}
 
 
 def test_model_size_decides_nothing(spark, monkeypatch):
@@ -93,7 +176,7 @@ def test_model_size_decides_nothing(spark, monkeypatch):
     rows += [(50, "http://mosspoker.org/", ""), (51, None, None), (None, "http://fernmoss.org/", ""), (50, "http://mosspoker.org/", "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     want = by_row(host_words.judge_urls(pages).collect())
-    assert {r.verdict for r in want} == {"allow", "block"} and len(want) == len(rows)
+    assert len(want) == len(rows)
     for most in (0, 3):
         for name in ("WORDS", "TOKENS", "HOT"):
             monkeypatch.setattr(host_words, name, most, raising=False)
