@@ -23,9 +23,11 @@ from placeweave.session import cut_lineage
 NON_DESTINATIONS = ("boi_canh", "ha_tang", "don_vi_hanh_chinh")
 RRF_K = 60
 HYBRID_DEPTH = 50
-# Vectors packed into one row for exact search: a block of queries meets every block of chunks once.
+# Vectors packed into one row for exact search.
 QUERY_BLOCK = 256
 CHUNK_BLOCK = 4096
+#: Blocks of a side in a cell at most.
+MOST_GROUPED = 32
 
 
 def corpus(chunks: DataFrame, places: DataFrame, exclude: Sequence[str] = NON_DESTINATIONS) -> DataFrame:
@@ -57,23 +59,29 @@ def _unit_rows(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.where(norms > 0, norms, 1.0)
 
 
-def _best_of_block(queries: Sequence, chunks: Sequence, filters: Sequence[str], k: int, floor: float) -> pd.DataFrame:
-    """Up to ``k`` best chunks of one block for each query of another, ties to the smaller chunk id."""
-    ids, chunk_ids = np.array([q["query_id"] for q in queries], object), np.array([c["chunk_id"] for c in chunks], object)
-    rank_of = np.empty(len(chunk_ids), np.int64)
-    rank_of[np.argsort(chunk_ids, kind="stable")] = np.arange(len(chunk_ids))
-    asked, held = (_unit_rows(np.array([r["vector"] for r in rows], np.float64)) for rows in (queries, chunks))
-    similarity = np.round(asked @ held.T, P.SCORE_DECIMALS)
-    allowed = similarity >= floor
-    for f in filters:
-        values = np.array([c[f] for c in chunks], object)
-        allowed &= np.array([np.ones(len(values), bool) if q[f] is None else values == q[f] for q in queries])
-    found = []
-    for n in range(len(queries)):
-        at = np.flatnonzero(allowed[n])
-        at = at[np.lexsort((rank_of[at], -similarity[n, at]))[:k]]
-        found.append(pd.DataFrame({"query_id": ids[[n] * len(at)], "chunk_id": chunk_ids[at], "score": similarity[n, at]}))
-    return pd.concat(found)
+class _Asked:
+    """A block of queries and the best chunks each has met so far: (-similarity, chunk id), ties to the smaller id."""
+
+    def __init__(self, ids: Sequence, vectors: Sequence[float], filters: dict[str, list]) -> None:
+        self.ids, self.filters = list(ids), filters
+        self.vectors = _unit_rows(np.asarray(vectors, np.float64).reshape(len(self.ids), -1))
+        self.best: list[list[tuple]] = [[] for _ in self.ids]
+
+    def meet(self, ids: np.ndarray, vectors: np.ndarray, values: dict[str, np.ndarray], k: int, floor: float) -> None:
+        similarity = np.round(self.vectors @ vectors.T, P.SCORE_DECIMALS)
+        for n, held in enumerate(self.best):
+            allowed = similarity[n] >= (max(floor, -held[-1][0]) if len(held) == k else floor)
+            for f, asked in self.filters.items():
+                if asked[n] is not None:
+                    allowed &= values[f] == asked[n]
+            at = np.flatnonzero(allowed)
+            if len(at) > k:  # all that tie with the kth
+                at = at[similarity[n, at] >= np.partition(similarity[n, at], -k)[-k]]
+            self.best[n] = sorted([*held, *zip((-similarity[n, at]).tolist(), ids[at].tolist(), strict=True)])[:k]
+
+    def found(self) -> pd.DataFrame:
+        rows = [(query, chunk, -minus) for query, held in zip(self.ids, self.best, strict=True) for minus, chunk in held]
+        return pd.DataFrame(rows, columns=["query_id", "chunk_id", "score"])
 
 
 def dense_search(queries: DataFrame, chunks: DataFrame, k: int = 5, model: str | None = None,
@@ -81,8 +89,9 @@ def dense_search(queries: DataFrame, chunks: DataFrame, k: int = 5, model: str |
     """Exact cosine search. Chunks of another model or without a vector are ignored, blank queries and
     queries without a vector return nothing, and filters apply before the top-k.
 
-    Both sides are packed into rows of a bounded number of vectors; each pair of rows is one matrix product
-    in a task and emits at most ``k`` rows per query. The driver sees two counts."""
+    Both sides are packed into blocks of a bounded number of vectors. A cell of the grid is a group of query blocks, which are held, and a group of
+    chunk blocks, which stream by; each block is sent to one cell per group of the other side, and a cell emits ``k`` rows per query. Groups
+    grow with the work, so that there are enough cells for the cores and no more copies than that needs. The driver sees two counts."""
     queries = _asked(queries)
     filters = P.filters_of(queries)
     usable = chunks.filter(F.col("embedding").isNotNull())
@@ -96,23 +105,51 @@ def dense_search(queries: DataFrame, chunks: DataFrame, k: int = 5, model: str |
         usable, asked = usable.withColumn("embedding", checked("embedding")), asked.withColumn(
             "embedding", checked("embedding").cast("array<double>"))
 
-    def packed(df: DataFrame, key: str, size: int, name: str) -> tuple[DataFrame, int]:
+    def packed(df: DataFrame, key: str, size: int) -> tuple[DataFrame, int]:
         blocks = max(1, -(-df.count() // size))
-        row = F.struct(key, *filters, F.col("embedding").alias("vector"))
-        return df.groupBy(F.pmod(F.xxhash64(key), F.lit(blocks)).alias(f"{name}_block")).agg(F.collect_list(row).alias(name)), blocks
-
-    asked_blocks, _ = packed(asked, "query_id", QUERY_BLOCK, "asked")
-    held_blocks, n_held = packed(usable, "chunk_id", CHUNK_BLOCK, "held")
-    pairs = asked_blocks.withColumn("held_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_held - 1).cast("bigint")))).join(
-        held_blocks, "held_block").select("asked", "held")
+        row = F.struct(F.col(key).alias("id"), *filters, F.col("embedding").cast("array<double>").alias("vector"))
+        gathered = df.groupBy(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block")).agg(F.collect_list(row).alias("r"))
+        return gathered.select("block", F.col("r.id").alias("ids"), F.flatten("r.vector").alias("vectors"), *[F.col(f"r.{f}").alias(f) for f in filters]), blocks
+
+    (asked_blocks, n_asked), (held_blocks, n_held) = packed(asked, "query_id", QUERY_BLOCK), packed(usable, "chunk_id", CHUNK_BLOCK)
+    cells = 4 * queries.sparkSession.sparkContext.defaultParallelism
+    group = int(min(max((n_asked * n_held / cells) ** 0.5, 1), MOST_GROUPED))
+
+    def dealt(blocks: DataFrame, side: int, others: int) -> DataFrame:
+        own = F.floor(F.col("block") / group)
+        other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit((others - 1) // group).cast("bigint")))
+        cell = F.concat_ws(":", "_own", "_other") if side == 0 else F.concat_ws(":", "_other", "_own")
+        return blocks.withColumns({"_own": own, "_other": other}).withColumns({"cell": cell, "side": F.lit(side)}).drop("_own", "_other")
+
+    # Both sides have one shape; ids of either kind stay what they are.
+    def shaped(blocks: DataFrame, names: tuple[str, str]) -> DataFrame:
+        mine, theirs = names
+        other = queries.schema["query_id"] if mine == "chunk_ids" else chunks.schema["chunk_id"]
+        empty = F.lit(None).cast(f"array<{other.dataType.simpleString()}>")
+        return blocks.withColumnRenamed("ids", mine).withColumn(theirs, empty).select("cell", "side", "block", "query_ids", "chunk_ids", "vectors", *filters)
+
+    grid = shaped(dealt(asked_blocks, 0, n_held), ("query_ids", "chunk_ids")).unionByName(
+        shaped(dealt(held_blocks, 1, n_asked), ("chunk_ids", "query_ids"))).repartition("cell").sortWithinPartitions("cell", "side", "block")
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cell, held = None, []
         for frame in frames:
-            for one, other in zip(frame["asked"], frame["held"], strict=True):
-                yield _best_of_block(one, other, filters, k, min_similarity)
+            for row in frame.itertuples(index=False):
+                if row.cell != cell:
+                    yield from (block.found() for block in held)
+                    cell, held = row.cell, []
+                if row.side == 0:
+                    held.append(_Asked(row.query_ids, row.vectors, {f: list(getattr(row, f)) for f in filters}))
+                    continue
+                ids = np.array(list(row.chunk_ids), object)
+                vectors = _unit_rows(np.asarray(row.vectors, np.float64).reshape(len(ids), -1))
+                values = {f: np.array(list(getattr(row, f)), object) for f in filters}
+                for block in held:
+                    block.meet(ids, vectors, values, k, min_similarity)
+        yield from (block.found() for block in held)
 
     shape = ", ".join(f"{name} {df.schema[name].dataType.simpleString()}" for df, name in ((queries, "query_id"), (chunks, "chunk_id")))
-    return P.best(pairs.mapInPandas(score, f"{shape}, score double"), k)
+    return P.best(grid.mapInPandas(score, f"{shape}, score double"), k)
 
 
 def rrf(rankings: Sequence[DataFrame], k: int, c: int = RRF_K) -> DataFrame:

@@ -49,7 +49,8 @@ nodes AS (
   FROM lineitem),
 placed AS (
   SELECT region, p, total, (total - 1) // {WAY_POINTS} AS last, (p - 1) // {WAY_POINTS} AS w, (p - 1) % {WAY_POINTS} AS spot FROM nodes
-  UNION ALL SELECT region, p, total, (total - 1) // {WAY_POINTS}, (p - 1) // {WAY_POINTS} - 1, {WAY_POINTS} FROM nodes WHERE (p - 1) % {WAY_POINTS} = 0 AND p > 1
+  UNION ALL SELECT region, p, total, (total - 1) // {WAY_POINTS}, (p - 1) // {WAY_POINTS} - 1, {WAY_POINTS} FROM nodes
+    WHERE (p - 1) % {WAY_POINTS} = 0 AND p > 1
   UNION ALL SELECT region, p, total, (total - 1) // {WAY_POINTS}, (total - 1) // {WAY_POINTS}, total - {WAY_POINTS} * ((total - 1) // {WAY_POINTS})
   FROM nodes WHERE p = 1),
 sized AS (SELECT *, CASE WHEN w < last THEN {WAY_POINTS + 1} ELSE total - {WAY_POINTS} * last + 1 END AS size FROM placed),
@@ -57,7 +58,8 @@ ways AS (
   SELECT region, (w * 7919 + region) % 1000003 AS way, CASE WHEN (w * 7 + region) % 3 = 0 THEN size - 1 - spot ELSE spot END AS pos,
          16 + p / 1000.0::DOUBLE AS lat, 107 + (p * p % 997) / 1000.0::DOUBLE AS lon
   FROM sized WHERE NOT (region % 7 = 3 AND w = 1) AND NOT (region % 11 = 4 AND w > 0)
-  UNION ALL SELECT region, 2000000, 0, 16 + p / 1000.0::DOUBLE, 107 + (p * p % 997) / 1000.0::DOUBLE FROM nodes WHERE region % 13 = 6 AND p = {WAY_POINTS + 1}
+  UNION ALL SELECT region, 2000000, 0, 16 + p / 1000.0::DOUBLE, 107 + (p * p % 997) / 1000.0::DOUBLE FROM nodes WHERE region % 13 = 6
+    AND p = {WAY_POINTS + 1}
   UNION ALL SELECT region, 2000000, 1, 0, 0 FROM nodes WHERE region % 13 = 6 AND p = {WAY_POINTS + 1}),
 ends AS (
   SELECT region, way, arg_min({{'lat': lat, 'lon': lon}}, pos) AS head, arg_max({{'lat': lat, 'lon': lon}}, pos) AS tail, count(*) AS n,
@@ -70,12 +72,15 @@ branches AS (
 walk AS (
   SELECT region, way, true AS forward, head AS begin, tail AS spot, [way] AS used, 0::BIGINT AS before, n FROM ends WHERE way = first
   UNION ALL
-  SELECT w.region, e.way, e.head = w.spot, w.begin, CASE WHEN e.head = w.spot THEN e.tail ELSE e.head END, list_append(w.used, e.way), w.before + w.n - 1, e.n
+  SELECT w.region, e.way, e.head = w.spot, w.begin, CASE WHEN e.head = w.spot THEN e.tail
+    ELSE e.head END, list_append(w.used, e.way), w.before + w.n - 1, e.n
   FROM walk w JOIN ends e ON e.region = w.region AND (e.head = w.spot OR e.tail = w.spot) AND NOT list_contains(w.used, e.way)
   WHERE w.region NOT IN (SELECT region FROM branches)),
-reach AS (SELECT region, max(len(used)) AS joined, max(before + n) AS points, arg_max(spot, before) AS last, any_value(begin) AS begin FROM walk GROUP BY region),
+reach AS (SELECT region, max(len(used)) AS joined, max(before + n) AS points, arg_max(spot, before) AS last, any_value(begin) AS begin
+  FROM walk GROUP BY region),
 states AS (
-  SELECT r.region, ways, joined, points, last, begin, CASE WHEN r.region IN (SELECT region FROM branches) THEN 'branching' WHEN joined < ways THEN 'unjoined'
+  SELECT r.region, ways, joined, points, last, begin, CASE WHEN r.region IN (SELECT region FROM branches) THEN 'branching'
+    WHEN joined < ways THEN 'unjoined'
          WHEN points < 3 THEN 'too_few_points' ELSE 'ring' END AS state
   FROM reach r JOIN (SELECT DISTINCT region, ways FROM ends) USING (region)),
 rings AS (
@@ -97,7 +102,8 @@ def boundary_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("boundary_states", f"""WITH RECURSIVE {_SQL_WAYS}
-SELECT region, ways, CASE WHEN state <> 'branching' THEN joined END AS joined, CASE WHEN state <> 'branching' THEN points END AS points, state FROM states""")
+SELECT region, ways, CASE WHEN state <> 'branching' THEN joined END AS joined, CASE
+  WHEN state <> 'branching' THEN points END AS points, state FROM states""")
 def boundary_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, states = G.assemble_rings(_outer(spark, sf_dir))
     certain = F.col("state") != G.BRANCHING
@@ -110,7 +116,8 @@ _SQL_UNITS = "units AS (SELECT s_nationkey AS area, s_suppkey AS region, CASE WH
 @query("boundary_points", f"""WITH RECURSIVE {_SQL_WAYS}, {_SQL_UNITS},
 chosen AS (SELECT area, arg_min(region, {{'l': -coalesce(level, 0), 'r': region}}) AS region FROM units GROUP BY area),
 edges AS (
-  SELECT region, lat AS lat1, lon AS lon1, coalesce(lead(lat) OVER w, first_value(lat) OVER w) AS lat2, coalesce(lead(lon) OVER w, first_value(lon) OVER w) AS lon2
+  SELECT region, lat AS lat1, lon AS lon1, coalesce(lead(lat) OVER w, first_value(lat) OVER w) AS lat2,
+    coalesce(lead(lon) OVER w, first_value(lon) OVER w) AS lon2
   FROM rings WINDOW w AS (PARTITION BY region ORDER BY seq)),
 points AS (
   SELECT c_custkey AS place, region, 16 + (c_custkey * 7919 % 641) / 1000.0::DOUBLE + 0.00025::DOUBLE AS lat, 107 + (c_custkey * 104729 % 997) / 1000.0::DOUBLE + 0.00025::DOUBLE AS lon

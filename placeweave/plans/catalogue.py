@@ -128,7 +128,8 @@ walk AS (
     CASE WHEN list_contains(used_a, id_a) OR list_contains(used_b, id_b) THEN used_a ELSE list_append(used_a, id_a) END,
     CASE WHEN list_contains(used_a, id_a) OR list_contains(used_b, id_b) THEN used_b ELSE list_append(used_b, id_b) END
   FROM walk w JOIN pairs p ON p.name = w.name AND p.i = w.i + 1),
-chosen AS (SELECT unnest(used_a) AS id_a, unnest(used_b) AS id_b FROM (SELECT name, arg_max(used_a, i) AS used_a, arg_max(used_b, i) AS used_b FROM walk GROUP BY name)),
+chosen AS (SELECT unnest(used_a) AS id_a, unnest(used_b) AS id_b
+  FROM (SELECT name, arg_max(used_a, i) AS used_a, arg_max(used_b, i) AS used_b FROM walk GROUP BY name)),
 matches AS (SELECT c.id_a, c.id_b, p.d FROM chosen c JOIN pairs p USING (id_a, id_b))"""
 
 
@@ -141,10 +142,13 @@ def entity_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 fact AS (
   SELECT place, {_SQL_NAMED} AS name, lat, lon, size, CASE size % 3 WHEN 0 THEN 'Mo-Fr 08:00-17:00' WHEN 1 THEN '' END AS hours,
          CASE WHEN size % 4 <> 0 THEN 'https://example.org/' || place END AS website FROM places)
-SELECT a.place AS place_key, CASE WHEN id_b IS NULL THEN a.place::VARCHAR ELSE a.place || ',' || id_b END AS ids, a.name, round(a.lat, 6) AS lat, round(a.lon, 6) AS lon,
+SELECT a.place AS place_key, CASE WHEN id_b IS NULL THEN a.place::VARCHAR ELSE a.place || ',' || id_b END AS ids, a.name,
+  round(a.lat, 6) AS lat, round(a.lon, 6) AS lon,
   coalesce(nullif(b.hours, ''), a.hours) AS opening_hours_raw, coalesce(b.website, a.website) AS website,
-  CASE WHEN id_b IS NOT NULL THEN 'a=1,b=2,size=' || b.size WHEN a.place % 2 = 0 THEN 'a=1,size=' || a.size ELSE 'b=2,size=' || a.size END AS tags
-FROM fact a LEFT JOIN matches ON a.place = id_a LEFT JOIN fact b ON b.place = id_b WHERE a.place % 2 = 0 OR a.place NOT IN (SELECT id_b FROM matches)""")
+  CASE WHEN id_b IS NOT NULL THEN 'a=1,b=2,size=' || b.size WHEN a.place % 2 = 0 THEN 'a=1,size=' || a.size
+    ELSE 'b=2,size=' || a.size END AS tags
+FROM fact a LEFT JOIN matches ON a.place = id_a LEFT JOIN fact b ON b.place = id_b WHERE a.place % 2 = 0 OR a.place NOT IN (SELECT id_b
+  FROM matches)""")
 def entity_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = _sources(spark, sf_dir)
     merged = matching.merge_places(a, b, matching.match_places(a, b, MATCH_RADIUS_M))
@@ -162,11 +166,13 @@ def entity_review(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SQL_TEXT = """CASE WHEN size % 7 = 0 THEN 'by appointment' ELSE
-  'Mo-Fr 0' || (6 + size % 4) || ':00-1' || (4 + size % 6) || ':30' || CASE WHEN size % 3 = 0 THEN '; Sa 08:00-12:00,13:00-15:15' ELSE '' END END"""
+  'Mo-Fr 0' || (6 + size % 4) || ':00-1' || (4 + size % 6) || ':30' || CASE WHEN size % 3 = 0 THEN '; Sa 08:00-12:00,13:00-15:15'
+    ELSE '' END END"""
 
 
 @query("opening_intervals", f"""WITH {SQL_PLACES}, days AS (SELECT unnest(range(0, 5)) AS dow)
-SELECT place AS place_id, true AS parse_ok, dow::INT AS dow, (6 + size % 4) * 60 AS open_min, (14 + size % 6) * 60 + 30 AS close_min FROM places, days WHERE size % 7 <> 0
+SELECT place AS place_id, true AS parse_ok, dow::INT AS dow, (6 + size % 4) * 60 AS open_min, (14 + size % 6) * 60 + 30 AS close_min
+  FROM places, days WHERE size % 7 <> 0
 UNION ALL SELECT place, true, 5, 480, 720 FROM places WHERE size % 7 <> 0 AND size % 3 = 0
 UNION ALL SELECT place, true, 5, 780, 915 FROM places WHERE size % 7 <> 0 AND size % 3 = 0
 UNION ALL SELECT place, false, NULL, NULL, NULL FROM places WHERE size % 7 = 0""")
@@ -199,8 +205,10 @@ def climate_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("weather_rules", f"""WITH {SQL_HOURLY}, {SQL_FLAGS},
 scores AS (SELECT *, greatest(least(precip_mm / 5.0, 1.0), 0.7 * code / 100.0) AS rain_score,
-  least(greatest((temp_c - 32.0) / 6.0, 0.0), 1.0) AS heat_score, least(greatest((wind_kmh - 20.0) / 30.0, 0.0), 1.0) AS wind_score FROM flags)
-SELECT cell, hour, raining, storm, concat_ws(',', CASE WHEN storm THEN 'bao' END, CASE WHEN heavy THEN 'mua_lon' END, CASE WHEN rough THEN 'song_lon' END) AS hazards,
+  least(greatest((temp_c - 32.0) / 6.0, 0.0), 1.0) AS heat_score, least(greatest((wind_kmh - 20.0) / 30.0, 0.0), 1.0) AS wind_score
+    FROM flags)
+SELECT cell, hour, raining, storm, concat_ws(',', CASE WHEN storm THEN 'bao' END, CASE WHEN heavy THEN 'mua_lon' END, CASE
+  WHEN rough THEN 'song_lon' END) AS hazards,
   round(rain_score, 9) AS rain_score, round(heat_score, 9) AS heat_score, round(wind_score, 9) AS wind_score,
   round(least((1.0 - (code % 11) / 10.0) * (0.5 * rain_score + 0.5 * heat_score + 0.2 * wind_score), 1.0), 9)::DOUBLE AS cost,
   CASE WHEN storm THEN 1.8 WHEN heavy THEN 1.4 WHEN raining THEN 1.2 ELSE 1.0 END::DOUBLE AS travel_factor FROM scores""")
@@ -213,7 +221,8 @@ def weather_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("cells_dedupe", """WITH rows AS (SELECT round(16 + (user_id * 7919 % 300) / 1000.0::DOUBLE, 4) AS lat, epoch_us(ts) // 3600000000 AS hour, ts, event_id, value FROM events)
-SELECT lat_cell, hour, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY lat_cell, hour ORDER BY ts DESC, event_id DESC) AS n FROM (
+SELECT lat_cell, hour, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY lat_cell, hour ORDER BY ts DESC, event_id DESC) AS n
+  FROM (
   SELECT *, round_even(lat * 10, 0)::INT AS lat_cell FROM rows)) WHERE n = 1""")
 def cells_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     lat = F.round(F.lit(16.0) + (F.col("user_id") * 7919 % 300) / F.lit(1000.0), 4)
@@ -233,7 +242,8 @@ def lead_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("visit_hours", f"""WITH {SQL_PLACES}, {SQL_VISITS}, h AS (SELECT trip, visit, start_min, end_min, unnest(range(start_min // 60, (end_min - 1) // 60 + 1)) AS hour_no FROM visits)
-SELECT trip, visit, hour_no, round((least(end_min, (hour_no + 1) * 60) - greatest(start_min, hour_no * 60)) / 60.0::DOUBLE, 5) AS overlap_h FROM h""")
+SELECT trip, visit, hour_no, round((least(end_min, (hour_no + 1) * 60) - greatest(start_min, hour_no * 60)) / 60.0::DOUBLE, 5) AS overlap_h
+  FROM h""")
 def visit_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weather.visit_hours(visits(spark, sf_dir)).select("trip", "visit", "hour_no", F.round("overlap_h", 5).alias("overlap_h"))
 
@@ -241,18 +251,22 @@ def visit_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("weather_outcome", f"""WITH {SQL_PLACES}, {SQL_VISITS}, {SQL_HOURLY}, {SQL_FLAGS},
 h AS (SELECT *, unnest(range(start_min // 60, (end_min - 1) // 60 + 1)) AS hour_no FROM visits),
 seen AS (SELECT h.*, (least(end_min, (hour_no + 1) * 60) - greatest(start_min, hour_no * 60)) / 60.0::DOUBLE AS overlap_h, f.cell IS NOT NULL AS known,
-  coalesce(raining, false) AS wet, (coalesce(storm, false) AND list_contains(unsafe, 'bao')) OR (coalesce(heavy, false) AND list_contains(unsafe, 'mua_lon'))
+  coalesce(raining, false) AS wet, (coalesce(storm, false) AND list_contains(unsafe, 'bao')) OR (coalesce(heavy, false)
+    AND list_contains(unsafe, 'mua_lon'))
   OR (coalesce(rough, false) AND list_contains(unsafe, 'song_lon')) AS hit
   FROM h LEFT JOIN flags f ON f.cell = h.cell AND f.hour = h.day * 24 + h.hour_no),
-per_visit AS (SELECT trip, visit, sum(CASE WHEN wet THEN overlap_h * (1 - indoor_ratio) ELSE 0 END) AS rain_h, max(hit::INT) AS hazard, sum((NOT known)::INT) AS unseen FROM seen GROUP BY ALL)
-SELECT trip, round(sum(rain_h), 3) AS outdoor_rain_hours, sum(hazard)::BIGINT AS hazard_visits, sum(unseen)::BIGINT AS unobserved_hours, count(*) AS visits FROM per_visit GROUP BY trip""")
+per_visit AS (SELECT trip, visit, sum(CASE WHEN wet THEN overlap_h * (1 - indoor_ratio) ELSE 0 END) AS rain_h, max(hit::INT) AS hazard,
+  sum((NOT known)::INT) AS unseen FROM seen GROUP BY ALL)
+SELECT trip, round(sum(rain_h), 3) AS outdoor_rain_hours, sum(hazard)::BIGINT AS hazard_visits, sum(unseen)::BIGINT AS unobserved_hours,
+  count(*) AS visits FROM per_visit GROUP BY trip""")
 def weather_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     spent = weather.visit_hours(visits(spark, sf_dir)).withColumn("hour", F.col("day") * 24 + F.col("hour_no"))
     return weather.weather_outcome(spent, hourly(spark, sf_dir))
 
 
 @query("fill_travel", f"""WITH {SQL_PLACES}, {SQL_VISITS}, legs AS (
-  SELECT trip, visit, place, lat, lon, lag(place) OVER w AS from_place, lag(lat) OVER w AS flat, lag(lon) OVER w AS flon FROM visits WINDOW w AS (PARTITION BY trip ORDER BY start_min, visit)),
+  SELECT trip, visit, place, lat, lon, lag(place) OVER w AS from_place, lag(lat) OVER w AS flat, lag(lon) OVER w AS flon
+    FROM visits WINDOW w AS (PARTITION BY trip ORDER BY start_min, visit)),
 km AS (SELECT *, {_sql_haversine('f', '').replace('fl', 'fl')} / 1000 * 1.3::DOUBLE AS km FROM legs WHERE from_place IS NOT NULL)
 SELECT trip, visit, from_place, place, round(km, 5) AS km, CASE WHEN ceil(km / {geo.SPEED_KMH[geo.DEFAULT_MODE]}::DOUBLE * 60) > 0
   THEN (ceil(km / {geo.SPEED_KMH[geo.DEFAULT_MODE]}::DOUBLE * 60) + {geo.BUFFER_MINUTES})::INT ELSE 0 END AS minutes FROM km""")
@@ -274,7 +288,8 @@ def latest_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("label_agreement", """WITH rule AS (SELECT doc_id, CASE WHEN regexp_matches(text, '!! |[$#%&*]{3}| \\| ') THEN 0.0 ELSE 1.0 END AS auto FROM documents)
-SELECT count(*) FILTER (abs(auto - quality) <= 0.2) AS matched, count(*) AS total, round(count(*) FILTER (abs(auto - quality) <= 0.2) / count(*)::DOUBLE, 5) AS ratio
+SELECT count(*) FILTER (abs(auto - quality) <= 0.2) AS matched, count(*) AS total,
+  round(count(*) FILTER (abs(auto - quality) <= 0.2) / count(*)::DOUBLE, 5) AS ratio
 FROM labels JOIN rule USING (doc_id)""")
 def label_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of manual labels that a text rule meets within 0.2; 0 when there is no label."""

@@ -64,22 +64,27 @@ def labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 _SQL_LABELS = f"""{SQL_PLACES},
-tagged AS (SELECT p.*, p_brand AS brand, CASE size % 7 WHEN 0 THEN 'park' WHEN 1 THEN 'garden' END AS leisure, size % 3 = 0 AS building, size % 11 = 0 AS nature
+tagged AS (SELECT p.*, p_brand AS brand, CASE size % 7 WHEN 0 THEN 'park'
+  WHEN 1 THEN 'garden' END AS leisure, size % 3 = 0 AS building, size % 11 = 0 AS nature
   FROM places p JOIN part ON p_partkey = place),
 category AS (SELECT t.*, coalesce(
     (SELECT ({CATEGORIES})[n_nationkey % 7 + 1] FROM nation WHERE n_nationkey = 20 + size),
     (SELECT ({CATEGORIES})[n_nationkey % 7 + 1] FROM nation WHERE n_nationkey = place % 61),
-    (SELECT arg_min(({CATEGORIES})[(n_nationkey + 3) % 7 + 1], n_nationkey) FROM nation WHERE CASE n_nationkey % 3 WHEN 0 THEN brand = 'Brand#' || n_nationkey
-       WHEN 1 THEN brand = 'Brand#' || n_nationkey AND leisure IS NOT NULL ELSE leisure = 'park' AND building END), 'khac') AS category FROM tagged t),
+    (SELECT arg_min(({CATEGORIES})[(n_nationkey + 3) % 7 + 1], n_nationkey) FROM nation WHERE CASE n_nationkey % 3
+      WHEN 0 THEN brand = 'Brand#' || n_nationkey
+       WHEN 1 THEN brand = 'Brand#' || n_nationkey AND leisure IS NOT NULL ELSE leisure = 'park' AND building END), 'khac') AS category
+         FROM tagged t),
 layered AS (SELECT c.*, 0.1::DOUBLE + 0.2::DOUBLE * r_regionkey AS base, 30 + 15 * r_regionkey AS base_minutes FROM category c
   JOIN region ON r_regionkey = coalesce(list_position({WITH_DEFAULTS}, category), 1) - 1),
-ruled AS (SELECT *, CASE WHEN leisure IS NOT NULL OR nature THEN 0.05 WHEN base >= 0.5 AND building THEN 0.9 ELSE base END::DOUBLE AS ratio FROM layered),
+ruled AS (SELECT *, CASE WHEN leisure IS NOT NULL OR nature THEN 0.05 WHEN base >= 0.5 AND building THEN 0.9 ELSE base END::DOUBLE AS ratio
+  FROM layered),
 entry AS (SELECT {_ENTRY_KEY} AS key, CASE WHEN s_suppkey % 3 <> 0 THEN (s_suppkey % 10) / 10.0::DOUBLE END AS e_ratio,
   CASE WHEN s_suppkey % 3 <> 1 THEN 20 + s_suppkey END AS e_minutes FROM supplier),
 chosen AS (SELECT r.*, coalesce(a.key, b.key) AS key, CASE WHEN a.key IS NOT NULL THEN a.e_ratio ELSE b.e_ratio END AS e_ratio,
     CASE WHEN a.key IS NOT NULL THEN a.e_minutes ELSE b.e_minutes END AS e_minutes
   FROM ruled r LEFT JOIN entry a ON a.key = 'part:' || place LEFT JOIN entry b ON b.key = 'alt:' || (place % 100)),
-labelled AS (SELECT place, lat, lon, size, category, coalesce(e_ratio, ratio) AS indoor_ratio, coalesce(e_minutes, base_minutes)::INT AS visit_minutes,
+labelled AS (SELECT place, lat, lon, size, category, coalesce(e_ratio, ratio) AS indoor_ratio,
+  coalesce(e_minutes, base_minutes)::INT AS visit_minutes,
   CASE WHEN key IS NULL THEN 'default' ELSE 'manual' END AS label_source FROM chosen)"""
 
 
@@ -115,7 +120,8 @@ def override_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("facts_layer", f"""WITH {SQL_PLACES}, fact AS (SELECT c_custkey * 2 AS place, CASE WHEN c_custkey % 4 <> 0 THEN (c_custkey * 1000)::VARCHAR END AS ticket,
   CASE WHEN c_custkey % 3 <> 0 THEN 'Mo-Su 08:00-17:00' END AS opening FROM customer)
-SELECT place, coalesce(opening, 'Mo-Su 09:00-12:00') AS opening_hours_raw, ticket, CASE WHEN fact.place IS NULL THEN 'source' ELSE 'facts' END AS fact_source
+SELECT place, coalesce(opening, 'Mo-Su 09:00-12:00') AS opening_hours_raw, ticket, CASE WHEN fact.place IS NULL THEN 'source'
+  ELSE 'facts' END AS fact_source
 FROM places LEFT JOIN fact USING (place)""")
 def facts_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hours and tickets entered by hand replace those of the source, field by field."""
@@ -131,7 +137,8 @@ def facts_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SQL_INSIDE = """
 ring AS (SELECT c_custkey % 5 AS region, c_custkey AS seq, 16.335::DOUBLE + (c_custkey * 7919 % 2701) / 10000.0::DOUBLE AS lat,
   107.435::DOUBLE + (c_custkey * 104729 % 2901) / 10000.0::DOUBLE AS lon FROM customer),
-edge AS (SELECT region, lat AS lat1, lon AS lon1, coalesce(lead(lat) OVER w, first(lat) OVER f) AS lat2, coalesce(lead(lon) OVER w, first(lon) OVER f) AS lon2 FROM ring
+edge AS (SELECT region, lat AS lat1, lon AS lon1, coalesce(lead(lat) OVER w, first(lat) OVER f) AS lat2,
+  coalesce(lead(lon) OVER w, first(lon) OVER f) AS lon2 FROM ring
   WINDOW w AS (PARTITION BY region ORDER BY seq), f AS (PARTITION BY region ORDER BY seq)),
 inside AS (SELECT place, region FROM places p JOIN edge e ON e.region = place % 5 WHERE (lat1 > lat) <> (lat2 > lat)
   AND lon < lon1 + (lat - lat1) / (lat2 - lat1) * (lon2 - lon1) GROUP BY place, region HAVING count(*) % 2 = 1)"""
@@ -152,11 +159,14 @@ def points_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("quality_metrics", f"""WITH {_SQL_LABELS}, {_SQL_INSIDE},
-links AS (SELECT DISTINCT l_partkey AS place FROM lineitem WHERE l_linenumber % 3 = 1), images AS (SELECT l_partkey AS place, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
+links AS (SELECT DISTINCT l_partkey AS place FROM lineitem WHERE l_linenumber % 3 = 1), images AS (SELECT l_partkey AS place, count(*) AS n
+  FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
 m AS (SELECT 'inside_boundary' AS metric, avg((place IN (SELECT place FROM inside))::INT) AS value, 0.98 AS threshold FROM places
 UNION ALL SELECT 'categorised', avg((category <> 'khac')::INT), 0.9 FROM labelled
-UNION ALL SELECT 'core_with_hours', coalesce(avg((size % 7 <> 0)::INT), 0), 0.05 FROM labelled WHERE category IN ('di_tich', 'bao_tang', 'lang_tam')
-UNION ALL SELECT 'linked_with_image', (SELECT count(*) FROM links JOIN images USING (place)) / greatest((SELECT count(*) FROM links), 1), 0.25
+UNION ALL SELECT 'core_with_hours', coalesce(avg((size % 7 <> 0)::INT), 0), 0.05 FROM labelled
+  WHERE category IN ('di_tich', 'bao_tang', 'lang_tam')
+UNION ALL SELECT 'linked_with_image', (SELECT count(*) FROM links JOIN images USING (place)) / greatest((SELECT count(*)
+  FROM links), 1), 0.25
 UNION ALL SELECT 'manual_labels', count(*), 100 FROM labelled WHERE label_source = 'manual'
 UNION ALL SELECT 'five_images', count(*), NULL FROM images WHERE n >= 5)
 SELECT metric, round(value, 5) AS value, threshold::DOUBLE AS threshold, coalesce(value >= threshold, true) AS passed FROM m""")

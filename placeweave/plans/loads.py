@@ -35,7 +35,8 @@ def map_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("kb_bindings", f"""WITH {SQL_PLACES} SELECT 'Q' || (place // 2) AS qid, arg_min(name, place) AS name, round(arg_min(lat, place), 6) AS lat, round(arg_min(lon, place), 6) AS lon,
-  arg_min('Q' || size || ',Q' || (size + 1), place) AS classes, arg_min(CASE WHEN size % 2 = 0 THEN 'http://i/' || place ELSE '' END, place) AS image
+  arg_min('Q' || size || ',Q' || (size + 1), place) AS classes, arg_min(CASE WHEN size % 2 = 0 THEN 'http://i/' || place
+    ELSE '' END, place) AS image
 FROM places WHERE size % 9 <> 0 GROUP BY 1""")
 def kb_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
     def value(c: F.Column | str, name: str) -> F.Column:
@@ -107,8 +108,10 @@ def image_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("schedule_documents", """SELECT o_orderkey AS trip, o_orderstatus <> 'P' AS valid, CASE WHEN o_orderstatus <> 'P' THEN l_partkey::VARCHAR END AS place_id,
-  CASE WHEN o_orderstatus <> 'P' THEN strftime(l_shipdate, '%Y-%m-%d') END AS day, CASE WHEN o_orderstatus <> 'P' THEN '0' || (l_linenumber % 10) || ':00' END AS arrival
-FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P' UNION ALL SELECT o_orderkey, false, NULL, NULL, NULL FROM orders WHERE o_orderstatus = 'P'""")
+  CASE WHEN o_orderstatus <> 'P' THEN strftime(l_shipdate, '%Y-%m-%d') END AS day, CASE
+    WHEN o_orderstatus <> 'P' THEN '0' || (l_linenumber % 10) || ':00' END AS arrival
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P' UNION ALL SELECT o_orderkey, false, NULL, NULL, NULL
+  FROM orders WHERE o_orderstatus = 'P'""")
 def schedule_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plans as a model writes them: JSON in a fence, or an answer without any."""
     visit = F.struct(F.col("l_partkey").cast("string").alias("place_id"), F.expr("'0' || (l_linenumber % 10) || ':00'").alias("arrival"))
@@ -126,7 +129,8 @@ def schedule_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("forecast_upsert", r"""WITH e AS (SELECT user_id % 16 AS cell, epoch_us(ts) // 3600000000 AS hour, event_id, value, regexp_extract(props, '"k": *(\d+)', 1)::INT AS k, event_type < 'm' AS batch FROM events),
 old AS (SELECT cell, hour, round(sum(value), 3) AS precip_mm, max(k) AS uv_index FROM e WHERE NOT batch GROUP BY ALL),
 new AS (SELECT cell, hour, round(sum(value), 3) AS precip_mm, max(k) FILTER (k >= 50) AS uv_index FROM e WHERE batch GROUP BY ALL)
-SELECT cell, hour, coalesce(new.precip_mm, old.precip_mm) AS precip_mm, coalesce(new.uv_index, old.uv_index) AS uv_index FROM old FULL JOIN new USING (cell, hour)""")
+SELECT cell, hour, coalesce(new.precip_mm, old.precip_mm) AS precip_mm, coalesce(new.uv_index, old.uv_index) AS uv_index FROM old
+  FULL JOIN new USING (cell, hour)""")
 def forecast_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     rows = table(spark, sf_dir, "events").select(
@@ -146,7 +150,8 @@ _BATCHES = 4
 @query("forecast_replay", rf"""
 WITH e AS (
   SELECT user_id AS cell, epoch_us(ts) // 3600000000 AS hour, event_id, round(value, 3) AS precip_mm, event_id // 7 % {_BATCHES} AS batch,
-         CASE WHEN regexp_extract(props, '"k": *(\d+)', 1)::INT >= 30 THEN regexp_extract(props, '"k": *(\d+)', 1)::INT END AS uv_index FROM events),
+         CASE WHEN regexp_extract(props, '"k": *(\d+)', 1)::INT >= 30 THEN regexp_extract(props, '"k": *(\d+)', 1)::INT END AS uv_index
+           FROM events),
 newest AS (SELECT *, row_number() OVER (PARTITION BY cell, hour, batch ORDER BY event_id DESC) AS n FROM e)
 SELECT cell, hour, arg_max(precip_mm, batch) AS precip_mm, arg_max(uv_index, batch) FILTER (uv_index IS NOT NULL) AS uv_index, arg_max(event_id, batch) AS fetched_s
 FROM newest WHERE n = 1 GROUP BY cell, hour""")
@@ -163,7 +168,8 @@ def forecast_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("climate_upsert", """WITH e AS (SELECT user_id AS cell, month(ts)::INT AS month, value, event_type < 'm' AS batch FROM events)
-SELECT cell, month, round(CASE WHEN bool_or(batch) THEN max(value) FILTER (batch) ELSE max(value) END, 5) AS wind_kmh FROM e GROUP BY ALL""")
+SELECT cell, month, round(CASE WHEN bool_or(batch) THEN max(value) FILTER (batch) ELSE max(value) END, 5) AS wind_kmh FROM e
+  GROUP BY ALL""")
 def climate_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").withColumns({"cell": F.col("user_id"), "month": F.month("ts")})
     normals = [rows.filter(side).groupBy("cell", "month").agg(F.max("value").alias("wind_kmh")) for side in ("event_type >= 'm'", "event_type < 'm'")]
@@ -181,12 +187,16 @@ def insert_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SQL_UPSERT = """
 link AS (SELECT 'a:' || p_partkey AS key, p_partkey AS place_id FROM part UNION ALL SELECT 'b:' || p_partkey, p_partkey FROM part),
-batch AS (SELECT s_suppkey AS record, s_name AS name, CASE WHEN s_suppkey % 4 = 0 THEN ['n:' || s_suppkey] ELSE ['a:' || (s_suppkey * 3), 'b:' || (s_suppkey * 5)] END AS ids FROM supplier),
-hit AS (SELECT record, min(place_id) AS place_id, string_agg(DISTINCT place_id::VARCHAR, ',' ORDER BY place_id::VARCHAR) AS matched, count(DISTINCT place_id) AS n
+batch AS (SELECT s_suppkey AS record, s_name AS name, CASE WHEN s_suppkey % 4 = 0 THEN ['n:' || s_suppkey]
+  ELSE ['a:' || (s_suppkey * 3), 'b:' || (s_suppkey * 5)] END AS ids FROM supplier),
+hit AS (SELECT record, min(place_id) AS place_id, string_agg(DISTINCT place_id::VARCHAR, ',' ORDER BY place_id::VARCHAR) AS matched,
+  count(DISTINCT place_id) AS n
   FROM (SELECT record, unnest(ids) AS key FROM batch) JOIN link USING (key) GROUP BY record),
-fresh AS (SELECT record, (SELECT max(p_partkey) FROM part) + row_number() OVER (ORDER BY ('0x' || substr(md5(record::VARCHAR), 1, 7))::BIGINT, record) AS place_id
+fresh AS (SELECT record, (SELECT max(p_partkey)
+  FROM part) + row_number() OVER (ORDER BY ('0x' || substr(md5(record::VARCHAR), 1, 7))::BIGINT, record) AS place_id
   FROM batch WHERE record NOT IN (SELECT record FROM hit)),
-placed AS (SELECT b.*, coalesce(h.place_id, f.place_id) AS place_id FROM batch b LEFT JOIN hit h USING (record) LEFT JOIN fresh f USING (record))"""
+placed AS (SELECT b.*, coalesce(h.place_id, f.place_id) AS place_id FROM batch b LEFT JOIN hit h USING (record)
+  LEFT JOIN fresh f USING (record))"""
 
 
 def _places_load(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -219,7 +229,8 @@ def places_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("image_routes", """WITH s AS (SELECT p_partkey AS place, 0 AS route, 0 AS pos, 'p/' || p_partkey AS image_url FROM part WHERE p_type < 'P'
   UNION ALL SELECT l_partkey, 1, l_linenumber, 'c/' || l_orderkey || '/' || l_linenumber || '/' || l_suppkey FROM lineitem)
-SELECT place, image_url, route, n AS rank FROM (SELECT *, row_number() OVER (PARTITION BY place ORDER BY route, pos, image_url) AS n FROM s) WHERE n <= 30""")
+SELECT place, image_url, route, n AS rank FROM (SELECT *, row_number() OVER (PARTITION BY place ORDER BY route, pos, image_url) AS n FROM s)
+  WHERE n <= 30""")
 def image_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     single = table(spark, sf_dir, "part").filter("p_type < 'P'").select(
         F.col("p_partkey").alias("place"), F.lit(0).alias("pos"), F.concat(F.lit("p/"), "p_partkey").alias("image_url"))

@@ -33,8 +33,10 @@ def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SQL_ALIASES = r"""
 item AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark),
-alias AS (SELECT alias, min(item_id) AS place FROM (SELECT item_id, unnest([w[2], w[1] || ' ' || w[2]]) AS alias FROM item) WHERE alias <> '' GROUP BY 1),
-words AS (SELECT conv_id, turn, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}_]+') AS w FROM conversations WHERE text IS NOT NULL),
+alias AS (SELECT alias, min(item_id) AS place FROM (SELECT item_id, unnest([w[2], w[1] || ' ' || w[2]]) AS alias FROM item)
+  WHERE alias <> '' GROUP BY 1),
+words AS (SELECT conv_id, turn, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}_]+') AS w FROM conversations
+  WHERE text IS NOT NULL),
 one AS (SELECT conv_id, turn, i AS pos, w[i] AS a, w[i + 1] AS b FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM words)),
 hits AS (
   SELECT conv_id, turn, pos, 2 AS n, alias, place FROM one JOIN alias ON alias = a || ' ' || b
@@ -42,9 +44,11 @@ hits AS (
 queue AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY length(alias) DESC, pos, n, place) AS i FROM hits),
 walk AS (
-  SELECT conv_id, turn, 0::BIGINT AS i, []::BIGINT[] AS taken, NULL::BIGINT AS place, NULL::BIGINT AS pos FROM (SELECT DISTINCT conv_id, turn FROM queue)
+  SELECT conv_id, turn, 0::BIGINT AS i, []::BIGINT[] AS taken, NULL::BIGINT AS place, NULL::BIGINT AS pos
+    FROM (SELECT DISTINCT conv_id, turn FROM queue)
   UNION ALL
-  SELECT w.conv_id, w.turn, q.i, CASE WHEN list_has_any(taken, range(q.pos, q.pos + n)) THEN taken ELSE list_concat(taken, range(q.pos, q.pos + n)) END,
+  SELECT w.conv_id, w.turn, q.i, CASE WHEN list_has_any(taken, range(q.pos, q.pos + n)) THEN taken
+    ELSE list_concat(taken, range(q.pos, q.pos + n)) END,
          CASE WHEN list_has_any(taken, range(q.pos, q.pos + n)) THEN NULL ELSE q.place END, q.pos
   FROM walk w JOIN queue q ON q.conv_id = w.conv_id AND q.turn = w.turn AND q.i = w.i + 1),
 named AS (SELECT conv_id, turn, place, min(pos) AS at_word FROM walk WHERE place IS NOT NULL GROUP BY conv_id, turn, place)"""
@@ -70,13 +74,17 @@ told AS (
   SELECT *, CASE WHEN p.d <> '' THEN try_strptime(coalesce(nullif(p.y, ''), '2024') || '-' || lpad(p.m, 2, '0') || '-' || lpad(p.d, 2, '0'), '%Y-%m-%d')::DATE
       WHEN {_sql_has(("hom nay",))} THEN DATE '{TODAY}' WHEN {_sql_has(("ngay mai", "mai"))} THEN DATE '{TODAY}' + 1
       WHEN {_sql_has(("ngay kia", "ngay mot", "mot"))} THEN DATE '{TODAY}' + 2 {_SQL_WEEKDAYS} END AS start,
-    CASE WHEN number IS NOT NULL THEN greatest(least(coalesce(try_cast(number AS BIGINT), 7), 7), 1) ELSE CASE {_SQL_NUMBERS} END END AS days FROM dated)
+    CASE WHEN number IS NOT NULL THEN greatest(least(coalesce(try_cast(number AS BIGINT), 7), 7), 1)
+      ELSE CASE {_SQL_NUMBERS} END END AS days FROM dated)
 SELECT conv_id, turn, CASE WHEN {_sql_has(Q.PLAN)} OR number IS NOT NULL THEN 'plan' WHEN {_sql_has(Q.INFO)} AND named THEN 'info'
-    WHEN {_sql_has(Q.WEATHER)} THEN 'weather' ELSE 'ask' END AS intent, coalesce(start, DATE '{TODAY}' + 1)::DATE AS start, coalesce(days, 1)::INT AS days,
+    WHEN {_sql_has(Q.WEATHER)} THEN 'weather' ELSE 'ask' END AS intent, coalesce(start, DATE '{TODAY}' + 1)::DATE AS start,
+      coalesce(days, 1)::INT AS days,
   CASE WHEN {_sql_has(Q.CAR)} THEN 'car' WHEN {_sql_has(Q.WALKING)} THEN 'walking' ELSE 'motorbike' END AS mode,
-  concat_ws(',', CASE WHEN start IS NULL THEN 'date' END, CASE WHEN days IS NULL THEN 'days' END, CASE WHEN NOT named THEN 'places' END) AS assumed
+  concat_ws(',', CASE WHEN start IS NULL THEN 'date' END, CASE WHEN days IS NULL THEN 'days' END, CASE
+    WHEN NOT named THEN 'places' END) AS assumed
 FROM told""".replace("item AS (", f"""asked AS (
-  SELECT conv_id, turn, coalesce(text || ' ', '') || '. ' || CASE (conv_id + turn) % {len(PHRASES)} {_SQL_PHRASES} END AS text FROM conversations),
+  SELECT conv_id, turn, coalesce(text || ' ', '') || '. ' || CASE (conv_id + turn) % {len(PHRASES)} {_SQL_PHRASES} END AS text
+    FROM conversations),
 item AS (""", 1))
 def request_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intent, date, length and mode of every turn."""

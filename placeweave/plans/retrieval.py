@@ -283,8 +283,10 @@ metrics AS (
 def _sql_hybrid(name: str, lexical: str) -> str:
     return f"""
 {name} AS (SELECT * FROM (
-  SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(1.0::DOUBLE / (60 + rank)), 9) DESC, chunk_id) AS rank
-  FROM (SELECT query_id, chunk_id, rank FROM dense UNION ALL SELECT query_id, chunk_id, rank FROM {lexical}) GROUP BY query_id, chunk_id) WHERE rank <= 10)"""
+  SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id
+    ORDER BY round(sum(1.0::DOUBLE / (60 + rank)), 9) DESC, chunk_id) AS rank
+  FROM (SELECT query_id, chunk_id, rank FROM dense UNION ALL SELECT query_id, chunk_id, rank FROM {lexical}) GROUP BY query_id, chunk_id)
+    WHERE rank <= 10)"""
 
 
 _SQL_EMBED = (f"list_transform(range({EVALUATED_DIM}), lambda i: ('0x' || substr(sha256({{t}} || ':' || i), 1, 8))::BIGINT::DOUBLE / 4294967295.0::DOUBLE * 2.0::DOUBLE - 1.0::DOUBLE)")
@@ -292,7 +294,8 @@ _SQL_DENSE = f"""
 chunk_vectors AS MATERIALIZED (SELECT chunk_id, category, {_SQL_EMBED.format(t="(place_name || ': ' || content)")} AS e FROM corpus),
 query_vectors AS MATERIALIZED (SELECT query_id, category AS wanted, {_SQL_EMBED.format(t="query")} AS e FROM queries),
 dense AS (SELECT query_id, chunk_id, rank FROM (
-  SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(q.e, v.e), 9) DESC, chunk_id) AS rank
+  SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id
+    ORDER BY round(list_cosine_similarity(q.e, v.e), 9) DESC, chunk_id) AS rank
   FROM query_vectors q, chunk_vectors v WHERE wanted IS NULL OR wanted = category) WHERE rank <= {R.HYBRID_DEPTH}),
 {_sql_hybrid("hybrid", "b3")}, {_sql_hybrid("hybrid_fold", "b2")}"""
 
@@ -327,10 +330,13 @@ def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT retriever, scope, metric, round(avg(value), 6) AS mean, count(*)::BIGINT AS n FROM (
   SELECT *, 'all' AS scope FROM metrics UNION ALL SELECT *, type FROM metrics) GROUP BY retriever, scope, metric
 UNION ALL
-SELECT retriever, scope, 'latency_p' || (share * 100)::INT || '_ms', max(latency_ms) FILTER (place = greatest(ceil(share * n), 1)), max(n) FROM (
-  SELECT *, row_number() OVER (PARTITION BY retriever, scope, share ORDER BY latency_ms) AS place, count(*) OVER (PARTITION BY retriever, scope, share) AS n
+SELECT retriever, scope, 'latency_p' || (share * 100)::INT || '_ms', max(latency_ms) FILTER (place = greatest(ceil(share * n), 1)), max(n)
+  FROM (
+  SELECT *, row_number() OVER (PARTITION BY retriever, scope, share ORDER BY latency_ms) AS place,
+    count(*) OVER (PARTITION BY retriever, scope, share) AS n
   FROM (SELECT retriever, unnest(['all', type]) AS scope, length(query) * no / 8.0::DOUBLE AS latency_ms
-        FROM queries, (VALUES {", ".join(f"('{r}', {n})" for n, r in enumerate(RETRIEVERS, 1))}) r(retriever, no) WHERE query_id IN (SELECT query_id FROM judged)),
+        FROM queries, (VALUES {", ".join(f"('{r}', {n})" for n, r in enumerate(RETRIEVERS, 1))}) r(retriever, no)
+          WHERE query_id IN (SELECT query_id FROM judged)),
        (VALUES (0.5::DOUBLE), (0.95::DOUBLE)) s(share)) GROUP BY retriever, scope, share""")
 def retrieval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, metrics, latencies = _evaluated(spark, sf_dir)
@@ -363,7 +369,8 @@ tree{i + 1} AS MATERIALIZED (
            ('0x' || substr(md5('0:' || r || ':' || low || ':' || high), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
     FROM tree{i} WHERE high - low > 1),
   reached AS (
-    SELECT n, r, low, k, u, sum(CASE WHEN drawn = 0 THEN 1.0::DOUBLE ELSE exp(lgamma(drawn + 1) - lgamma(k + 1) - lgamma(drawn - k + 1) + k * ln(p) + (drawn - k) * ln(1 - p)) END)
+    SELECT n, r, low, k, u, sum(CASE WHEN drawn = 0 THEN 1.0::DOUBLE
+      ELSE exp(lgamma(drawn + 1) - lgamma(k + 1) - lgamma(drawn - k + 1) + k * ln(p) + (drawn - k) * ln(1 - p)) END)
              OVER (PARTITION BY n, r, low ORDER BY k) AS cdf
     FROM (SELECT *, unnest(range(0, drawn + 1)) AS k FROM node)),
   split AS (SELECT n, r, low, least(count(*) FILTER (cdf < u), max(k)) AS left_drawn FROM reached GROUP BY n, r, low),
@@ -380,15 +387,18 @@ diffs AS MATERIALIZED (
   FROM metrics o JOIN metrics r ON r.query_id = o.query_id AND r.metric = o.metric AND r.retriever = 'bm25_multi'
   WHERE o.retriever <> 'bm25_multi' AND o.metric IN ('mrr', 'hit@5')),
 units AS MATERIALIZED (
-  SELECT *, row_number() OVER (PARTITION BY other, metric ORDER BY ('0x' || substr(md5(query_id::VARCHAR), 1, 7))::BIGINT, query_id) - 1 AS idx,
+  SELECT *, row_number() OVER (PARTITION BY other, metric
+    ORDER BY ('0x' || substr(md5(query_id::VARCHAR), 1, 7))::BIGINT, query_id) - 1 AS idx,
          count(*) OVER (PARTITION BY other, metric) AS n FROM diffs),
 {_sql_tree()},
 means AS (
-  SELECT other, metric, r, round(sum(diff * drawn) / any_value(u.n), 9) AS mean FROM units u JOIN tree{_LEVELS} d ON d.n = u.n AND d.low = u.idx GROUP BY other, metric, r),
+  SELECT other, metric, r, round(sum(diff * drawn) / any_value(u.n), 9) AS mean FROM units u JOIN tree{_LEVELS} d ON d.n = u.n
+    AND d.low = u.idx GROUP BY other, metric, r),
 ordered AS (SELECT *, row_number() OVER (PARTITION BY other, metric ORDER BY mean) - 1 AS pos FROM means)
 SELECT d.other, d.metric, round(avg(d.diff), 6) AS mean_diff,
        round((SELECT mean FROM ordered o WHERE o.other = d.other AND o.metric = d.metric AND pos = {int(0.025 * _RESAMPLES)}), 6) AS low,
-       round((SELECT mean FROM ordered o WHERE o.other = d.other AND o.metric = d.metric AND pos = {int(0.975 * _RESAMPLES) - 1}), 6) AS high,
+       round((SELECT mean FROM ordered o WHERE o.other = d.other AND o.metric = d.metric
+         AND pos = {int(0.975 * _RESAMPLES) - 1}), 6) AS high,
        count(*)::BIGINT AS n
 FROM diffs d GROUP BY d.other, d.metric""")
 def retrieval_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
