@@ -1,16 +1,18 @@
 """Exact top-k by inner product with one KD-tree per shard.
 
 Vectors become integers, ``floor(256 * x)``. A shard is a bounded number of vectors of one length in a KD-tree: median splits
-on the widest column, a tight bounding box for every node. For a query the best score a box allows is the sum over columns of
-the larger of ``q * low`` and ``q * high``; nodes are taken best bound first and the search of a shard ends when the best bound
-left cannot reach the kth score known so far. That kth score is propagated: queries first search one shard, and carry the
-kth score found there into all the others.
+on the widest column, a tight bounding box for every node. The tree is built once, where its shard is put together, and travels
+with it as arrays. For a query the best score a box allows is the sum over columns of the larger of ``q * low`` and ``q * high``;
+nodes are taken best bound first and the search of a shard ends when the best bound left cannot reach the kth score known so far.
 
-Queries travel in blocks of ``QUERY_BLOCK`` packed into one row, shards are one row each; a block meets each shard once.
+That kth score is propagated: a query first searches one shard, its home. Then it is sent only to groups of shards whose common box
+can reach its kth score; there it raises that score from shard to shard, and shards whose root box cannot reach it are passed over.
+A cell is a group of queries and a group of shards: the queries are held, the shards stream by.
 
 Defined results: a vector that is null, empty or holds a null or non-finite component takes no part, as query or as
 candidate; vectors of different lengths are not compared; equal scores go to the smaller id; a query's own row is skipped, a
-repeat of it with another id is not; rows that repeat an id count once each; scores beyond 64 bits are cut to their ends.
+repeat of it with another id is not; rows that repeat an id count once each, as queries with a list of their own each; scores
+beyond 64 bits are cut to their ends.
 """
 
 from __future__ import annotations
@@ -26,19 +28,26 @@ from pyspark.sql import functions as F
 from placeweave.session import cut_lineage
 
 SHARD_ROWS = 4096
-QUERY_BLOCK = 512
+SHARDS_A_CELL = 4
+QUERIES_A_CELL = 1024
 LEAF = 64
 _EXACT = float(1 << 53)
+_LONG = (-2 ** 63, 2 ** 63 - 1)
+_whole = np.frompyfunc(int, 1, 1)
 
 
 class KDTree:
-    """Nodes in breadth-first order; ``order[begin:end]`` are a node's rows."""
+    """Nodes in breadth-first order; ``rows[begin:end]`` and ``ids[begin:end]`` are a node's vectors, ``child`` its first child or -1."""
 
-    def __init__(self, vectors: np.ndarray) -> None:
-        self.order = np.arange(len(vectors))
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, nodes: np.ndarray, child: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        self.rows, self.ids, self.nodes, self.child, self.low, self.high = rows, ids, nodes, child, low, high
+
+    @classmethod
+    def build(cls, vectors: np.ndarray, ids: np.ndarray) -> KDTree:
+        order = np.arange(len(vectors))
         nodes, low, high, child = [(0, len(vectors))], [], [], []
         for begin, end in nodes:  # grows while it is read
-            rows = self.order[begin:end]
+            rows = order[begin:end]
             box = vectors[rows]
             low.append(box.min(0))
             high.append(box.max(0))
@@ -47,122 +56,158 @@ class KDTree:
                 child.append(-1)
                 continue
             middle = (end - begin) // 2
-            self.order[begin:end] = rows[np.argsort(box[:, wide], kind="stable")]
+            order[begin:end] = rows[np.argsort(box[:, wide], kind="stable")]
             child.append(len(nodes))
             nodes += [(begin, begin + middle), (begin + middle, end)]
-        self.nodes, self.child = nodes, child
-        self.low, self.high = np.array(low), np.array(high)
-        self.rows = vectors[self.order]
+        return cls(vectors[order], ids[order], np.array(nodes, np.int32), np.array(child, np.int32), np.array(low), np.array(high))
+
+    def packed(self) -> dict[str, bytes]:
+        return {name: getattr(self, name).tobytes() for name in _ARRAYS}
+
+    @classmethod
+    def unpacked(cls, row: tuple) -> KDTree:
+        found = {name: np.frombuffer(getattr(row, name), kind) for name, kind in _ARRAYS.items()}
+        n = len(found["ids"])
+        dim = len(found["rows"]) // n
+        shape = {"rows": (n, dim), "nodes": (-1, 2), "low": (-1, dim), "high": (-1, dim)}
+        return cls(**{name: a.reshape(shape[name]) if name in shape else a for name, a in found.items()})
+
+    def exact_for(self, queries: np.ndarray) -> tuple[KDTree, np.ndarray]:
+        """Both as they are where doubles add up exactly, else as Python integers."""
+        largest = max(abs(float(self.low[0].min())), abs(float(self.high[0].max())))
+        if 2 * largest * float(np.abs(queries).max()) * queries.shape[1] < _EXACT:
+            return self, queries
+        return KDTree(_whole(self.rows), self.ids, self.nodes, self.child, _whole(self.low), _whole(self.high)), _whole(queries)
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """Highest inner product of each query with anything in each node's box."""
         return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
 
 
-def _top(tree: KDTree, ids: np.ndarray, query: np.ndarray, own: int, bound: np.ndarray, k: int, floor: float) -> list[tuple]:
-    """Up to k (score, id), best first; nothing below ``floor`` is looked for."""
+_ARRAYS = {"rows": np.float64, "ids": np.int64, "nodes": np.int32, "child": np.int32, "low": np.float64, "high": np.float64}
+
+
+def _top(tree: KDTree, query: np.ndarray, own: int, bound: np.ndarray, best: list[tuple], k: int, floor: float) -> list[tuple]:
+    """The k best (-score, id) of ``best`` and the tree; nothing below ``floor`` is looked for."""
     open_nodes = [(-bound[0], 0)]
-    score, name = np.zeros(0), np.zeros(0, np.int64)
+    if len(best) == k:
+        floor = max(floor, -best[-1][0])
     while open_nodes and -open_nodes[0][0] >= floor:
         node = heappop(open_nodes)[1]
-        child = tree.child[node]
+        child = int(tree.child[node])
         if child >= 0:
             for c in (child, child + 1):
                 if bound[c] >= floor:
                     heappush(open_nodes, (-bound[c], c))
             continue
         begin, end = tree.nodes[node]
-        found, held = tree.rows[begin:end] @ query, ids[tree.order[begin:end]]
-        near = (found >= floor) & (held != own)
-        score, name = np.concatenate([score, found[near]]), np.concatenate([name, held[near]])
-        best = np.lexsort((name, -score))[:k]
-        score, name = score[best], name[best]
-        if len(score) == k:
-            floor = max(floor, score[-1])
-    return list(zip(score, name, strict=True))
-
-
-def _matrix(cells: list) -> np.ndarray:
-    """Rows as float64 where every product sum is exact in it, else as Python integers."""
-    x = np.array(cells, float)
-    if x.size and 2 * np.abs(x).max() ** 2 * x.shape[1] >= _EXACT:
-        return np.array([[int(v) for v in row] for row in cells], object)
-    return x
-
-
-def _search(queries: pd.DataFrame, shard: pd.Series, k: int) -> Iterator[tuple]:
-    vectors, asked = _matrix(list(shard["vectors"])), _matrix(list(queries["v"]))
-    if vectors.dtype != asked.dtype:
-        vectors, asked = vectors.astype(object), asked.astype(object)
-        if any(isinstance(v, float) for v in (vectors.flat[0], asked.flat[0])):
-            vectors, asked = (np.vectorize(int, otypes=[object])(m) for m in (vectors, asked))
-    ids = np.asarray(shard["ids"], np.int64)
-    tree = KDTree(vectors)
-    bounds = tree.bounds(asked)
-    for n, (own, floor) in enumerate(zip(queries["vec_id"], queries["floor"], strict=True)):
-        for score, name in _top(tree, ids, asked[n], own, bounds[n], k, floor):
-            yield own, int(name), int(min(max(score, -2 ** 63), 2 ** 63 - 1))
+        found, held = tree.rows[begin:end] @ query, tree.ids[begin:end]
+        near = np.flatnonzero((found >= floor) & (held != own))
+        best = sorted([*best, *((-int(found[i]), int(held[i])) for i in near)])[:k]
+        if len(best) == k:
+            floor = max(floor, -best[-1][0])
+    return best
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """``vec_id, v``: integer-valued double components of the vectors that take part."""
+    """``row, vec_id, v, dim``: integer-valued double components of the vectors that take part."""
     whole = F.transform("embedding", lambda x: F.floor(F.lit(256.0) * x.cast("double")).cast("double"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double") * 256.0) != float("inf")))
     # floor() gives a long: components beyond its range would wrap, so they keep their double value.
     large = F.exists("embedding", lambda x: F.abs(x.cast("double")) >= float(1 << 54))
     kept = F.when(large, F.transform("embedding", lambda x: x.cast("double") * 256.0)).otherwise(whole)
     return vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)).filter(
-        finite).select("vec_id", kept.alias("v"))
+        finite).select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), kept.alias("v"), F.size("embedding").alias("dim"))
 
 
-def _by_dim(counts: dict[int, int], most: int) -> F.Column:
-    """Number of parts of at most about ``most`` rows for each vector length."""
-    parts = F.lit(1).cast("long")
-    for dim, n in counts.items():
-        parts = F.when(F.col("dim") == dim, F.lit(-(-n // most)).cast("long")).otherwise(parts)
-    return parts
+SHARDS = "dim int, shard long, low_corner array<double>, high_corner array<double>, " + ", ".join(f"{name} binary" for name in _ARRAYS)
 
 
-def nearest(vectors: DataFrame, is_query: F.Column, k: int = 5) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the k highest inner products of every query with all other rows."""
-    rows = cut_lineage(usable(vectors).withColumn("dim", F.size("v")))
-    counts = {r["dim"]: r["n"] for r in rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_shards = _by_dim(counts, SHARD_ROWS)
-    shards = cut_lineage(
-        rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), n_shards).cast("int"))
-        .groupBy("dim", "shard").agg(F.collect_list("vec_id").alias("ids"), F.collect_list("v").alias("vectors")))
-    asked = rows.filter(is_query)
-    asked_counts = {r["dim"]: r["n"] for r in asked.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
-    per_dim_asked = _by_dim(asked_counts, QUERY_BLOCK)
-    blocks = cut_lineage(asked.groupBy("dim", F.pmod(F.xxhash64("vec_id"), per_dim_asked).alias("block")).agg(
-        F.collect_list(F.struct("vec_id", "v")).alias("queries")))
-    home = F.pmod(F.col("block"), n_shards).cast("int")
+def _build(frame: pd.DataFrame) -> pd.DataFrame:
+    tree = KDTree.build(np.stack(frame["v"].to_list()).astype(float), frame["vec_id"].to_numpy(np.int64))
+    first = frame.iloc[0]
+    return pd.DataFrame([{"dim": first["dim"], "shard": first["shard"], "low_corner": tree.low[0], "high_corner": tree.high[0], **tree.packed()}])
+
+
+QUERIES = "row long, vec_id long, v array<double>, floor double, home long"
+
+
+def _cells(queries: DataFrame, shards: DataFrame) -> DataFrame:
+    """Both sides of every cell as rows, its queries before its shards; both have ``cell``."""
+    def nulls(columns: dict[str, str]) -> list[F.Column]:
+        return [F.lit(None).cast(kind).alias(name) for name, kind in columns.items()]
+
+    asked = dict(part.split() for part in QUERIES.split(", "))
+    held = {"shard": "long"} | dict.fromkeys(_ARRAYS, "binary")
+    return queries.select("cell", F.lit(0).alias("side"), *asked, *nulls(held)).unionByName(
+        shards.select("cell", F.lit(1).alias("side"), *nulls(asked), *held)).repartition("cell").sortWithinPartitions("cell", "side", "row", "shard")
+
+
+def _search(cells: DataFrame, k: int) -> DataFrame:
+    """``row, query_id, vec_id, score``: the k best of every query in every cell, at least those that reach its floor."""
+    def told(asked: list[tuple], best: list[list[tuple]]) -> pd.DataFrame:
+        out = [(row, own, name, min(max(-score, _LONG[0]), _LONG[1])) for (row, own, *_), found in zip(asked, best, strict=True) for score, name in found]
+        return pd.DataFrame(out, columns=["row", "query_id", "vec_id", "score"]).astype("int64")
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cell, asked, best, matrix = None, [], [], None
         for frame in frames:
-            for row in frame.to_dict("records"):
-                queries = pd.DataFrame([q if isinstance(q, dict) else q.asDict() for q in row["queries"]])
-                floors = row.get("floors")
-                queries["floor"] = [-np.inf] * len(queries) if floors is None else [
-                    floors.get(q, -np.inf) for q in queries["vec_id"]]
-                yield pd.DataFrame(list(_search(queries, row, k)), columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    found = "query_id long, vec_id long, score long"
-    pieces = ("dim", "block", "queries", "ids", "vectors")
-    first = cut_lineage(blocks.withColumn("shard", home).join(shards, ["dim", "shard"]).select(*pieces).mapInPandas(search, found))
-    # The kth score of the first shard, where it held k: no lower score can enter the result.
-    kth = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").cast("double").alias("floor")).filter(F.col("n") >= k)
-    floors = blocks.select("dim", "block", F.explode("queries.vec_id").alias("query_id")).join(kth, "query_id").groupBy("dim", "block").agg(
-        F.collect_list(F.struct("query_id", "floor")).alias("kths"))
-    rest = blocks.join(floors, ["dim", "block"], "left").withColumn("home", home).withColumn(
-        "shard", F.explode(F.sequence(F.lit(0), (n_shards - 1).cast("int")))).filter("shard <> home")
-
-    def search_rest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            frame["floors"] = [{x["query_id"]: x["floor"] for x in (kths if kths is not None else [])} for kths in frame["kths"]]
-            yield from search(iter([frame]))
+            for part in frame.itertuples(index=False):
+                if part.cell != cell:
+                    yield told(asked, best)
+                    cell, asked, best, matrix = part.cell, [], [], None
+                if part.side == 0:
+                    floor = -np.inf if pd.isna(part.floor) else float(part.floor)
+                    asked.append((int(part.row), int(part.vec_id), floor, -1 if pd.isna(part.home) else int(part.home), np.asarray(part.v, float)))
+                    best.append([])
+                    continue
+                if not asked:
+                    continue
+                if matrix is None:
+                    matrix = np.stack([q[-1] for q in asked])
+                tree, queries = KDTree.unpacked(part).exact_for(matrix)
+                bounds = tree.bounds(queries)
+                for n, (_, own, floor, home, _) in enumerate(asked):
+                    if home != part.shard:
+                        best[n] = _top(tree, queries[n], own, bounds[n], best[n], k, floor)
+        yield told(asked, best)
+
+    return cells.mapInPandas(search, "row long, query_id long, vec_id long, score long")
+
+
+def _highest(low: str, high: str) -> F.Column:
+    """Highest inner product of ``v`` with anything in a box."""
+    each = F.zip_with(F.col("v"), F.arrays_zip(F.col(low).alias("l"), F.col(high).alias("h")), lambda x, box: F.greatest(x * box["l"], x * box["h"]))
+    return F.aggregate(each, F.lit(0.0), lambda total, x: total + x)
+
 
-    others = rest.join(shards, ["dim", "shard"]).select(*pieces, "kths").mapInPandas(search_rest, found)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+def nearest(vectors: DataFrame, is_query: F.Column, k: int = 5) -> DataFrame:
+    """``query_id, rank, vec_id, score``: the k highest inner products of every query with all other rows."""
+    rows = cut_lineage(usable(vectors).withColumn("asked", F.coalesce(is_query, F.lit(False))))
+    sizes = cut_lineage(rows.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / SHARD_ROWS).alias("shards"), F.count_if("asked").alias("askers")))
+    placed = rows.join(F.broadcast(sizes), "dim")  # one row a vector length
+    shards = cut_lineage(placed.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.col("shards"))).groupBy("dim", "shard").applyInPandas(_build, SHARDS))
+    asked = placed.filter("asked").select("row", "vec_id", "v", "dim", "shards", "askers", F.pmod(F.xxhash64("row"), F.col("shards")).alias("home"))
+
+    def cell(*parts: str) -> F.Column:
+        return F.concat_ws(":", *[F.col(p).cast("string") for p in parts]).alias("cell")
+
+    at_home = asked.select("row", "vec_id", "v", F.lit(None).cast("double").alias("floor"), F.lit(None).cast("long").alias("home"), cell("dim", "home"))
+    first = cut_lineage(_search(_cells(at_home, shards.withColumn("cell", cell("dim", "shard"))), k))
+    # The kth score at home, where there are k: no lower score can enter the result.
+    kth = first.groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.min("score").cast("double").alias("floor")).filter(F.col("n") >= k)
+    grouped = shards.withColumn("s", F.floor(F.col("shard") / SHARDS_A_CELL))
+    boxes = cut_lineage(grouped.select("dim", "s", F.posexplode(F.arrays_zip("low_corner", "high_corner")).alias("d", "c")).groupBy("dim", "s", "d").agg(
+        F.min("c.low_corner").alias("l"), F.max("c.high_corner").alias("h")).groupBy("dim", "s").agg(
+        F.array_sort(F.collect_list(F.struct("d", "l", "h"))).alias("b")).select("dim", "s", F.col("b.l").alias("low"), F.col("b.h").alias("high")))
+    groups = F.ceil(F.col("shards") / SHARDS_A_CELL)
+    far = asked.join(kth.select("row", "floor"), "row", "left").withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), groups - 1)))
+    # The bound is summed in doubles: a share of it makes up for their rounding.
+    bound = _highest("low", "high")
+    reach = F.col("floor").isNull() | (bound + F.abs(bound) * 1e-9 + 1e-6 >= F.col("floor")) | F.isnan(bound)
+    sent = far.join(boxes, ["dim", "s"]).filter(reach).withColumn("a", F.pmod(F.xxhash64("row", F.lit(1)), F.ceil(F.col("askers") / QUERIES_A_CELL)))
+    held = grouped.join(F.broadcast(sizes), "dim").filter("askers > 0").withColumn("a", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("askers") / QUERIES_A_CELL) - 1)))
+    others = _search(_cells(sent.select("row", "vec_id", "v", "floor", "home", cell("dim", "a", "s")), held.withColumn("cell", cell("dim", "a", "s"))), k)
+    best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return first.unionByName(others).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")
