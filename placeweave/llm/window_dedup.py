@@ -8,7 +8,8 @@
 2. Exact pass. Only windows estimated repeated are grouped, by 96 bits of two independent hashes of their word sequence (10^12 such
    windows meet falsely with a chance of 10^-5). A
    partition first counts its own, chunk by chunk, and sends one row per chunk and window, so a passage that fills a third
-   of the corpus meets in few rows.
+   of the corpus meets in few rows. Further places of a window in its chunk are settled there: they travel as runs of
+   consecutive starts, one row a run.
 3. Removal. Starts of repeated windows go back to their document, whose kept words are joined and hashed.
 
 The sketch's width follows the input's bytes up to ``MOST_CELLS``, a fixed bound of 128 MB for what is sent to tasks; beyond
@@ -134,14 +135,15 @@ def _sketch_rows(cells: np.ndarray, times: np.ndarray, row: int, part: int, bits
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """``doc_id, mark, start`` of every window whose words also start elsewhere; ``mark`` tells texts of one id apart."""
+    """``doc_id, mark, start, run`` of all windows whose words also start elsewhere: ``run`` of them begin at ``start`` and the words after
+    it; ``mark`` tells texts of one id apart."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = _bits_for(size)
     sketch = docs.sparkSession.sparkContext.broadcast(repeated_cells(docs, bits))
     # What differs from row to row stands together, what repeats (n, id, mark) surrounds it: such rows compress best.
-    names = ["doc_id", "mark", "h1", "h2", "start", "n"]
+    names = ["doc_id", "mark", "h1", "h2", "start", "run", "n"]
     schema = docs.select("doc_id").schema
-    for name, kind in zip(names[1:], ("long", "long", "integer", "integer", "integer"), strict=True):
+    for name, kind in zip(names[1:], ("long", "long", "integer", "integer", "integer", "integer"), strict=True):
         schema = schema.add(name, kind)
 
     def estimated(anchor: np.ndarray) -> np.ndarray:
@@ -156,7 +158,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
 
         def send() -> Iterator[pa.RecordBatch]:
             ids = pa.chunked_array([x[0] for x in held]).combine_chunks()
-            mark, start, h1, h2 = (np.concatenate([x[i] for x in held]) for i in range(1, 5))
+            mark, start, h1, h2, doc = (np.concatenate([x[i] for x in held]) for i in range(1, 6))
             held.clear()
             order = np.lexsort((h2, h1))
             a, b = h1[order], h2[order]
@@ -165,17 +167,22 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
             n[order[heads]] = np.minimum(np.diff(np.r_[heads, len(order)]), 2)
             known = np.ones(len(order), bool)
             known[order[heads]] = False
-            # Further places in this chunk are settled: they travel under keys of their own, not under the shared one.
-            # Rows that share such a key are all settled, so it need not be unique.
+            # Further places in this chunk are settled: they travel under keys of their own, not under the shared one, and those
+            # that follow each other in a text as one row. Rows that share such a key are all settled, so it need not be unique.
             h1[known] = mark[known].view(np.uint64)
             h2[known] = start[known].view(np.uint32)
+            goes_on = np.r_[False, known[1:] & known[:-1] & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1] + 1)]
+            kept = np.flatnonzero(~goes_on)
+            run = np.diff(np.r_[kept, len(order)]).astype(np.int32)
+            ids, mark, start, h1, h2, n = ids.take(pa.array(kept)), mark[kept], start[kept], h1[kept], h2[kept], n[kept]
             step = 1 << 17
-            for p in range(0, len(order), step):
+            for p in range(0, len(kept), step):
                 s = slice(p, p + step)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(p, step), pa.array(mark[s]), pa.array(h1[s].view(np.int64)),
-                     pa.array(h2[s].view(np.int32)), pa.array(start[s]), pa.array(n[s])], names=names)
+                    [ids.slice(p, step), pa.array(mark[s]), pa.array(h1[s].view(np.int64)), pa.array(h2[s].view(np.int32)),
+                     pa.array(start[s]), pa.array(run[s]), pa.array(n[s])], names=names)
 
+        texts = 0
         for batch in batches:
             marks = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
             for row, data, at in W.slices(batch.column(1)):
@@ -191,15 +198,17 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
                 doc = found.doc[starts]
                 held.append((batch.column(0).take(pa.array(row + doc)), marks[row + doc],
                              (starts - found.first[doc]).astype(np.int32), W.windows(h, WINDOW)[starts],
-                             (W.windows(W.mix(h ^ _OTHER_BASE), WINDOW, _OTHER_BASE)[starts] >> np.uint64(32)).astype(np.uint32)))
+                             (W.windows(W.mix(h ^ _OTHER_BASE), WINDOW, _OTHER_BASE)[starts] >> np.uint64(32)).astype(np.uint32),
+                             texts + row + doc))
                 if sum(len(x[1]) for x in held) >= CHUNK_WINDOWS:
                     yield from send()
+            texts += batch.num_rows
         if held:
             yield from send()
 
     sent = docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(candidates, schema)
     places = F.sum("n").over(Window.partitionBy("h1", "h2"))
-    return sent.withColumn("places", places).filter("places > 1").select("doc_id", "mark", "start")
+    return sent.withColumn("places", places).filter("places > 1").select("doc_id", "mark", "start", "run")
 
 
 def remove_repeated(docs: DataFrame) -> DataFrame:
@@ -209,7 +218,7 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
 
 def kept_texts(docs: DataFrame) -> DataFrame:
     own = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
-    starts = cut_lineage(repeated_windows(docs).groupBy("doc_id", "mark").agg(F.collect_set("start").alias("starts")))
+    starts = cut_lineage(repeated_windows(docs).groupBy("doc_id", "mark").agg(F.collect_set(F.struct("start", "run")).alias("starts")))
     told = starts.select(F.col("doc_id").alias("of_id"), F.col("mark").alias("of_mark"), "starts")
     both = own.join(told, F.col("mark").eqNullSafe(F.col("of_mark")) & F.col("doc_id").eqNullSafe(F.col("of_id")), "left")
     schema = docs.select("doc_id").schema.add("n_words", "long").add("n_removed", "long").add("kept_text", T.BinaryType())
@@ -221,10 +230,11 @@ def kept_texts(docs: DataFrame) -> DataFrame:
                 found = W.split(data, at)
                 own = starts.slice(row, len(at) - 1)
                 size = own.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                begin = own.flatten().to_numpy(zero_copy_only=False) + np.repeat(found.first[:-1], size)
+                begin, run = (column.to_numpy(zero_copy_only=False).astype(np.int64) for column in own.flatten().flatten())
+                begin = begin + np.repeat(found.first[:-1], size)
                 cover = np.zeros(len(found.start) + WINDOW + 1, np.int64)
                 np.add.at(cover, begin, 1)
-                np.add.at(cover, begin + WINDOW, -1)
+                np.add.at(cover, begin + run - 1 + WINDOW, -1)
                 gone = np.cumsum(cover)[:len(found.start)] > 0
                 stay = np.flatnonzero(~gone)
                 length = found.end[stay] - found.start[stay]
