@@ -36,7 +36,7 @@ from placeweave.session import cut_lineage
 SHARD_ROWS = 4096
 SHARDS_A_CELL = 4
 ANCHORS_A_CELL = 1024
-STEP = 8
+STEP = 16
 _EXACT = float(1 << 53)
 _LONG = (-2 ** 63, 2 ** 63 - 1)
 
@@ -114,14 +114,20 @@ def _within(anchor: np.ndarray, shard: Shard, alive: np.ndarray, windows: list[t
     """Into each window's ``best`` what the shard has of its highest scores."""
     floors = [low if b.floor is None else max(low, b.floor) for (low, _), b in zip(windows, best, strict=True)]
 
+    least, most = min(floors), max(high for _, high in windows)
+
     def keep(lower: np.ndarray, upper: np.ndarray) -> np.ndarray:
-        stays = np.zeros(len(lower), bool)
+        stays = (upper >= least) & (lower <= most)
+        at = np.flatnonzero(stays)
+        lower, upper = lower[at], upper[at]
+        fits = np.zeros(len(at), bool)
         for (low, high), floor, b in zip(windows, floors, best, strict=True):
             possible = (upper >= floor) & (lower <= high)
-            sure = possible & (lower >= low) & (upper <= high)
+            sure = (lower >= low) & (upper <= high)
             if np.count_nonzero(sure) > b.k:
                 possible &= upper >= _kth(lower[sure], b.k)
-            stays |= possible
+            fits |= possible
+        stays[at] = fits
         return stays
 
     rows, scores = bond(anchor, shard, alive, keep)
