@@ -189,18 +189,21 @@ def _bucket_forests(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b = (np.concatenate(x).view(np.int64) for x in zip(*found, strict=True))
         return pd.DataFrame({"a": a, "b": b})
 
-    key, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []  # parts of the open bucket, put together once it ends
     for frame in frames:
-        key = np.concatenate([key, frame["bucket"].to_numpy(np.int64)])
-        fp = np.concatenate([fp, frame["fp"].to_numpy(np.int64).view(np.uint64)])
+        key, fp = frame["bucket"].to_numpy(np.int64), frame["fp"].to_numpy(np.int64).view(np.uint64)
         if not len(key):
             continue
+        if held and key[0] != held[0][0][0]:
+            yield solve(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held = []
         open_from = int(np.searchsorted(key, key[-1], "left"))
         if open_from:
-            yield solve(key[:open_from], fp[:open_from])
-            key, fp = key[open_from:], fp[open_from:]
-    if len(key):
-        yield solve(key, fp)
+            yield solve(*(np.concatenate(x) for x in zip(*held, (key[:open_from], fp[:open_from]), strict=True)))
+            held = []
+        held.append((key[open_from:], fp[open_from:]))
+    if held:
+        yield solve(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
 def near_links(distinct: DataFrame) -> DataFrame:
