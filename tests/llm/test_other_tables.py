@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -125,6 +126,17 @@ def test_a_seed_in_a_host_weighs_what_its_texts_say(spark):
     assert {i // 100: v for i, v in got.items()} == {0: "allow", 1: "block", 2: "allow", 3: "allow", 4: "allow"}
 
 
+def test_which_texts_speak_of_seeds(spark):
+    htmls = ["<p>a Casino here</p>", "<p class='casino'>none here</p>", "casinos and scasino", "<p></p><br>", "", None, "12 <b>34</b>", "<unclosed casino", "<a><casino", "x > casino < y", "<p>\nspam\n</p>"]
+    frame = spark.createDataFrame(list(enumerate(htmls)), "page_id int, html string")
+    got = {r.page_id: r.s for r in frame.select("page_id", host_words._speaks_of_seeds().alias("s")).collect()}
+    want = {}
+    for i, html in enumerate(htmls):
+        words = set(re.split("[^a-z]+", re.sub("(?s)<[^>]*>", " ", (html or "").lower()))) - {""}
+        want[i] = bool(words & host_words.SEEDS) if words else None
+    assert got == want
+
+
 def brute_verdict(rows):
     """Bayes over tokens split here and now, for hosts of plain words between hyphens."""
     pages = []
@@ -207,12 +219,31 @@ def test_kd_search_equals_brute_force(spark, monkeypatch):
                                                            (2200, []), (2250, [1.0, 2.0]), (2300, [1.0, 2.0]), (None, [1.0] * 6), (2350, [7.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("v", F.lit(1)).withColumn("shard", F.lit(1))
     monkeypatch.setattr(kd_search, "SHARD_ROWS", 128)
-    monkeypatch.setattr(kd_search, "QUERY_BLOCK", 8)
+    monkeypatch.setattr(kd_search, "QUERIES_A_CELL", 8)
+    monkeypatch.setattr(kd_search, "SHARDS_A_CELL", 2)
     got = kd_search.nearest(frame, F.col("vec_id") % 50 == 0).collect()
     assert by_row((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == brute_top(rows, 50)
     assert kd_search.nearest(frame.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_queries_that_repeat_an_id_keep_their_own_lists(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(300)] + [(50, rng.normal(size=4).tolist()), (50, [9.0] * 4), (50, [-9.0] * 4)]
+    got = kd_search.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), F.col("vec_id") % 50 == 0).collect()
+    assert by_row(tuple(r) for r in got) == brute_top(rows, 50)
+
+
+def test_a_packed_tree_is_the_same_tree():
+    rng = np.random.default_rng(3)
+    built = kd_search.KDTree.build(rng.integers(-99, 99, (500, 7)).astype(float), np.arange(500))
+    row = SimpleNamespace(**built.packed())
+    again = kd_search.KDTree.unpacked(row)
+    for name in kd_search._ARRAYS:
+        assert (getattr(built, name) == getattr(again, name)).all() and getattr(built, name).shape == getattr(again, name).shape
+    for (begin, end), low, high in zip(built.nodes, built.low, built.high):
+        assert (built.rows[begin:end].min(0) == low).all() and (built.rows[begin:end].max(0) == high).all()
+
+
 def test_large_components_stay_exact(spark):
     rows = [(i, [float(2 ** 22 + i), -3.0]) for i in range(0, 100, 10)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
