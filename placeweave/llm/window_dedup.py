@@ -10,7 +10,8 @@
    partition first counts its own, chunk by chunk, and sends one row per chunk and window, so a passage that fills a third
    of the corpus meets in few rows. Further places of a window in its chunk are settled there: they travel as runs of
    consecutive starts, one row a run.
-3. Removal. Starts of repeated windows go back to their document, whose kept words are joined and hashed.
+3. Removal. Starts of repeated windows go back to their document as intervals of covered words; the kept words are joined and
+   hashed.
 
 The sketch's width follows the input's bytes up to ``MOST_CELLS``, a fixed bound of 128 MB for what is sent to tasks; beyond
 it more windows pass the prefilter and the result stays the same.
@@ -216,25 +217,50 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
     return kept_texts(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words that windows starting at ``starts`` and in ``runs`` cover, as intervals that neither overlap nor touch."""
+    for batch in batches:
+        rows, begins, ends = [], [], []
+        for column, has_run in ((batch.column(2), False), (batch.column(3), True)):
+            rows.append(np.repeat(np.arange(batch.num_rows), column.value_lengths().to_numpy(zero_copy_only=False)))
+            values = column.flatten()
+            start, run = values.flatten() if has_run else (values, None)
+            begins.append(start.to_numpy(zero_copy_only=False).astype(np.int64))
+            ends.append(begins[-1] + WINDOW + (run.to_numpy(zero_copy_only=False) - 1 if has_run else 0))
+        row, begin, end = (np.concatenate(x) for x in (rows, begins, ends))
+        order = np.lexsort((begin, row))
+        apart = np.int64(1) << 32  # rows lie this far apart on one line
+        begin, end = begin[order] + row[order] * apart, end[order] + row[order] * apart
+        reach = np.maximum.accumulate(end)
+        heads = np.flatnonzero(np.r_[True, begin[1:] > reach[:-1]][:len(begin)])
+        last = np.r_[heads[1:], len(begin)] - 1
+        where = row[order][heads]
+        pairs = pa.StructArray.from_arrays([pa.array((begin[heads] - where * apart).astype(np.int32)), pa.array((reach[last] - where * apart).astype(np.int32))],
+                                           names=["begin", "end"])
+        offsets = np.searchsorted(where, np.arange(batch.num_rows + 1)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, pairs)], names=["doc_id", "mark", "covered"])
+
+
 def kept_texts(docs: DataFrame) -> DataFrame:
     own = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
-    starts = cut_lineage(repeated_windows(docs).groupBy("doc_id", "mark").agg(F.collect_set(F.struct("start", "run")).alias("starts")))
-    told = starts.select(F.col("doc_id").alias("of_id"), F.col("mark").alias("of_mark"), "starts")
+    single, several = F.when(F.col("run") == 1, F.col("start")), F.when(F.col("run") > 1, F.struct("start", "run"))
+    starts = repeated_windows(docs).groupBy("doc_id", "mark").agg(F.collect_set(single).alias("starts"), F.collect_list(several).alias("runs"))
+    schema = docs.select("doc_id").schema.add("mark", "long").add("covered", T.ArrayType(T.StructType().add("begin", "integer").add("end", "integer")))
+    told = cut_lineage(starts.mapInArrow(_covered, schema)).withColumnsRenamed({"doc_id": "of_id", "mark": "of_mark"})
     both = own.join(told, F.col("mark").eqNullSafe(F.col("of_mark")) & F.col("doc_id").eqNullSafe(F.col("of_id")), "left")
     schema = docs.select("doc_id").schema.add("n_words", "long").add("n_removed", "long").add("kept_text", T.BinaryType())
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            starts, n_words, n_removed, kept = batch.column(2), [], [], []
+            covered, n_words, n_removed, kept = batch.column(2), [], [], []
             for row, data, at in W.slices(batch.column(1)):
                 found = W.split(data, at)
-                own = starts.slice(row, len(at) - 1)
+                own = covered.slice(row, len(at) - 1)
                 size = own.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                begin, run = (column.to_numpy(zero_copy_only=False).astype(np.int64) for column in own.flatten().flatten())
-                begin = begin + np.repeat(found.first[:-1], size)
-                cover = np.zeros(len(found.start) + WINDOW + 1, np.int64)
+                begin, end = (column.to_numpy(zero_copy_only=False) + np.repeat(found.first[:-1], size) for column in own.flatten().flatten())
+                cover = np.zeros(len(found.start) + 1, np.int64)
                 np.add.at(cover, begin, 1)
-                np.add.at(cover, begin + run - 1 + WINDOW, -1)
+                np.add.at(cover, end, -1)
                 gone = np.cumsum(cover)[:len(found.start)] > 0
                 stay = np.flatnonzero(~gone)
                 length = found.end[stay] - found.start[stay]
@@ -250,4 +276,4 @@ def kept_texts(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
                                               pa.array(kept, pa.binary())], names=schema.names)
 
-    return both.select("doc_id", "text", "starts").mapInArrow(remove, schema)
+    return both.select("doc_id", "text", "covered").mapInArrow(remove, schema)
