@@ -9,8 +9,9 @@ How it stays distributed and bounded:
 * A group with at least ``1 / HEAVY`` of all bytes, tokens or rows is an item of its own; there are at most 3 * HEAVY of
   them. The other groups are dealt by the hash of their text to ``PARCELS`` parcels, each one item. So the packed list has
   a fixed bound, whatever the input; groups of one text stay together.
-* Groups above ``1 / SALTED`` are numbered in ``SALT`` pieces by hashed id, so no task holds one group; a group above half a
-  shard could not be balanced whole and its pieces are packed one by one.
+* Groups that are items of their own are numbered in pieces by hashed id, as many as parcels of their share would be and ``SALT`` at
+  most from ``1 / SALTED`` on, so a task numbers about a parcel; a group above half a shard could not be balanced whole and its
+  pieces are packed one by one.
 * Slots: an item's offset in its shard is known from the packing; inside an item (or piece) rows are numbered by id.
 
 Defined results: null text takes no bytes and no tokens, is grouped with the empty text and has that text's checksum; rows
@@ -66,18 +67,19 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     total = groups.agg(*(F.sum(c).alias(c) for c in ("size", "tokens", "n"))).first()
     share = F.greatest(*(F.col(c) / F.lit(max(total[c] or 0, 1)) for c in ("size", "tokens", "n")))
     # At most 3 * HEAVY rows: each holds 1 / HEAVY of one of three totals.
+    cuts = F.when(F.col("share") >= 1 / SALTED, SALT).otherwise(F.ceil(F.col("share") * PARCELS)).cast("int")
     heavy = groups.withColumn("share", share).filter(F.col("share") >= 1 / HEAVY).select(
-        "digest", F.when(F.col("share") >= 1 / SALTED, F.when(F.col("share") > 0.5 / shards, 2).otherwise(1)).otherwise(0).alias("kind"))
+        "digest", F.when(F.col("share") > 0.5 / shards, 2).otherwise(1).alias("kind"), cuts.alias("cuts"))
     parcel = F.pmod(F.xxhash64("digest"), F.lit(PARCELS)).cast("string")
     unit = F.when(F.col("kind").isNull(), parcel).otherwise(F.hex("digest"))
-    part = F.when(F.col("kind") > 0, F.col("salt")).otherwise(F.lit(0))
+    part = F.when(F.col("kind").isNotNull(), F.pmod(F.col("salt"), F.col("cuts"))).otherwise(F.lit(0))
     known = cut_lineage(heavy)
 
     def named(df: DataFrame) -> DataFrame:
         return df.join(F.broadcast(known), "digest", "left").withColumns({"unit": unit, "part": part})
 
-    # At most PARCELS + 3 * HEAVY + 3 * SALTED * SALT rows.
-    items = named(pieces).groupBy("unit", "part").agg(F.first("kind").alias("kind"), *sums).orderBy("unit", "part").collect()
+    # At most 4 * PARCELS + 3 * HEAVY + 3 * SALTED * SALT rows.
+    items = named(pieces).groupBy("unit", "part").agg(F.max("kind").alias("kind"), *sums).orderBy("unit", "part").collect()
     places: dict[tuple, list[int]] = {}
     for k, item in enumerate(items):
         places.setdefault((item["unit"], item["part"] if item["kind"] == 2 else None), []).append(k)
