@@ -110,6 +110,36 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _WHOLE = "list_transform(embedding, lambda x: floor(256 * x::DOUBLE))"
 _TAKES_PART = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0 AND len(embedding) > 0"
 
+#: Windows as strings of 35 words; words hold no space, so equal strings are equal windows.
+_SQL_WINDOWS = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS said FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM docs)),
+repeated AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY said) AS n FROM windows) WHERE n > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM repeated),
+kept AS (
+  SELECT r, string_agg(x, ' ' ORDER BY p) AS said FROM (SELECT r, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM docs) ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(said, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r) LEFT JOIN (SELECT r, count(*) AS n FROM gone GROUP BY r) USING (r)"""
+
+#: Lengths of the formatted turns; an example has all turns up to its reply, and one more example all turns when the last is no reply.
+_SQL_CHAT = r"""
+WITH asked AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos, count(*) OVER (PARTITION BY conv_id) AS n
+  FROM asked),
+sized AS (
+  SELECT *, sum(12 + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n|')) + 1 + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + 11)
+              OVER (PARTITION BY conv_id ORDER BY pos) AS chars
+  FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       coalesce(sum(chars) FILTER (role = 'assistant' OR pos = n), 0)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id"""
+
 #: Equal payloads by their bytes, the smallest page first.
 _SQL_PACKAGES = """
 WITH payloads AS (
@@ -181,4 +211,4 @@ SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_scor
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_kd_search": _SQL_SEARCH, "op11_zip_warc": _SQL_PACKAGES, "op12_prefix_trie": _SQL_TRIE, "op13_bond_negatives": _SQL_NEGATIVES}
+    return {"op2_window_dedup": _SQL_WINDOWS, "op3_chat_examples": _SQL_CHAT, "op6_kd_search": _SQL_SEARCH, "op11_zip_warc": _SQL_PACKAGES, "op12_prefix_trie": _SQL_TRIE, "op13_bond_negatives": _SQL_NEGATIVES}
