@@ -43,7 +43,7 @@ LEAST_BITS = 20
 MOST_CELLS = 1 << 29
 BYTES_PER_WORD = 6
 CELLS_PER_ANCHOR = 4
-CHUNK_WINDOWS = 1 << 20
+CHUNK_WINDOWS = 3 << 18
 MERGED_AT_ONCE = 256
 _OTHER_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -161,9 +161,13 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
             ids = pa.chunked_array([x[0] for x in held]).combine_chunks()
             mark, start, h1, h2, doc = (np.concatenate([x[i] for x in held]) for i in range(1, 6))
             held.clear()
-            order = np.lexsort((h2, h1))
-            a, b = h1[order], h2[order]
-            heads = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+            order = np.lexsort((h2, h1)).astype(np.int32)
+            new = np.ones(len(order), bool)
+            new[1:] = False
+            for h in (h1, h2):  # one sorted copy at a time
+                own = h[order]
+                new[1:] |= own[1:] != own[:-1]
+            heads = np.flatnonzero(new)
             n = np.full(len(order), 2, np.int32)
             n[order[heads]] = np.minimum(np.diff(np.r_[heads, len(order)]), 2)
             known = np.ones(len(order), bool)
@@ -200,7 +204,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
                 held.append((batch.column(0).take(pa.array(row + doc)), marks[row + doc],
                              (starts - found.first[doc]).astype(np.int32), W.windows(h, WINDOW)[starts],
                              (W.windows(W.mix(h ^ _OTHER_BASE), WINDOW, _OTHER_BASE)[starts] >> np.uint64(32)).astype(np.uint32),
-                             texts + row + doc))
+                             (texts + row + doc).astype(np.int32)))
                 if sum(len(x[1]) for x in held) >= CHUNK_WINDOWS:
                     yield from send()
             texts += batch.num_rows
