@@ -80,7 +80,8 @@ def build_index(words: DataFrame, analyzer: str, asked: DataFrame, k1: float = B
     ``BLOCK_CHUNKS`` chunks, whatever a word's frequency."""
     terms = X.terms_of(F.col("plain"), F.col("folded"), analyzer)
     vocabulary = stored(asked.select("term").distinct().select("term", F.monotonically_increasing_id().alias("word")))
-    counts = cut_lineage(words.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(terms)).alias("length")))  # one row a category
+    # One row a category; written, so that Spark knows its size when it plans the join.
+    counts = stored(words.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(terms)).alias("length")))
     totals = counts.agg(F.sum("n").alias("n"), F.sum("length").alias("length")).first()
     size = totals["n"] or 0
     average = F.lit((totals["length"] or 0) / size if size else 0.0)

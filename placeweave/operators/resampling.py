@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placeweave.operators.scale import dense_index
-from placeweave.session import cut_lineage
+from placeweave.session import cut_lineage, stored
 
 #: Bins of a round of narrowing, and the rows that may be left in a range when it is sorted.
 BINS = 1024
@@ -30,7 +30,8 @@ def nearest_rank(values: DataFrame, by: Sequence[str], column: str, shares: Sequ
     rows = cut_lineage(rows)
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     share = F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share")
-    ranges = cut_lineage(sizes.select("*", share).withColumns({
+    # Ranges are written, so that Spark knows their size when it plans the joins with the rows.
+    ranges = stored(sizes.select("*", share).withColumns({
         "rank": F.greatest(F.ceil(F.col("share") * F.col("n")), F.lit(1)), "held": F.col("n")}))
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"g.{c}")) for c in by]
 
@@ -46,7 +47,7 @@ def nearest_rank(values: DataFrame, by: Sequence[str], column: str, shares: Sequ
         open_ranges = (F.col("held") > SORTED_ROWS) & (F.col("lo") < F.col("hi"))
         settled = ranges.filter(~open_ranges)
         done = settled if done is None else done.unionByName(settled)
-        ranges = cut_lineage(ranges.filter(open_ranges))
+        ranges = stored(ranges.filter(open_ranges))
         if ranges.isEmpty():
             break
         # Halves are subtracted, so the width of a range of any size is finite.
@@ -55,10 +56,10 @@ def nearest_rank(values: DataFrame, by: Sequence[str], column: str, shares: Sequ
         counted = inside(ranges).groupBy(*key, "n", "rank", bin_no.alias("bin")).agg(
             F.count(F.lit(1)).alias("held"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         before = F.sum("held").over(Window.partitionBy(*key).orderBy("bin")) - F.col("held")
-        ranges = cut_lineage(counted.withColumn("_before", before).filter(
+        ranges = stored(counted.withColumn("_before", before).filter(
             (F.col("_before") < F.col("rank")) & (F.col("rank") <= F.col("_before") + F.col("held"))).withColumn(
             "rank", F.col("rank") - F.col("_before")).select(*by, "n", "lo", "hi", "share", "rank", "held"))
-    done = cut_lineage(done)
+    done = stored(done)
     single = done.filter("lo = hi").select(*key, F.col("lo").alias("value"), "n")
     place = F.row_number().over(Window.partitionBy(*key).orderBy("v"))
     sorted_rows = inside(done.filter("lo < hi")).withColumn("_place", place).filter(F.col("_place") == F.col("rank"))
