@@ -437,6 +437,11 @@ UNION ALL SELECT vec_id, 'current-model', len(embedding), {_SQL_DIGEST.format(v=
 WHERE vec_id % 17 <> 0 AND vec_id % 13 <> 0"""
 
 
+def _doubles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of doubles, so that new ones are not cut to floats: that would move some components over a tie of the fourth decimal."""
+    return T.vectors(spark, sf_dir).withColumn("embedding", F.col("embedding").cast("array<double>"))
+
+
 def _digested(done: DataFrame) -> DataFrame:
     rounded = F.transform("embedding", lambda x: F.round(x.cast("double") * 10000).cast("bigint").cast("string"))
     return done.select("chunk_id", "embedding_model", F.size("embedding").cast("bigint").alias("dim"), F.md5(F.array_join(rounded, ",")).alias("digest"))
@@ -445,7 +450,7 @@ def _digested(done: DataFrame) -> DataFrame:
 @query("embedding_refresh", _SQL_REFRESHED)
 def embedding_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors in the end, compared by a digest of all components to four decimals."""
-    return _digested(R.refresh_embeddings(T.vectors(spark, sf_dir), "current-model", lambda text: X.hash_embed(text, 64)))
+    return _digested(R.refresh_embeddings(_doubles(spark, sf_dir), "current-model", lambda text: X.hash_embed(text, 64)))
 
 
 @query("embedding_batches", _SQL_REFRESHED)
@@ -457,4 +462,4 @@ def embedding_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
             raw = np.array(heads, float).reshape(-1, 64) / 4294967295.0 * 2.0 - 1.0
             yield pd.DataFrame({"chunk_id": frame["chunk_id"], "embedding": list(raw / np.sqrt((raw * raw).sum(1, keepdims=True)))})
 
-    return _digested(R.refresh_embeddings(T.vectors(spark, sf_dir), "current-model", embed_batches=embed))
+    return _digested(R.refresh_embeddings(_doubles(spark, sf_dir), "current-model", embed_batches=embed))
