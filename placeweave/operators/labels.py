@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placeweave.functions import geo
 
+#: Edges of a block of points that are compared one by one because they are widest, and the pairs held at a time.
+WIDE_EDGES, PAIRS = 256, 1 << 20
 # The fallback category, tags that move the indoor ratio, quality thresholds.
 FALLBACK = "khac"
 OUTDOOR_TAGS = [("leisure", "park", 0.05), ("leisure", "garden", 0.05), ("natural", "*", 0.05)]
@@ -90,17 +94,70 @@ def ring_edges(rings: DataFrame) -> DataFrame:
                         F.coalesce(F.lead("lon").over(walk), F.first("lon").over(whole)).alias("lon2"))
 
 
+def _rays_crossed(lat: np.ndarray, lon: np.ndarray, lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray) -> np.ndarray:
+    """How many edges the eastward ray of each point crosses, with the arithmetic of ``geo.crosses_ray``.
+
+    Points are taken in blocks of neighbouring latitudes. An edge that goes through all of a block's latitudes crosses it between the longitudes
+    at the lowest and the highest one (each step of the formula is monotone, rounded or not), so all but the edges at a point's own place are
+    counted by two searches; edges that end in the block and the widest ones are compared one by one."""
+    def at(edges: np.ndarray, y: np.ndarray | float) -> np.ndarray:
+        return lon1[edges] + (y - lat1[edges]) / (lat2[edges] - lat1[edges]) * (lon2[edges] - lon1[edges])
+
+    out = np.zeros(len(lat), np.int64)
+    order = np.argsort(lat, kind="stable")
+    low, high = np.minimum(lat1, lat2), np.maximum(lat1, lat2)
+    size = int(max(64, len(lat) ** 0.5))
+    for begin in range(0, len(order), size):
+        block = order[begin:begin + size]
+        bottom, top = lat[block[0]], lat[block[-1]]
+        met = np.flatnonzero((low <= top) & (high > bottom))
+        through = (low[met] <= bottom) & (high[met] > top)
+        whole, single = met[through], met[~through]
+        ends = np.sort(np.stack([at(whole, bottom), at(whole, top)]), axis=0)
+        wide = np.zeros(len(whole), bool)
+        if len(whole) > WIDE_EDGES:
+            wide[np.argpartition(ends[1] - ends[0], -WIDE_EDGES)[-WIDE_EDGES:]] = True
+            single, whole, ends = np.concatenate([single, whole[wide]]), whole[~wide], ends[:, ~wide]
+        rank = np.argsort(ends[0], kind="stable")
+        whole, left = whole[rank], ends[0][rank]
+        reach = (ends[1] - ends[0]).max(initial=0.0)
+        x, y = lon[block], lat[block]
+        # Edges from ``last`` on lie east of the point, those before ``first`` west of it; twice the reach leaves room for its rounding.
+        first, last = np.searchsorted(left, x - 2 * reach - 1e-9, "left"), np.searchsorted(left, x, "right")
+        found = len(whole) - last
+        near = last - first
+        for part in np.array_split(np.arange(len(block)), max(1, int(near.sum()) // PAIRS)):
+            of = np.repeat(part, near[part])
+            edge = whole[np.arange(len(of)) - np.repeat(np.cumsum(near[part]) - near[part], near[part]) + np.repeat(first[part], near[part])]
+            found[part] += np.bincount(of[x[of] < at(edge, y[of])] - part[0], minlength=len(part)) if len(part) else 0
+        for part in np.array_split(single, max(1, len(single) * len(block) // PAIRS)):
+            spans = (lat1[part][None, :] > y[:, None]) != (lat2[part][None, :] > y[:, None])
+            of, e = np.nonzero(spans)
+            found += np.bincount(of[x[of] < at(part[e], y[of])], minlength=len(block))
+        out[block] = found
+    return out
+
+
 def within_polygon(points: DataFrame, rings: DataFrame, band_degrees: float = 0.01) -> DataFrame:
     """``place, region`` of points inside a ring (even-odd rule). ``points`` are ``place, region, lat, lon``.
 
-    An edge is sent to the bands of latitude that it crosses, so a point meets only edges at its own height."""
+    An edge is sent to the bands of latitude that it crosses, so a point meets only edges at its own height; of those in its band it is compared
+    with few (:func:`_rays_crossed`), and no pair of them leaves the task."""
     def band(lat: Column) -> Column:
         return F.floor(lat / F.lit(band_degrees))
 
     edges = ring_edges(rings).withColumn("band", F.explode(F.sequence(band(F.least("lat1", "lat2")), band(F.greatest("lat1", "lat2")))))
-    met = points.withColumn("band", band(F.col("lat"))).join(edges, ["region", "band"])
-    crossed = geo.crosses_ray(*[F.col(c) for c in ("lat", "lon", "lat1", "lon1", "lat2", "lon2")])
-    return met.filter(crossed).groupBy("place", "region").agg((F.count(F.lit(1)) % 2).alias("odd")).filter("odd = 1").select("place", "region")
+    asked = points.filter("region IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL").select("place", "region", "lat", "lon", band(F.col("lat")).alias("band"))
+    known = edges.dropna().select("region", "band", "lat1", "lon1", "lat2", "lon2")
+
+    def inside(here: pd.DataFrame, walls: pd.DataFrame) -> pd.DataFrame:
+        if not len(here) or not len(walls):
+            return here[["place", "region"]].iloc[:0]
+        crossed = _rays_crossed(*[here[c].to_numpy(float) for c in ("lat", "lon")], *[walls[c].to_numpy(float) for c in ("lat1", "lon1", "lat2", "lon2")])
+        return here.loc[crossed % 2 == 1, ["place", "region"]]
+
+    schema = ", ".join(f"{c} {points.schema[c].dataType.simpleString()}" for c in ("place", "region"))
+    return asked.groupBy("region", "band").cogroup(known.groupBy("region", "band")).applyInPandas(inside, schema)
 
 
 def quality_metrics(places: DataFrame, links: DataFrame, images: DataFrame) -> DataFrame:
