@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placeweave.functions import geo
-from placeweave.operators.routes import zones_on_paths
+from placeweave.operators.routes import paths_in_any_zone
 from placeweave.operators.trips import travel_at, trip_days
 from placeweave.session import cut_lineage
 
@@ -78,7 +78,7 @@ def slot_legs(slots: DataFrame, trips: DataFrame, zones: DataFrame, measured: Da
     lines = timed.filter("stormy").select(_line().alias("path")).distinct()
     ends = lines.select("path", F.inline(F.array(F.struct(F.lit(0).alias("seq"), F.col("path.lat1").alias("lat"), F.col("path.lon1").alias("lon")),
                                                  F.struct(F.lit(1).alias("seq"), F.col("path.lat2").alias("lat"), F.col("path.lon2").alias("lon")))))
-    wet = zones_on_paths(ends, zones).select("path").distinct().withColumn("_wet", F.lit(True))
+    wet = paths_in_any_zone(ends, zones).withColumn("_wet", F.lit(True))
     flooded = F.col("stormy") & F.coalesce("_wet", F.lit(False))
     return timed.withColumn("path", _line()).join(wet, "path", "left").select(
         "trip", "day", "from_kind", "from_place", "from_lo", "to_kind", "to_place", "to_lo", "minutes",
