@@ -15,6 +15,8 @@ NAME_PREFIXES = (
 )
 ANALYZERS = ("plain", "fold", "multi")
 WORD = r"[\p{L}\p{N}_]+"
+#: Letters that some folding may change once a text is in lower case; a text without one is done.
+BEYOND_ASCII = r"[^\x00-\x7F]"
 EDGE_SPACE = r"(?U)^\s+|\s+$"
 
 
@@ -58,11 +60,13 @@ def casefold(c: Column) -> Column:
     table = F.create_map(*[F.lit(x) for pair in _LONG_FOLDS.items() for x in pair])
     long = F.array_join(F.transform(F.split(out, ""), lambda letter: F.coalesce(F.try_element_at(table, letter), letter)), "")
     # Most texts hold none of these letters: one look decides whether theirs are read one by one.
-    return F.translate(F.when(F.regexp_like(out, rare), long).otherwise(out), _FOLDABLE, _FOLDED)
+    folded = F.translate(F.when(F.regexp_like(out, rare), long).otherwise(out), _FOLDABLE, _FOLDED)
+    return F.when(F.regexp_like(out, F.lit(BEYOND_ASCII)), folded).otherwise(out)
 
 
 def _drop_marks(c: Column) -> Column:
-    return F.regexp_replace(F.translate(c, _MARKED, _BASE), r"\p{Mn}", "")
+    bare = F.regexp_replace(F.translate(c, _MARKED, _BASE), r"\p{Mn}", "")
+    return F.when(F.regexp_like(c, F.lit(BEYOND_ASCII)), bare).otherwise(c)
 
 
 def fold(c: Column) -> Column:
@@ -86,6 +90,13 @@ def tokens(c: Column, folded: bool = False) -> Column:
     return F.regexp_extract_all(fold(c) if folded else casefold(c), F.lit(WORD), F.lit(0))
 
 
+def words_of(df: DataFrame, text: str) -> DataFrame:
+    """``df`` without the column ``text`` and with its words ``plain`` and ``folded``; letters are folded once for both."""
+    low = df.withColumn(text, casefold(F.col(text)))
+    return low.select(*[c for c in df.columns if c != text], F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("plain"),
+                      F.regexp_extract_all(_drop_marks(F.col(text)), F.lit(WORD), F.lit(0)).alias("folded"))
+
+
 def add_terms(df: DataFrame, text: Column, analyzer: str, out: str = "terms") -> DataFrame:
     """Adds the analyzer's term array (duplicates kept).
 
@@ -111,6 +122,15 @@ def terms_of(plain: Column, folded: Column, analyzer: str) -> Column:
     return F.concat(plain, marked, pairs)
 
 
+def count_of(plain: Column, folded: Column, analyzer: str) -> Column:
+    """How many terms ``terms_of`` gives, without making them."""
+    if analyzer == "plain":
+        return F.size(plain)
+    if analyzer == "fold":
+        return F.size(folded)
+    return F.size(plain) + F.size(folded) + F.greatest(F.size(folded) - 1, F.lit(0))
+
+
 def chunk_array(c: Column, max_chars: int = 1200, separator: str = r"\n\n") -> Column:
     """Paragraphs of at most ``max_chars``; longer ones are packed sentence by sentence."""
     paragraphs = F.filter(F.transform(F.split(c, separator), strip), lambda p: p != "")

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +51,16 @@ def test_block_max_search_equals_a_full_scan(spark, monkeypatch, chunks_a_block,
     assert retrieval.bm25_search(queries, spark.createDataFrame([], CORPUS), 4).count() == 0
 
 
+def test_a_cell_of_equal_chunks_emits_k_rows_a_question():
+    """Chunks that all tie with the kth would be a row for every pair of question and chunk."""
+    asked = pd.DataFrame({"ids": [["q", "r"]], "categories": [[None, "b"]], "places": [[None, 7]], "words": [[[1, 2], [1]]], "weights": [[[0.5, 2.0], [1.0]]]})
+    blocks = pd.DataFrame([{"category": c, "terms": [1] * 50, "chunks": list(range(n, n + 50)), "places": [7, 8] * 25, "gains": [1.25] * 50}
+                           for c, n in (("b", 200), ("a", 100), ("b", 0))])
+    got = postings._cell_scores(3)(asked, blocks)
+    assert list(zip(got["query_id"], got["chunk"], got["score"], strict=True)) == [
+        ("q", 0, 0.625), ("q", 1, 0.625), ("q", 2, 0.625), ("r", 0, 1.25), ("r", 2, 1.25), ("r", 4, 1.25)]
+
+
 def test_metrics_of_known_rankings(spark):
     queries = spark.createDataFrame([("f", "fact", ["1601"]), ("m", "multi", None)], "query_id string, type string, answer_keywords array<string>")
     judged = spark.createDataFrame([("f", 1, 2), ("m", 1, 2), ("m", 2, 1)], "query_id string, place_id long, n_chunks long")
