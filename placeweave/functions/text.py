@@ -173,9 +173,12 @@ def hash_embed(c: Column, dim: int) -> Column:
 
 
 def unit(vector: Column) -> Column:
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.when(norm > 0, F.transform(vector, lambda x: x.cast("double") / norm)).otherwise(
-        vector.cast("array<double>"))
+    # Lambdas hold the vector and its norm: written out, both would be computed anew for every component.
+    def scaled(v: Column) -> Column:
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+        return F.get(F.transform(F.array(norm), lambda n: F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(v.cast("array<double>"))), F.lit(0))
+
+    return F.get(F.transform(F.array(vector), scaled), F.lit(0))
 
 
 def _words(c: Column) -> Column:

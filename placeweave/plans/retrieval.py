@@ -167,7 +167,8 @@ def _evaluated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     corpus, asked = stored(T.corpus(spark, sf_dir)), cut_lineage(T.queries(spark, sf_dir))
     words = P.analysed(corpus)
     said = X.embedding_text(F.col("place_name"), F.col("content"))
-    chunks = corpus.withColumns({"embedding": X.hash_embed(said, EVALUATED_DIM), "embedding_model": F.lit(EVALUATED_MODEL)})
+    # Written, because a search looks at its vectors more than once: to leave out missing ones, to count and to compare.
+    chunks = stored(corpus.select("chunk_id", *P.FILTERS, X.hash_embed(said, EVALUATED_DIM).alias("embedding"), F.lit(EVALUATED_MODEL).alias("embedding_model")))
     vectors = asked.withColumn("embedding", X.hash_embed(F.col("query"), EVALUATED_DIM))
     dense = cut_lineage(R.dense_search(vectors, chunks, R.HYBRID_DEPTH, EVALUATED_MODEL))
     deep = {a: cut_lineage(R.bm25_search(asked, corpus, R.HYBRID_DEPTH, a, words=words)) for a in ("fold", "multi")}
