@@ -52,7 +52,7 @@ SELECT term, count(*)::BIGINT AS n FROM (
 def term_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words, folded words and folded pairs of neighbours of all documents."""
     dealt = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
-    words = stored(dealt.select(X.tokens(F.col("text")).alias("plain"), X.tokens(F.col("text"), folded=True).alias("folded")))
+    words = stored(X.words_of(dealt.select("text"), "text"))
     terms = words.select(F.explode(X.terms_of(F.col("plain"), F.col("folded"), "multi")).alias("term"))
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
