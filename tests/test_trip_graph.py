@@ -99,3 +99,21 @@ def test_nearest_cell_of_nothing(spark):
     points = spark.createDataFrame([(1, 1)], "grid_lat int, grid_lon int")
     assert trips.nearest_cell(points, points.limit(0)).count() == 0
     assert trips.nearest_cell(points.limit(0), points).count() == 0
+
+
+def test_slots_of_one_start_are_judged_apart_and_read_once(spark):
+    """Two spans of hours that overlap begin with the same minute; the longer one meets a storm that the shorter one does not."""
+    from pyspark.sql import functions as F
+    from placeweave.operators.slots import slot_weather
+
+    slots = spark.range(2).select(
+        F.lit(1).alias("trip"), F.lit(5).alias("place"), F.lit(100).alias("day"), F.lit(480).alias("lo"), (F.lit(490) + F.col("id") * 120).cast("int").alias("hi"),
+        F.lit("hourly").alias("tier"), F.lit(3).alias("cell"), F.lit(30).alias("visit_minutes"), F.lit(0.0).alias("indoor_ratio"), F.array(F.lit("bao")).alias("unsafe"))
+    hour = F.col("id")
+    hourly = spark.range(2400, 2424).select(
+        F.lit(3).alias("cell"), hour.alias("hour"), F.lit(0.0).alias("precip_mm"), F.when(hour == 2410, 80.0).otherwise(0.0).alias("wind_kmh"),
+        F.lit(20.0).alias("temp_c"), F.lit(0).alias("code"), F.lit(0.0).alias("rain_prob"), F.lit(1).alias("period_h"))
+    daily = hourly.limit(0).withColumnRenamed("hour", "day")
+    judged = slot_weather(slots, hourly, daily)
+    assert sorted((r.hi, r.blocked, r.blocked_hour) for r in judged.collect()) == [(490, False, None), (610, True, 10)]
+    assert judged._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 2,") == 1
