@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from placeweave.operators import trips
+from placeweave.operators import routes, trips
 from placeweave.plans.registry import table
 from placeweave.plans.trips import trip_frames
 
@@ -19,3 +19,14 @@ def test_a_table_of_few_bytes_and_many_rows_is_not_broadcast(spark, tmp_path):
 def test_small_tables_are_still_broadcast(spark):
     nation = table(spark, "/root/testdata/sf0.001", "nation").withColumnRenamed("n_nationkey", "id")
     assert "BroadcastHashJoin" in spark.range(10**7).join(nation, "id")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_landmarks_are_ranked_where_they_are_joined(spark):
+    places = spark.range(50).select(F.col("id").alias("photo"), F.col("id").alias("place"), (16 + F.col("id") / 1000).alias("lat"), F.lit(107.5).alias("lon"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = routes.landmarks_near(places.drop("place"), places.drop("photo"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") == 2  # those of the join
