@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from placeweave.operators import routes, trips
+from placeweave.operators import matching, routes, trips
 from placeweave.plans.registry import table
 from placeweave.plans.trips import trip_frames
 
@@ -30,3 +30,11 @@ def test_landmarks_are_ranked_where_they_are_joined(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert plan.count("Exchange hashpartitioning") == 2  # those of the join
+
+
+def test_matching_shuffles_places_not_pairs(spark):
+    pairs = spark.createDataFrame([(1, 11, 5.0), (1, 12, 4.0), (2, 12, 3.0), (3, 13, 2.0), (4, 13, 2.0)], "id_a bigint, id_b bigint, distance_m double")
+    best = matching.first_for_both(pairs)
+    assert sorted(map(tuple, best.collect())) == [(2, 12, 3.0), (3, 13, 2.0)]
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min" in plan and "Window" not in plan
