@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placeweave.functions import geo
+from placeweave.session import stored
 
 #: Edges of a block of points that are compared one by one because they are widest, and the pairs held at a time.
 WIDE_EDGES, PAIRS = 256, 1 << 20
@@ -26,7 +27,9 @@ def map_category(places: DataFrame, class_rules: DataFrame, tag_rules: DataFrame
     pair holds (``*``: any value), else the fallback.
 
     ``class_rules`` are ``qid, category``; ``tag_rules`` are ``priority, match, category``. Rules are matched by joins on the class
-    and on the tag key, so no place meets a rule that shares nothing with it."""
+    and on the tag key, so no place meets a rule that shares nothing with it. ``places`` are read three times and so written once: a task
+    of the last join would otherwise hold the sorts of all that makes them, three times over."""
+    places = stored(places)
     by_class = places.select("place", F.posexplode("classes").alias("pos", "qid")).join(class_rules, "qid").groupBy("place").agg(
         F.min_by("category", "pos").alias("by_class"))
     wanted = tag_rules.select("priority", F.col("category").alias("by_tag"), F.size("match").alias("pairs"), F.explode("match").alias("key", "wanted"))

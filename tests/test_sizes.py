@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from placeweave.operators import matching, routes, trips
+from placeweave.operators import labels, matching, routes, trips
 from placeweave.plans.registry import table
 from placeweave.plans.trips import trip_frames
 
@@ -38,3 +38,11 @@ def test_matching_shuffles_places_not_pairs(spark):
     assert sorted(map(tuple, best.collect())) == [(2, 12, 3.0), (3, 13, 2.0)]
     plan = best._jdf.queryExecution().executedPlan().toString()
     assert "partial_min" in plan and "Window" not in plan
+
+
+def test_places_are_made_once_for_their_category(spark):
+    places = spark.range(6).select(F.col("id").alias("place"), F.array(F.lit("Q1")).alias("classes"), F.create_map(F.lit("a"), F.lit("b")).alias("tags"))
+    classes = spark.createDataFrame([("Q1", "chua")], "qid string, category string")
+    rules = spark.createDataFrame([(1, {"a": "*"}, "song")], "priority int, match map<string,string>, category string")
+    plan = labels.map_category(places, classes, rules)._jdf.queryExecution().executedPlan().toString()
+    assert "Range (" not in plan  # what makes the places is not part of the last join
