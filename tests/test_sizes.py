@@ -46,3 +46,15 @@ def test_places_are_made_once_for_their_category(spark):
     rules = spark.createDataFrame([(1, {"a": "*"}, "song")], "priority int, match map<string,string>, category string")
     plan = labels.map_category(places, classes, rules)._jdf.queryExecution().executedPlan().toString()
     assert "Range (" not in plan  # what makes the places is not part of the last join
+
+
+def test_rain_of_a_frame_is_one_row_per_date(spark):
+    rows = [(1, 5, 5, 485, 490, 7), (2, 5, 6, 480, 720, 7), (3, 5, 5, 1380, 1560, 7), (4, 5, 5, 480, 720, 8), (5, 5, 5, 720, 720, 7)]
+    frames = spark.createDataFrame(rows, "trip int, start_day int, end_day int, day_start int, day_end int, cell int").withColumns(
+        {"start_min": F.col("day_start"), "end_min": F.col("day_end")})
+    rainy = [(7, 5 * 24 + h, 9.0) for h in (8, 9, 11, 12, 23, 24)] + [(7, 5 * 24 + 9, 9.0), (7, 5 * 24 + 10, 0.0)]
+    observed = spark.createDataFrame(rainy, "cell int, hour bigint, precip_mm double").withColumns(
+        {"rain_prob": F.lit(0.0), "temp_c": F.lit(20.0), "wind_kmh": F.lit(0.0), "code": F.lit(0), "period_h": F.lit(1)})
+    out = trips.rain_hours(frames, observed)
+    # No whole hour begins in the first frame; two records of one hour count twice; the third frame goes past midnight.
+    assert {r.trip: (r.rain_hours, r.rainy) for r in out.collect()} == {1: (0, False), 2: (4, True), 3: (2, True), 4: (0, False)}
