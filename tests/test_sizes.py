@@ -58,3 +58,14 @@ def test_rain_of_a_frame_is_one_row_per_date(spark):
     out = trips.rain_hours(frames, observed)
     # No whole hour begins in the first frame; two records of one hour count twice; the third frame goes past midnight.
     assert {r.trip: (r.rain_hours, r.rainy) for r in out.collect()} == {1: (0, False), 2: (4, True), 3: (2, True), 4: (0, False)}
+
+
+def test_visits_of_an_audit_are_made_once(spark):
+    visits = spark.range(6).select(F.lit(1).alias("trip"), F.lit(5).alias("day"), F.col("id").alias("visit"), F.col("id").alias("place"), F.lit(600).alias("arrive"), F.lit(660).alias("leave"))
+    places = spark.createDataFrame([(0, 16.4, 107.5, 60, 0)], "place int, lat double, lon double, visit_minutes int, price int")
+    frame = spark.createDataFrame([(1, 5, 5, 0, 900, 480, 1200, "car", 3, 1, 0.0, 0.0, 0.0, 0.0)],
+                                  "trip int, start_day int, end_day int, start_min int, end_min int, day_start int, day_end int, mode string, max_places int, budget int,"
+                                  " from_lat double, from_lon double, to_lat double, to_lon double")
+    hours = spark.createDataFrame([(0, True, 5, 0, 1440)], "place int, parse_ok boolean, dow int, open_min int, close_min int")
+    for out in trips.audit_feasibility(visits, places, frame, hours):
+        assert "Range (" not in out._jdf.queryExecution().executedPlan().toString()  # what makes the visits is not planned for each kind
