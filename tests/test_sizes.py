@@ -69,3 +69,20 @@ def test_visits_of_an_audit_are_made_once(spark):
     hours = spark.createDataFrame([(0, True, 5, 0, 1440)], "place int, parse_ok boolean, dow int, open_min int, close_min int")
     for out in trips.audit_feasibility(visits, places, frame, hours):
         assert "Range (" not in out._jdf.queryExecution().executedPlan().toString()  # what makes the visits is not planned for each kind
+
+
+def test_violations_of_a_trip_are_found_in_one_place(spark):
+    visits = spark.createDataFrame([(1, 5, 1, 7, 500, 560), (1, 5, 2, 7, 600, 605), (1, 5, 3, 9, 700, 760), (1, 8, 4, 7, 600, 660), (2, 5, 1, 7, 600, 660)],
+                                   "trip int, day int, visit int, place int, arrive int, leave int")
+    places = spark.createDataFrame([(7, 16.4, 107.5, 60, 30)], "place int, lat double, lon double, visit_minutes int, price int")
+    trip = "trip int, start_day int, end_day int, start_min int, end_min int, day_start int, day_end int, mode string, max_places int, budget int, from_lat double, from_lon double, to_lat double, to_lon double"
+    frames = spark.createDataFrame([(n, 5, 5, 480, 1200, 480, 1200, "car", 2, 50, 16.4, 107.5, 16.4, 107.5) for n in (1, 3)], trip)
+    hours = spark.createDataFrame([(7, True, 1, 480, 590)], "place int, parse_ok boolean, dow int, open_min int, close_min int")
+    violations, summary = trips.audit_feasibility(visits, places, frames, hours)
+    assert sorted(map(str, violations.collect())) == sorted(map(str, [
+        spark.createDataFrame([r], "trip int, kind string, day bigint, place bigint").first() for r in [
+            (1, "duplicate", None, 7), (1, "outside_trip", 8, None), (1, "unknown_place", 5, 9), (1, "max_places", 5, None), (1, "budget", None, None),
+            (1, "visit_too_short", 5, 7), (1, "opening_hours", 5, 7), (2, "outside_trip", 5, None)]]))
+    assert {r.trip: (r.visits, r.violations, r.unverified_hours, r.travel_minutes, r.feasible) for r in summary.collect()} == {1: (4, 7, 0, 0, False), 3: (0, 0, 0, 0, True)}
+    # Each kind of violation used to shuffle the visits again.
+    assert "Exchange" not in violations._jdf.queryExecution().executedPlan().toString()
