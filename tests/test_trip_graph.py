@@ -117,3 +117,47 @@ def test_slots_of_one_start_are_judged_apart_and_read_once(spark):
     judged = slot_weather(slots, hourly, daily)
     assert sorted((r.hi, r.blocked, r.blocked_hour) for r in judged.collect()) == [(490, False, None), (610, True, 10)]
     assert judged._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 2,") == 1
+
+
+def test_legs_of_a_trip_are_made_from_one_row(spark):
+    frames = spark.createDataFrame([(1, 10, 11, 480, 1200, 480, 1200, "car", 16.45, 107.55, 16.45, 107.55)] * 2 + [(2, 10, 9, 480, 1200, 480, 1200, "car", 16.45, 107.55, 16.45, 107.55)], TRIP)
+    slots = spark.createDataFrame([(1, 10, 5, 500, 600, 30, 4, 1.0, True, 16.45, 107.55), (3, 10, 5, 500, 600, 30, 4, 1.0, True, 16.45, 107.55)], SLOT)
+    zones = spark.createDataFrame([(1, 16.45, 107.55, 300.0)], "zone int, lat double, lon double, radius_m double")
+    found = legs.slot_legs(slots, frames, zones)
+    chosen = {(r.trip, r.day, r.from_kind, r.to_kind): (r.slots, r.minutes, r.cost, r.flooded) for r in legs.leg_choices(found).collect()}
+    # A trip told twice has two starts, two ends and two ways of travelling; one without days or without a trip has no legs.
+    assert chosen == {(1, 10, 0, 1): (4, 0, 34, 4), (1, 10, 1, 2): (4, 0, 30, 4), (1, 10, 0, 2): (8, 0, 0, 0), (1, 11, 0, 2): (8, 0, 0, 0)}
+    # Slots, pairs of places, legs and lines used to be written or shuffled one by one.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Scan ExistingRDD[trip" in plan and "checkpoint" not in plan and plan.count("Exchange") <= 3
+
+
+def test_unvisited_places_meet_what_is_known_of_them_once(spark):
+    from placeweave.operators.slots import explain_unvisited
+
+    pairs = "trip int, place int"
+    wished = spark.createDataFrame([(1, 1), (1, 2), (1, 2), (1, 3), (1, 4), (1, 5), (None, 6), (2, 1)], pairs)
+    slots = spark.createDataFrame([(1, 1, False), (1, 1, True), (1, 2, True), (1, 2, True), (None, 6, False), (9, 9, False)], f"{pairs}, blocked boolean")
+    shut = spark.createDataFrame([(1, 2, 5), (1, 3, 5), (1, 3, 6)], f"{pairs}, day int")
+    out = explain_unvisited(wished, slots, shut, spark.createDataFrame([(1, 5), (7, 7)], pairs))
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted((r.trip or 0, r.place, r.reason, r.avoided) for r in out.collect()) == [
+        (0, 6, "too_short", 0), (1, 1, "no_room", 1), (1, 2, "weather", 2), (1, 3, "closed", 0), (1, 4, "too_short", 0), (2, 1, "too_short", 0)]
+
+
+def test_slots_are_weathered_in_their_tasks(spark):
+    from pyspark.sql import functions as F
+    from placeweave.operators.slots import slot_weather
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    slots = spark.range(50).select(
+        F.col("id").alias("trip"), F.lit(5).alias("place"), F.lit(100).alias("day"), F.lit(480).alias("lo"), F.lit(500).alias("hi"), F.lit("hourly").alias("tier"),
+        F.lit(3).alias("cell"), F.lit(30).alias("visit_minutes"), F.lit(0.0).alias("indoor_ratio"), F.array(F.lit("bao")).alias("unsafe")).repartition("trip")
+    hourly = spark.range(2400, 2424).select(F.lit(3).alias("cell"), F.col("id").alias("hour"), *[F.lit(0.0).alias(c) for c in ("precip_mm", "wind_kmh", "temp_c", "rain_prob")],
+                                            F.lit(0).alias("code"), F.lit(1).alias("period_h"))
+    try:
+        plan = slot_weather(slots, hourly, hourly.withColumnRenamed("hour", "day"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and plan.count("Exchange hashpartitioning") == 1  # that of the slots themselves
