@@ -112,3 +112,29 @@ def test_rank_fusion(spark):
     one, two = spark.createDataFrame([(1, 1, 1), (1, 2, 2)], ranking), spark.createDataFrame([(1, 1, 2), (1, 2, 3)], ranking)
     got = retrieval.rrf([one, two], 5).orderBy("rank").collect()
     assert [r.chunk_id for r in got] == [2, 1, 3] and got[0].score == pytest.approx(1 / 62 + 1 / 61)
+
+
+def test_matching_makes_few_pairs_at_a_time(spark, monkeypatch):
+    import random
+
+    rng, made = random.Random(3), []
+    rows = [(i, rng.choice(["Chùa A", "chua a", "B"]), 16.4 + rng.randrange(40) * 2e-4, 107.5 + rng.randrange(40) * 2e-4) for i in range(500)]
+    a, b = (spark.createDataFrame([r for r in rows if r[0] % 2 == side], "id long, name string, lat double, lon double") for side in (0, 1))
+    left, right = (matching._by_key(df) for df in (a, b))
+    every = sorted((r.distance_m, r.id_a, r.id_b) for r in matching.near_pairs(left, right, 400.0).collect())
+    want, used = set(), (set(), set())
+    for d, x, y in every:
+        if x not in used[0] and y not in used[1]:
+            want.add((x, y))
+            used[0].add(x)
+            used[1].add(y)
+    kept = matching.cut_lineage
+
+    def counted(df):
+        out = kept(df)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(matching, "cut_lineage", counted)
+    assert {(r.id_a, r.id_b) for r in matching.match_places(a, b, 400.0).collect()} == want
+    assert max(made) < 12 * 500 < len(every)  # all pairs used to be written at once
