@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from placeweave.operators import labels, matching, routes, trips
+from placeweave.operators import labels, matching, routes, trips, weather
 from placeweave.plans.registry import table
 from placeweave.plans.trips import trip_frames
 
@@ -86,3 +86,19 @@ def test_violations_of_a_trip_are_found_in_one_place(spark):
     assert {r.trip: (r.visits, r.violations, r.unverified_hours, r.travel_minutes, r.feasible) for r in summary.collect()} == {1: (4, 7, 0, 0, False), 3: (0, 0, 0, 0, True)}
     # Each kind of violation used to shuffle the visits again.
     assert "Exchange" not in violations._jdf.queryExecution().executedPlan().toString()
+
+
+def test_visits_meet_a_small_weather_table_where_they_are(spark):
+    hours = spark.createDataFrame([(n, 1, 3, 9, 1.0, 0.5, ["bao"]) for n in range(40)], "trip int, visit int, cell int, hour int, overlap_h double, indoor_ratio double, unsafe array<string>")
+    seen = spark.createDataFrame([(3, 9, 2.0)], "cell int, hour int, precip_mm double").withColumns(
+        {"rain_prob": F.lit(0.0), "temp_c": F.lit(20.0), "wind_kmh": F.lit(60.0), "code": F.lit(0), "period_h": F.lit(1)})
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = weather.weather_outcome(hours, seen)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        rows = {(r.outdoor_rain_hours, r.hazard_visits, r.unobserved_hours, r.visits) for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert rows == {(0.5, 1, 0, 1)}
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan, plan
